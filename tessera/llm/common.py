@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -43,7 +44,18 @@ def settle(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    del writer
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is written now
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that settle() wrote and that nothing reads any more."""
+    for table in tables:
+        _drop(table.sparkSession, table._tessera_path)
 
 
 def narrow(spark: SparkSession) -> None:

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from .decontam import op7_fm_decontamination
+from .html_extract import op4_html_extract
+from .jaccard_join import op1_ngram_jaccard
 from .langid import op2_language_id
+from .license_scan import OP3_SQL, op3_license_scan
+from .line_dedup import OP5_SQL, op5_line_dedup
+from .packing import op9_best_two_fit
 from .quality_crf import op10_quality_crf
 from .rabitq import op6_rabitq_neighbours
 
+_QUERIES = (op1_ngram_jaccard, op2_language_id, op3_license_scan, op4_html_extract, op5_line_dedup, op6_rabitq_neighbours, op7_fm_decontamination, op9_best_two_fit, op10_quality_crf)
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op6_rabitq_neighbours, op10_quality_crf)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_license_scan": OP3_SQL, "op5_line_dedup": OP5_SQL}
