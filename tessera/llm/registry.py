@@ -11,8 +11,9 @@ from .line_dedup import OP5_SQL, op5_line_dedup
 from .packing import op9_best_two_fit
 from .quality_crf import op10_quality_crf
 from .rabitq import op6_rabitq_neighbours
+from .suffix_dedup import op8_suffix_dedup
 
-_QUERIES = (op1_ngram_jaccard, op2_language_id, op3_license_scan, op4_html_extract, op5_line_dedup, op6_rabitq_neighbours, op7_fm_decontamination, op9_best_two_fit, op10_quality_crf)
+_QUERIES = (op1_ngram_jaccard, op2_language_id, op3_license_scan, op4_html_extract, op5_line_dedup, op6_rabitq_neighbours, op7_fm_decontamination, op8_suffix_dedup, op9_best_two_fit, op10_quality_crf)
 
 
 def queries() -> dict:
