@@ -7,7 +7,7 @@ a shingle's postings the length and positional filters and the suffix filter (th
 in fixed ranges of the hash space) bound the overlap. What passes is verified once, on the sets.
 
 Only the groups are wanted, so links within a group that is known already are not emitted: first each
-class meets the smallest candidate under each shingle; when those are verified and their groups known,
+class meets the few nearest candidates under each shingle, by the suffix filter's bound; when those are verified and their groups known,
 all candidates that lie in different groups still are verified too. No link between groups is lost. A
 shingle posted very often is dealt out in pairs of blocks.
 
@@ -33,7 +33,11 @@ from .components import connected
 SHINGLE, PERCENT = 4, 85
 #: Places of the count sketch (fixed, so that its broadcast is 4 MB at any size) and of the suffix filter.
 SKETCH_BITS = 20
-RANGES = 64
+RANGES = 128
+#: Candidates that a class meets under a shingle at first, those that the suffix filter puts nearest.
+NEAREST = 3
+#: Places of the filter that picks the sets to verify (fixed: 8 MB).
+FILTER_BITS = 26
 #: Postings of one shingle that meet in one task; more are dealt out in pairs of blocks.
 BLOCK = 1024
 _CHUNK = 1 << 14
@@ -49,8 +53,8 @@ def set_rows(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if len(full):
         classes[full] = T.mix(np.add.reduceat(T.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), at[full]) + sizes[full].astype(np.uint64))
     row = np.repeat(np.arange(len(sizes)), sizes)
-    parts = np.bincount(row * RANGES + (hashes >> np.uint64(58)).astype(np.int64), minlength=len(sizes) * RANGES).reshape(-1, RANGES)
-    return sizes, classes.view(np.int64), [x.tobytes() for x in np.minimum(parts, 65535).astype(np.uint16)]
+    parts = np.bincount(row * RANGES + (hashes >> np.uint64(57)).astype(np.int64), minlength=len(sizes) * RANGES).reshape(-1, RANGES)
+    return sizes, classes.view(np.int64), [x.tobytes() for x in np.minimum(parts, 255).astype(np.uint8)]
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
@@ -146,10 +150,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(table: pa.Table, percent: int):
-    """(first rows, second rows, group) of pairs that pass the filters; the first row has the smaller class."""
+    """(first rows, second rows, least distance over the most allowed) of pairs that pass the filters; the first row has the smaller class."""
     order, start, group = _groups(table)
     n, pos = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("n", "pos"))
-    parts = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint16).reshape(-1, RANGES)
+    parts = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8).reshape(-1, RANGES)
     before = np.arange(len(order)) - start[group]
     sums = np.concatenate(([0], np.cumsum(before)))
     row = 0
@@ -162,11 +166,12 @@ def _candidates(table: pa.Table, percent: int):
         need = -(-percent * both // (100 + percent))
         ok = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
         x, y, most = x[ok], y[ok], (both - 2 * need)[ok]
-        near = np.empty(len(x), bool)
+        apart = np.empty(len(x), np.int64)
         for a in range(0, len(x), 65536):
             i, j = order[x[a : a + 65536]], order[y[a : a + 65536]]
-            near[a : a + 65536] = np.abs(parts[i].astype(np.int32) - parts[j]).sum(1) <= most[a : a + 65536]
-        yield order[x[near]], order[y[near]], group[y[near]]
+            apart[a : a + 65536] = np.abs(parts[i].astype(np.int16) - parts[j]).sum(1)
+        near = apart <= most
+        yield order[x[near]], order[y[near]], apart[near] / np.maximum(most[near], 1)
 
 
 def _pairs(table: pa.Table, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
@@ -190,7 +195,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("cls").alias("x"), F.col("hashes").alias("sx"))
     right = sets.select(F.col("cls").alias("y"), F.col("hashes").alias("sy"))
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
+    # a class that several tasks met has as many equal sets, and its links repeat
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long").distinct()
+
+
+def _sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(cls, hashes) of the classes in pairs, and of a few others that a filter of fixed size can't tell from them."""
+    slots = 1 << FILTER_BITS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.unique(np.concatenate([_slots(batch.column("cls").to_numpy()) for batch in batches] or [np.empty(0, np.int64)]))
+        yield pa.RecordBatch.from_arrays([pa.array(found)], ["slot"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            for chunk in np.unique(slot >> 20):
+                own.setdefault(int(chunk), np.zeros(1 << 20, bool))[slot[slot >> 20 == chunk] & ((1 << 20) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([np.packbits(x).tobytes() for x in own.values()], pa.binary())], ["chunk", "bits"])
+
+    marked = pairs.select(F.col("x").alias("cls")).unionAll(pairs.select("y")).mapInArrow(mark, "slot long").groupBy((F.col("slot") / (1 << 20)).cast("long").alias("chunk"), "slot").count()
+    bits = np.zeros((slots >> 20, 1 << 17), np.uint8)
+    for r in marked.select("chunk", "slot").repartition("chunk").mapInArrow(fill, "chunk long, bits binary").collect():  # 8 MB at any size
+        bits[r.chunk] = np.frombuffer(r.bits, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = sent.value, set()
+        for batch in batches:
+            for _, _, data, offsets in T.slices(batch.column("text")):
+                hashes, at = T.shingle_sets(data, offsets, k)
+                sizes, classes, _ = set_rows(hashes, at)
+                slot = _slots(classes).reshape(2, -1)
+                held = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).all(0) & (sizes > 0)
+                rows = [r for r in np.flatnonzero(held).tolist() if not (int(classes[r]) in seen or seen.add(int(classes[r])))]
+                low = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :_BYTES])
+                yield pa.RecordBatch.from_arrays([pa.array(classes[rows]), pa.array([low[at[r] : at[r + 1]].tobytes() for r in rows], pa.binary())], ["cls", "hashes"])
+
+    return docs.select("text").mapInArrow(build, "cls long, hashes binary")
+
+
+def _slots(classes: np.ndarray) -> np.ndarray:
+    spread = T.mix(classes.view(np.uint64))
+    mask = np.uint64((1 << FILTER_BITS) - 1)
+    return np.concatenate((spread & mask, spread >> np.uint64(32) & mask)).astype(np.int64)
 
 
 def link_groups(docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -215,28 +264,14 @@ def link_groups(docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT) ->
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (table := _gathered(batches)) is not None and len(table):
-            for x, y, _ in _candidates(table, percent):
-                lead = np.ones(len(y), bool)  # pairs come by second row, smallest first row first
-                lead[1:] = y[1:] != y[:-1]
-                yield _pairs(table, x[lead], y[lead])
+            for x, y, apart in _candidates(table, percent):
+                place = np.lexsort((x, apart, y))
+                x, y = x[place], y[place]
+                nth = np.arange(len(y)) - np.searchsorted(y, y)
+                yield _pairs(table, x[nth < NEAREST], y[nth < NEAREST])
 
     pairs = settle(index.repartition("token", "part").mapInArrow(nearest, "x long, y long").distinct())
-    active = index.select("cls").distinct()
-    holders = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(active, "cls", "left_semi")
-    nameless = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).where("doc_id is null").join(active, "cls", "left_semi")
-    texts = docs.join(holders.select("doc_id"), "doc_id", "left_semi").select("text")
-    if nameless.limit(1).count():
-        texts = texts.unionAll(docs.where("doc_id is null").select("text"))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in T.slices(batch.column("text")):
-                hashes, at = T.shingle_sets(data, offsets, k)
-                sizes, classes, _ = set_rows(hashes, at)
-                low = np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :_BYTES])
-                yield pa.RecordBatch.from_arrays([pa.array(classes), pa.array([low[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["cls", "hashes"])
-
-    sets = settle(texts.mapInArrow(build, "cls long, hashes binary").dropDuplicates(["cls"]))
+    sets = settle(_sets(docs, pairs, k))
     links = settle(_verified(pairs, sets, percent))
     groups = connected(links)
 
@@ -249,9 +284,12 @@ def link_groups(docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT) ->
 
     rooted = index.join(groups.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     more = rooted.repartition("token", "part").mapInArrow(across, "x long, y long").distinct().join(pairs, ["x", "y"], "left_anti")
-    links = links.unionAll(settle(_verified(settle(more), sets, percent)))
-    groups = connected(links)
+    more = settle(more)
     drop(index, sets)
+    sets = settle(_sets(docs, more, k))
+    links = links.unionAll(settle(_verified(more, sets, percent)))
+    drop(sets)
+    groups = connected(links)
 
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(groups.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
