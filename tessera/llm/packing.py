@@ -12,7 +12,9 @@ further columns change nothing; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,41 +28,77 @@ from .common import narrow, read, settle
 LENGTH = 4096
 END_ID = 1
 GROUP = 8192
-#: Words whose ids a worker remembers; beyond that it forgets all and starts again.
-REMEMBERED = 300_000
-# The tokenizer's own split (fixed value: its pattern).
+#: Words, and pieces between white space, whose ids a worker remembers; beyond that it forgets all and starts again.
+REMEMBERED = 400_000
+# The tokenizer's own split (fixed value: its pattern), and the same for lower-case Latin-1 text.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+# The byte-level step spells printable bytes as themselves and the others by the characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+_UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to Python only
 
 
 class WordTokenizer:
-    """Ids of whole texts by the tokenizer file, word by word: each distinct word is encoded once."""
+    """Ids of whole texts by the tokenizer file, word by word: each distinct word is encoded once.
+
+    Latin-1 texts are taken apart at white space first, and the ids of those pieces are remembered too.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
-        self.ids: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-        for word, found in zip(words, self.inner.encode_batch(words, add_special_tokens=False)):
-            self.ids[word] = np.array(found.ids, "<u4").tobytes()
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _of_words(self, words: list[str]) -> None:
+        """Learns the words that are new; all of them are known afterwards."""
+        new = {w for w in words if w not in self.words}
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            new = set(words)
+        for word in new:
+            spelled = "".join([_BYTE_CHARS[b] for b in word.encode()])
+            self.words[word] = array("I", [t.id for t in self.inner.model.tokenize(spelled)]).tobytes()
+
+    def _latin(self, text: str) -> bytes:
+        parts = text.lower().split()
+        found = list(map(self.pieces.get, parts))
+        if None in found:
+            new = {p: _LATIN.findall(p) for p, ids in zip(parts, found) if ids is None}
+            self._of_words([w for ws in new.values() for w in ws])
+            words = self.words
+            for p, ws in new.items():
+                new[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+            if len(self.pieces) + len(new) > REMEMBERED:
+                self.pieces.clear()
+            self.pieces.update(new)
+            found = [new[p] if ids is None else ids for p, ids in zip(parts, found)]
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if "<|" in text and any(s in text for s in self.special):
+        if ("<|" in text and any(s in text for s in self.special)) or any(c in text for c in _UNSURE):
             return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        plain = text.lower() if text.isascii() else self.inner.normalizer.normalize_str(text)
-        words = _SPLIT.findall(plain)
         try:
-            return b"".join([self.ids[w] for w in words])
-        except KeyError:
-            self._learn(list({w for w in words if w not in self.ids}))
-            if any(w not in self.ids for w in words):  # forgotten just now
-                self._learn(list(set(words)))
-            return b"".join([self.ids[w] for w in words])
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            words = _SPLIT.findall(self.inner.normalizer.normalize_str(text))
+            self._of_words(words)
+            return b"".join([self.words[w] for w in words])
+        return self._latin(text)
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The worker's own tokenizer, which keeps what it has learnt for the next task."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, end_id: int
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = WordTokenizer(tokenizer)
+        own = tokenizer_of(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
