@@ -7,7 +7,9 @@ as deep as LENGTH bytes.
 Not all suffixes need sorting. Each string names one anchor, the smallest hash of the GRAM-byte grams in it, so
 equal strings name equal anchors; a string whose anchor no other text holds is unique. Anchors are exchanged in
 packed blocks, then only runs of strings under shared anchors are brought together, anchor by anchor, and sorted.
-Anchors with very many texts are dealt out by the string itself, where a grouped minimum replaces the sort.
+Under an anchor with very many texts the runs are first reduced to the distinct ones, each with its smallest
+doc_id, and what the sort finds goes back to each text by a join on the run; where even the distinct runs are
+too many for a task, they are dealt out string by string, and a grouped minimum replaces the sort.
 
 Equal texts are one class, known by a 64-bit hash, and only its smallest doc_id's text is compared: every byte of
 the others goes, if there are LENGTH of them.
@@ -31,7 +33,7 @@ from . import text as T
 from .common import drop, narrow, read, settle
 
 LENGTH, GRAM = 50, 20
-#: Texts under one anchor that are sorted in one task; those under more go string by string.
+#: Runs under one anchor that are sorted in one task.
 MANY = 2000
 _LAST = (1 << 63) - 1
 
@@ -164,7 +166,7 @@ def _shared(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
 
 
 def _segments(held: DataFrame, length: int, gram: int) -> DataFrame:
-    """(cls, doc, anchor, start, many, bytes): runs of strings under shared anchors; single strings where many texts share."""
+    """(cls, doc, anchor, start, many, bytes): runs of strings under shared anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,11 +183,7 @@ def _segments(held: DataFrame, length: int, gram: int) -> DataFrame:
                 raw = data.tobytes()
                 for i in np.flatnonzero(keep | many_of).tolist():
                     r, s = int(row[i]), int(start[i])
-                    here = s - int(offsets[r])
-                    if many_of[i]:
-                        rows += [(first + r, int(anchor[i]), here + j, True, raw[s + j : s + j + length]) for j in range(int(count[i]))]
-                    else:
-                        rows.append((first + r, int(anchor[i]), here, False, raw[s : s + int(count[i]) - 1 + length]))
+                    rows.append((first + r, int(anchor[i]), s - int(offsets[r]), bool(many_of[i]), raw[s : s + int(count[i]) - 1 + length]))
                 if rows:
                     owner = pa.array([x[0] for x in rows])
                     yield pa.RecordBatch.from_arrays([batch.column("cls").take(owner), batch.column("doc").take(owner), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.bool_()), pa.array([x[4] for x in rows], pa.binary())], ["cls", "doc", "anchor", "start", "many", "bytes"])
@@ -193,35 +191,42 @@ def _segments(held: DataFrame, length: int, gram: int) -> DataFrame:
     return held.mapInArrow(run, "cls long, doc long, anchor long, start long, many boolean, bytes binary")
 
 
-def _sorted_repeats(length: int):
-    def work(own: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(own).combine_chunks()
-        cls, doc, anchor, start = (table.column(c).to_numpy() for c in ("cls", "doc", "anchor", "start"))
-        raw = table.column("bytes").to_pylist()
-        sizes = np.array([len(x) for x in raw], np.int64)
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        count = sizes - length + 1
-        at = T.ranges(np.cumsum(sizes) - sizes, count)
-        seg = np.repeat(np.arange(len(raw)), count)
-        index, group = equal_groups(data, at, anchor[seg], length)
-        if not len(index):
-            return
-        owner = doc[seg[index]]
-        least = np.full(group[-1] + 1, _LAST)
-        np.minimum.at(least, group, owner)
-        gone = np.zeros(len(at), bool)
-        gone[index[owner > least[group]]] = True
-        head = gone.copy()
-        head[1:] &= ~gone[:-1] | (seg[1:] != seg[:-1])
-        tail = gone.copy()
-        tail[:-1] &= ~gone[1:] | (seg[1:] != seg[:-1])
-        a, b = np.flatnonzero(head), np.flatnonzero(tail)
-        begin = np.cumsum(count) - count
-        s = seg[a]
-        yield pa.RecordBatch.from_arrays([pa.array(cls[s]), pa.array(start[s] + a - begin[s]), pa.array(start[s] + b - begin[s] + length)], ["cls", "start", "stop"])
+def _least_docs(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of the table's runs: their run, place in it, run's doc, and the smallest doc with an equal string under the anchor."""
+    doc, anchor = (table.column(c).to_numpy() for c in ("doc", "anchor"))
+    raw = table.column("bytes").to_pylist()
+    sizes = np.array([len(x) for x in raw], np.int64)
+    count = sizes - length + 1
+    at = T.ranges(np.cumsum(sizes) - sizes, count)
+    run = np.repeat(np.arange(len(raw)), count)
+    own = doc[run]
+    least = own.copy()
+    index, group = equal_groups(np.frombuffer(b"".join(raw), np.uint8), at, anchor[run], length)
+    if len(index):
+        best = np.full(group[-1] + 1, _LAST)
+        np.minimum.at(best, group, own[index])
+        least[index] = best[group]
+    return run, np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count), own, least
+
+
+def _true_runs(gone: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the stretches of gone within equal values of run."""
+    head, tail = gone.copy(), gone.copy()
+    head[1:] &= ~gone[:-1] | (run[1:] != run[:-1])
+    tail[:-1] &= ~gone[1:] | (run[1:] != run[:-1])
+    return np.flatnonzero(head), np.flatnonzero(tail)
+
+
+def _spans_of(table: pa.Table, run, place, gone, length: int) -> pa.RecordBatch:
+    a, b = _true_runs(gone, run)
+    cls, start = table.column("cls").to_numpy()[run[a]], table.column("start").to_numpy()[run[a]]
+    return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(start + place[a]), pa.array(start + place[b] + length)], ["cls", "start", "stop"])
+
+
+def _by_anchor(work):
+    """Runs work on whole anchors, about 4 MB together, of rows that come sorted by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by anchor: whole anchors of about 4 MB together
         own: list[pa.RecordBatch] = []
         held = 0
         for batch in batches:
@@ -232,15 +237,53 @@ def _sorted_repeats(length: int):
                 marks = whole.column("anchor").to_numpy()
                 cut = int(np.searchsorted(marks, marks[-1]))
                 if cut:
-                    yield from work(whole.slice(0, cut).to_batches())
+                    yield work(whole.slice(0, cut).combine_chunks())
                 own = whole.slice(cut).to_batches()
                 held = sum(x.nbytes for x in own) if cut else 0
-        if own and sum(map(len, own)):
-            yield from work(own)
+        if sum(map(len, own)):
+            yield work(pa.Table.from_batches(own).combine_chunks())
 
     return run
 
 
+def _sorted_spans(length: int):
+    def work(table: pa.Table) -> pa.RecordBatch:
+        run, place, own, least = _least_docs(table, length)
+        return _spans_of(table, run, place, least < own, length)
+
+    return _by_anchor(work)
+
+
+def _sorted_leasts(length: int):
+    def work(table: pa.Table) -> pa.RecordBatch:
+        run, _, _, least = _least_docs(table, length)
+        edges = np.searchsorted(run, np.arange(len(table) + 1))
+        return pa.RecordBatch.from_arrays([table.column("anchor").combine_chunks(), table.column("bytes").combine_chunks(), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(least))], ["anchor", "bytes", "leasts"])
+
+    return _by_anchor(work)
+
+
+def _hot_spans(segments: DataFrame, length: int, many: int) -> DataFrame:
+    """Spans under the anchors with many texts, by way of their distinct runs."""
+    runs = segments.groupBy("anchor", "bytes").agg(F.min("doc").alias("doc"))
+    sizes = runs.groupBy("anchor").agg((F.count("*") > many).alias("wide"))
+    runs = runs.join(sizes, "anchor")
+    leasts = runs.where("not wide").select("anchor", "bytes", "doc").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_leasts(length), "anchor long, bytes binary, leasts array<long>")
+    strings = runs.where("wide").select("anchor", "bytes", "doc", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("place")).withColumn("string", F.substring("bytes", F.col("place") + 1, length))
+    found = strings.join(strings.groupBy("string").agg(F.min("doc").alias("least")), "string")
+    wide = found.groupBy("anchor", "bytes").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "least"))), lambda x: x["least"]).alias("leasts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("leasts")
+            counts = np.array([len(x) for x in lists], np.int64)
+            row = np.repeat(np.arange(len(batch)), counts)
+            gone = lists.flatten().to_numpy() < batch.column("doc").to_numpy()[row]
+            yield _spans_of(pa.Table.from_batches([batch]).combine_chunks(), row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts), gone, length)
+
+    return segments.join(leasts.unionAll(wide), ["anchor", "bytes"]).select("cls", "doc", "start", "leasts").mapInArrow(run, "cls long, start long, stop long")
+
+
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> tuple[DataFrame, DataFrame]:
     """(cls, doc): the smallest id of each text class; (cls, spans): what goes from that one's text."""
     spark = docs.sparkSession
@@ -256,11 +299,9 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, m
     segments = settle(_segments(held, length, gram))
     drop(shared)
     few = segments.where("not many").select("cls", "doc", "anchor", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    spans = few.mapInArrow(_sorted_repeats(length), "cls long, start long, stop long")
-    lots = segments.where("many")
-    least = lots.groupBy("bytes").agg(F.min("doc").alias("least"))
-    hot = lots.join(least, "bytes").where("doc > least").select("cls", "start", (F.col("start") + length).alias("stop"))
-    spans = settle(spans.unionAll(hot).groupBy("cls").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    spans = few.mapInArrow(_sorted_spans(length), "cls long, start long, stop long")
+    spans = spans.unionAll(_hot_spans(segments.where("many").drop("many"), length, many))
+    spans = settle(spans.groupBy("cls").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
     drop(segments)
     return classes, spans
 
