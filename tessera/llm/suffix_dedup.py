@@ -256,19 +256,22 @@ def _sorted_spans(length: int):
 
 def _sorted_leasts(length: int):
     def work(table: pa.Table) -> pa.RecordBatch:
-        run, _, _, least = _least_docs(table, length)
+        run, _, own, least = _least_docs(table, length)
         edges = np.searchsorted(run, np.arange(len(table) + 1))
-        return pa.RecordBatch.from_arrays([table.column("anchor").combine_chunks(), table.column("bytes").combine_chunks(), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(least))], ["anchor", "bytes", "leasts"])
+        found = pa.RecordBatch.from_arrays([table.column("anchor").combine_chunks(), table.column("bytes").combine_chunks(), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(least))], ["anchor", "bytes", "leasts"])
+        # a run that one text alone holds and of which no string is in a smaller one loses nothing
+        loses = np.bincount(run[least < own], minlength=len(table)) > 0
+        return found.filter(pa.array(loses | (table.column("texts").to_numpy() > 1)))
 
     return _by_anchor(work)
 
 
 def _hot_spans(segments: DataFrame, length: int, many: int) -> DataFrame:
     """Spans under the anchors with many texts, by way of their distinct runs."""
-    runs = segments.groupBy("anchor", "bytes").agg(F.min("doc").alias("doc"))
+    runs = segments.groupBy("anchor", "bytes").agg(F.min("doc").alias("doc"), F.count("*").alias("texts"))
     sizes = runs.groupBy("anchor").agg((F.count("*") > many).alias("wide"))
     runs = runs.join(sizes, "anchor")
-    leasts = runs.where("not wide").select("anchor", "bytes", "doc").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_leasts(length), "anchor long, bytes binary, leasts array<long>")
+    leasts = runs.where("not wide").select("anchor", "bytes", "doc", "texts").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_leasts(length), "anchor long, bytes binary, leasts array<long>")
     strings = runs.where("wide").select("anchor", "bytes", "doc", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("place")).withColumn("string", F.substring("bytes", F.col("place") + 1, length))
     found = strings.join(strings.groupBy("string").agg(F.min("doc").alias("least")), "string")
     wide = found.groupBy("anchor", "bytes").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "least"))), lambda x: x["least"]).alias("leasts"))
