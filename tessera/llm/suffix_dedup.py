@@ -1,7 +1,7 @@
 """Removal of byte strings that repeat across documents, by depth-limited suffix sorting.
 
 A byte goes if a string of LENGTH bytes over it also starts in a document with a smaller doc_id. Equal strings
-are equal groups of suffixes that are sorted by most-significant-digit radix passes, eight bytes a pass, only
+are equal groups of suffixes that are sorted by most-significant-digit radix passes, a few bytes a pass, only
 as deep as LENGTH bytes.
 
 Not all suffixes need sorting. Each string names one anchor, the smallest hash of the GRAM-byte grams in it, so
@@ -70,23 +70,29 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -
 def equal_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes (their indices) that share their first length bytes and their group with others, and their new groups.
 
-    Each pass sorts by the next eight bytes within the groups so far; suffixes alone in theirs drop out.
+    group ascends from 0 without gaps. Each pass sorts by group and as many further bytes as fit with it into one
+    64-bit key; groups whose next bytes are all the same stay as they are, and suffixes alone in theirs drop out.
     """
-    wide = np.concatenate((data, np.zeros(8, np.uint8)))
-    index = np.arange(len(at))
-    for depth in range(0, length, 8):
-        if not len(index):
-            break
-        digit = np.zeros(len(index), np.uint64)
-        for k in range(min(8, length - depth)):
-            digit = digit << np.uint64(8) | wide[at[index] + depth + k]
-        order = np.lexsort((digit, group))
-        index, digit, group = index[order], digit[order], group[order]
+    wide = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+    words = np.zeros(len(data) + 1, np.uint64)
+    for k in range(8):
+        words = words << np.uint64(8) | wide[k : k + len(words)]
+    index, depth = np.arange(len(at)), 0
+    while depth < length and len(index):
+        step = min((64 - int(group[-1]).bit_length()) // 8, length - depth, 8)
+        digit = words[at[index] + depth] >> np.uint64(64 - 8 * step)
+        key = digit if step == 8 else group.astype(np.uint64) << np.uint64(8 * step) | digit
+        mixed = np.zeros(int(group[-1]) + 1, bool)
+        mixed[group[1:][(group[1:] == group[:-1]) & (key[1:] != key[:-1])]] = True
+        part = np.flatnonzero(mixed[group])
+        order = part[np.argsort(key[part])]
+        index[part], key[part] = index[order], key[order]
         new = np.ones(len(index), bool)
-        new[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+        new[1:] = key[1:] != key[:-1]
         group = np.cumsum(new) - 1
         several = np.bincount(group)[group] > 1
-        index, group = index[several], group[several]
+        index, group = index[several], np.cumsum(new[several]) - 1
+        depth += step
     return index, group
 
 
@@ -165,6 +171,12 @@ def _shared(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         yield from done(blocks)
 
 
+def _marked(lists: pa.Array, first: int, last: int) -> np.ndarray:
+    """The lists' anchors of rows first to last - 1, each with its row from 0 in the high bits."""
+    lists = lists.slice(first, last - first)
+    return lists.value_parent_indices().to_numpy() << 48 | lists.flatten().to_numpy()
+
+
 def _segments(held: DataFrame, length: int, gram: int) -> DataFrame:
     """(cls, doc, anchor, start, many, bytes): runs of strings under shared anchors."""
 
@@ -173,20 +185,16 @@ def _segments(held: DataFrame, length: int, gram: int) -> DataFrame:
             column = batch.column("text")
             for first, last, data, offsets in T.slices(column):
                 anchor, row, start, count = anchor_runs(data, offsets, length, gram)
-                at = np.searchsorted(row, np.arange(last - first + 1))
-                rows, many_of, keep = [], np.zeros(len(row), bool), np.zeros(len(row), bool)
-                for r in range(last - first):
-                    own = anchor[at[r] : at[r + 1]]
-                    keep[at[r] : at[r + 1]] = np.isin(own, np.array(batch.column("few")[first + r].as_py() or [], np.int64))
-                    if lots := batch.column("lots")[first + r].as_py():
-                        many_of[at[r] : at[r + 1]] = np.isin(own, np.array(lots, np.int64))
-                raw = data.tobytes()
-                for i in np.flatnonzero(keep | many_of).tolist():
-                    r, s = int(row[i]), int(start[i])
-                    rows.append((first + r, int(anchor[i]), s - int(offsets[r]), bool(many_of[i]), raw[s : s + int(count[i]) - 1 + length]))
-                if rows:
-                    owner = pa.array([x[0] for x in rows])
-                    yield pa.RecordBatch.from_arrays([batch.column("cls").take(owner), batch.column("doc").take(owner), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.bool_()), pa.array([x[4] for x in rows], pa.binary())], ["cls", "doc", "anchor", "start", "many", "bytes"])
+                own = row << 48 | anchor
+                many_of = np.isin(own, _marked(batch.column("lots"), first, last))
+                keep = np.flatnonzero(many_of | np.isin(own, _marked(batch.column("few"), first, last)))
+                for a in range(0, len(keep), 50_000):
+                    part = keep[a : a + 50_000]
+                    sizes = count[part] - 1 + length
+                    owner = pa.array(first + row[part])
+                    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                    strings = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(data[T.ranges(start[part], sizes)])])
+                    yield pa.RecordBatch.from_arrays([batch.column("cls").take(owner), batch.column("doc").take(owner), pa.array(anchor[part]), pa.array(start[part] - offsets[row[part]]), pa.array(many_of[part]), strings], ["cls", "doc", "anchor", "start", "many", "bytes"])
 
     return held.mapInArrow(run, "cls long, doc long, anchor long, start long, many boolean, bytes binary")
 
@@ -201,7 +209,8 @@ def _least_docs(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, n
     run = np.repeat(np.arange(len(raw)), count)
     own = doc[run]
     least = own.copy()
-    index, group = equal_groups(np.frombuffer(b"".join(raw), np.uint8), at, anchor[run], length)
+    rank = np.cumsum(np.append(False, anchor[1:] != anchor[:-1]))
+    index, group = equal_groups(np.frombuffer(b"".join(raw), np.uint8), at, rank[run], length)
     if len(index):
         best = np.full(group[-1] + 1, _LAST)
         np.minimum.at(best, group, own[index])
