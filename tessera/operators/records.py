@@ -75,14 +75,6 @@ def precision_recall(df: DataFrame, predicted, truth, beta: float = 1.0) -> Data
     return one.select("tp", "fp", "fn", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / (F.col("tp") + F.col("fn"))).alias("recall"), ((1 + b) * F.col("tp") / ((1 + b) * F.col("tp") + b * F.col("fn") + F.col("fp"))).alias("f_beta"))
 
 
-def roc(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """(score, tpr, fpr) at every distinct score: counts by score first, then running sums over those."""
-    by = df.groupBy(score).agg(F.sum(truth).alias("p"), F.count("*").alias("n"))
-    run = Window.orderBy(F.desc(score))
-    both = by.select(score, F.sum("p").over(run).alias("tp"), F.sum(F.col("n") - F.col("p")).over(run).alias("fp")).crossJoin(F.broadcast(by.agg(F.sum("p").alias("P"), F.sum(F.col("n") - F.col("p")).alias("N"))))
-    return both.select(score, (F.col("tp") / F.col("P")).alias("tpr"), (F.col("fp") / F.col("N")).alias("fpr"))
-
-
 def overlapping_spheres(points: DataFrame, most_radius: float) -> DataFrame:
     """Pairs (a < b) of spheres (id, x, y, z, r) that overlap; a grid of twice the greatest radius bounds the join."""
     cell = 2 * most_radius

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import records as R
+from ..operators import statistics as S
 from ..operators import voxel as V
+from . import analysis
 
 SHAPE = (30, 24, 16)
 S1, S2 = 1.0, 1.6
@@ -207,7 +209,7 @@ def pr_fbeta(spark, d):
 
 def roc_points(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return R.roc(rows, "n_chars", "quality").select("n_chars", F.round("tpr", 8).alias("tpr"), F.round("fpr", 8).alias("fpr"))
+    return S.roc(rows, "n_chars", "quality").select("n_chars", F.round("tpr", 8).alias("tpr"), F.round("fpr", 8).alias("fpr"))
 
 
 def sphere_overlap(spark, d):
@@ -281,8 +283,8 @@ _QUERIES = (pick_dog_peaks, smooth_gaussian, dog, local_maxima, local_minima, gr
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in _QUERIES}
+    return {**{f.__name__: f for f in _QUERIES}, **analysis.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {**SQL, **analysis.SQL}
