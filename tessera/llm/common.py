@@ -60,7 +60,7 @@ def drop(*tables: DataFrame) -> None:
 
 def narrow(spark: SparkSession) -> None:
     """Keeps Arrow batches to Python small in bytes, whatever the texts' length."""
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)),):
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)),):
         try:
             spark.conf.set(key, value)
         except Exception:  # not in this Spark version: the record limit alone holds

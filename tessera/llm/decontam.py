@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per shard of the corpus.
 
-A shard is one Arrow batch of documents. Its words become symbols of the test phrases' vocabulary; what
+A shard is a slice of about 2 MB of an Arrow batch of documents, or one longer document. Its words become symbols of the test phrases' vocabulary; what
 stands between runs of such words cannot be part of a phrase and is one separator, and runs shorter than
 the shortest phrase are left out. Every window of ten consecutive item words (an item of fewer is one
 window) is searched backwards, its occurrences are located, and their spans merged.
@@ -109,7 +109,7 @@ def _blocks(benchmark: DataFrame, window: int) -> list:
 
 def _shards(column: pa.Array, blocks: list):
     """(first row, last row, bytes, offsets, word starts, word ends, row offsets of words, covered words, item ids by row)."""
-    for first, last, data, offsets in T.slices(column, 8 << 20):
+    for first, last, data, offsets in T.slices(column):
         starts, ends, at = T.word_spans(data, offsets, T.ALNUM)
         words = T.span_hashes(T.LOWER[data], starts, ends)
         covered = np.zeros(len(words), bool)
