@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import records as R
 from ..operators import statistics as S
 from ..operators import voxel as V
-from . import analysis
+from . import imaging
 
 SHAPE = (30, 24, 16)
 S1, S2 = 1.0, 1.6
@@ -283,8 +283,8 @@ _QUERIES = (pick_dog_peaks, smooth_gaussian, dog, local_maxima, local_minima, gr
 
 
 def queries() -> dict:
-    return {**{f.__name__: f for f in _QUERIES}, **analysis.QUERIES}
+    return {**{f.__name__: f for f in _QUERIES}, **imaging.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**SQL, **analysis.SQL}
+    return {**SQL, **imaging.oracle_sql()}
