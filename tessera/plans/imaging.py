@@ -74,6 +74,16 @@ def prototype_nearest(spark, d):
     return n.select("vec_id", "label", F.round("distance", 5).alias("distance"))
 
 
+@_query("""WITH e AS (SELECT vec_id, label, pos, embedding[pos]::DOUBLE AS v FROM embeddings, range(1, 65) p(pos)), c AS (SELECT label, pos, avg(v) AS c FROM e GROUP BY ALL),
+d AS (SELECT vec_id, c.label, sum((v - c) * (v - c)) AS distance FROM e JOIN c USING (pos) GROUP BY vec_id, c.label)
+SELECT vec_id, label, round(distance, 5) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, label) = 1""")
+def prototype_nearest_all(spark, d):
+    """Class means of all rows as prototypes, all rows as queries."""
+    e = _table(spark, d, "embeddings")
+    n = I.nearest_prototype(e, I.prototypes(e, "label", "embedding", 64), "vec_id", "label", "embedding")
+    return n.select("vec_id", "label", F.round("distance", 5).alias("distance"))
+
+
 _POINTS = "q AS (SELECT p_brand, p_partkey * 37 % 211 AS x, p_partkey * 101 % 223 AS y, p_partkey * 53 % 227 AS z FROM part)"
 
 

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import imaging as I
+from tessera.plans import catalog
 
 
 def _table(spark, v):
@@ -64,3 +65,15 @@ def test_angles_and_trials(spark):
     got = df.select(I.angle_between(F.col("a"), F.col("b")), I.ransac_trials(F.col("i"), F.col("n"), 2, 0.99)).collect()
     assert abs(got[0][0] - np.pi / 2) < 1e-12 and got[1][0] < 1e-7 and got[2][0] is None
     assert [r[1] for r in got] == [17, 1, None]
+
+
+def test_every_row_has_a_nearest_prototype(spark, tmp_path):
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.normal(size=64).astype("float32").tolist(), 5 if i % 2 else 4) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.label, r.distance) for r in catalog.queries()["prototype_nearest_all"](spark, str(tmp_path)).collect()}
+    mean = {k: np.mean([v for _, v, g in rows if g == k], axis=0) for k in (4, 5)}
+    far = {i: {k: float(((np.array(v) - m) ** 2).sum()) for k, m in mean.items()} for i, v, _ in rows}
+    assert set(got) == set(range(20))
+    for i, d in far.items():
+        assert got[i][0] == min(d, key=d.get) and abs(got[i][1] - min(d.values())) < 1e-4
