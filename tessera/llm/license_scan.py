@@ -4,9 +4,10 @@ Every line of a file is compared with license templates by the cosine of sparse
 frequencies being counted over all files; a file without a line at the threshold inherits from the licence
 file in its nearest ancestor directory, found by joins on directory paths.
 
-Words are runs of a-z and 0-9 in lower case. Words that no template holds weigh as unseen ones. A line can
-reach the threshold for a template only if it holds one of the template's heavier words (the others' share
-of its norm is below the threshold), so lines without any such anchor are not scored: that loses nothing.
+Words are runs of a-z and 0-9 in lower case. Words that no template holds weigh by their own document
+frequency too, which a join on the word finds for the lines that are scored. A line can reach the threshold
+for a template only if it holds one of the template's heavier words (the others' share of its norm is below
+the threshold), so lines without any such anchor are not scored: that loses nothing.
 
 Defined results: null texts have no line and inherit only; a null path has no directory and inherits from
 nothing; ties go to the higher cosine, then the licence's name; rows that agree in path and text get the
@@ -64,7 +65,6 @@ def scan(files: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD)
     n = files.agg(total).first().n
     found = files.select(F.explode(F.array_intersect(_words(F.col("text")), held)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     df = {r.word: r.df for r in found.collect()}  # one row a template word at most
-    unseen = math.log(1 + n) + 1
     idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
     norms = [math.sqrt(sum((k * idf[w]) ** 2 for w, k in c.items())) for c in counts]
     anchors = set()
@@ -81,7 +81,13 @@ def scan(files: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD)
     lines = lines.withColumn("w", _words(F.col("l"))).where(F.arrays_overlap("w", F.array(*[F.lit(w) for w in sorted(anchors)])))
     tf = lines.select(*key, "_line", F.explode("w").alias("word")).groupBy(*key, "_line", "word").agg(F.count("*").alias("tf"))
     # rows that agree in path and text have counted each word as often as there are such rows: the cosine is the same
-    tf = tf.join(F.broadcast(weights), "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
+    tf = tf.join(F.broadcast(weights), "word", "left")
+    # the templates' words, often hot, have their weight already and stay out of the join
+    other = tf.where("idf is null")
+    often = files.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).join(other.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("_df"))
+    other = other.drop("idf").join(often, "word").withColumn("idf", F.log(F.lit(1.0 + n) / (1 + F.col("_df"))) + 1)
+    tf = tf.where("idf is not null").unionByName(other.select(tf.columns))
+    tf = tf.withColumn("x", F.col("tf") * F.col("idf"))
     dots = [F.sum(F.coalesce(F.col("x") * F.col("parts")[i], F.lit(0.0))).alias(f"d{i}") for i in range(len(templates))]
     scored = tf.groupBy(*key, "_line").agg(F.sum(F.col("x") * F.col("x")).alias("sq"), *dots)
     best = F.greatest(*[F.struct(F.round(F.col(f"d{i}") / F.sqrt("sq"), 6).alias("cosine"), F.lit(name).alias("license")) for i, (name, _) in enumerate(templates)])
