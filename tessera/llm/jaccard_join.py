@@ -58,23 +58,23 @@ def set_rows(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: (id, n, cls, ranges) of each row; kind 1: a chunk of the task's sketch counts."""
+    """kind 0: (id, n, cls, ranges, mark) of each row, mark a hash of the text itself; kind 1: a chunk of the task's sketch counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["kind", "id", "n", "cls", "data"]
+        names = ["kind", "id", "n", "cls", "data", "mark"]
         for batch in batches:
             for first, last, data, offsets in T.slices(batch.column("text")):
                 hashes, at = T.shingle_sets(data, offsets, k)
                 counts += np.bincount((hashes & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(counts))
                 sizes, classes, parts = set_rows(hashes, at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column("doc_id").slice(first, last - first), pa.array(sizes), pa.array(classes), pa.array(parts, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column("doc_id").slice(first, last - first), pa.array(sizes), pa.array(classes), pa.array(parts, pa.binary()), batch.column("mark").slice(first, last - first)], names)
         chunks = np.flatnonzero(counts.reshape(-1, _CHUNK).any(1))
         low = np.minimum(counts, 2**31 - 1).astype(np.int32).reshape(-1, _CHUNK)
         zero = pa.array(np.zeros(len(chunks), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(chunks), np.int32)), pa.array(chunks), zero, zero, pa.array([low[c].tobytes() for c in chunks], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(chunks), np.int32)), pa.array(chunks), zero, zero, pa.array([low[c].tobytes() for c in chunks], pa.binary()), zero], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, id long, n long, cls long, data binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "kind int, id long, n long, cls long, data binary, mark long")
 
 
 def _sketch(described: DataFrame) -> np.ndarray:
@@ -242,12 +242,12 @@ def _slots(classes: np.ndarray) -> np.ndarray:
     return np.concatenate((spread & mask, spread >> np.uint64(32) & mask)).astype(np.int64)
 
 
-def link_groups(docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text, ...)."""
+def link_groups(docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, marked: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text, ...); marked: and mark, the xxhash64 of its text."""
     narrow(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     described = settle(_describe(docs, k))
-    rows = described.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "cls", "data")
+    rows = described.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "cls", "data", "mark")
     first = settle(_postings(docs, _sketch(described), k, percent))
 
     often = first.where("hot").groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("token", F.expr(f"cast(ceil(m / {BLOCK}) as int)").alias("blocks"))
@@ -294,13 +294,14 @@ def link_groups(docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT) ->
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(groups.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.select("cls", "root").join(names, "root").select("cls", "component_id")
-    return rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *["mark"] * marked)
 
 
 def keep_one(docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each group: that of the smallest doc_id; rows without an id or without words stay."""
-    lost = link_groups(docs, k=k, percent=percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_lost")).distinct()
-    kept = docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    lost = link_groups(docs, k=k, percent=percent, marked=True).where("component_id <> doc_id").select(F.col("doc_id").alias("_lost"), F.col("mark").alias("_mark")).distinct()
+    # by the text too: another text under the same id may be the only one of its group
+    kept = docs.join(lost, (F.col("doc_id") == F.col("_lost")) & (F.xxhash64("text") == F.col("_mark")), "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
     return kept.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same") if again else kept
 

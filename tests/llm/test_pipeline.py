@@ -41,3 +41,10 @@ def test_near_duplicates_take_five_words_and_080(spark):
     assert got == one_of_each(rows)
     assert {1, 11, 21, 41, 51} & got == set() and 31 in got
     assert {11, 21, 41, 51} <= one_of_each(rows, 4, 85)
+
+
+def test_near_duplicates_drop_rows_not_ids(spark):
+    rows = planted()[:2]
+    (a, text), (b, near) = rows
+    kept = P.near_duplicates(spark, frame(spark, [(a, text), (b, near), (b, "a text of its own"), (b, "a text of its own"), (None, near), (7, None)]), "").collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in kept) == sorted([(a, text), (b, "a text of its own"), (-1, near), (7, "")])
