@@ -48,3 +48,26 @@ def test_near_duplicates_drop_rows_not_ids(spark):
     (a, text), (b, near) = rows
     kept = P.near_duplicates(spark, frame(spark, [(a, text), (b, near), (b, "a text of its own"), (b, "a text of its own"), (None, near), (7, None)]), "").collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in kept) == sorted([(a, text), (b, "a text of its own"), (-1, near), (7, "")])
+
+
+def test_run(spark, tmp_path):
+    """All five stages; without labels the classifier rejects nothing."""
+    from tokenizers import Tokenizer
+
+    from tessera.llm.packing import default_tokenizer
+
+    phrase = " ".join(f"bench{i}" for i in range(12))
+    top = "line one here\nline two here\nline three here"
+    rows = [r for r in planted() if r[0] < 90] + [(100, top + "\nand the rest"), (101, top), (102, phrase), (103, "before it come some words " + phrase)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, phrase)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    lengths = {}
+    for r in P.run(spark, str(tmp_path)).collect():
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+    left = {d: "before it come some words" if d == 103 else t for d, t in rows if d not in (101, 102)}  # 101 loses its lines, 102 is the phrase
+    want = one_of_each([(d, t) for d, t in rows if d != 101]) - {102}
+    inner = Tokenizer.from_file(default_tokenizer())
+    assert {11, 21} & want == set() and {31, 100, 103} <= want
+    assert set(lengths) == want
+    assert all(abs(n - len(inner.encode(left[d], add_special_tokens=False).ids) - 1) <= (d == 103) for d, n in lengths.items())
