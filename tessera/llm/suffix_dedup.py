@@ -6,10 +6,12 @@ as deep as LENGTH bytes.
 
 Not all suffixes need sorting. Each string names one anchor, the smallest hash of the GRAM-byte grams in it, so
 equal strings name equal anchors; a string whose anchor no other text holds is unique. Anchors are exchanged in
-packed blocks, then only runs of strings under shared anchors are brought together, anchor by anchor, and sorted.
-Under an anchor with very many texts the runs are first reduced to the distinct ones, each with its smallest
-doc_id, and what the sort finds goes back to each text by a join on the run; where even the distinct runs are
-too many for a task, they are dealt out string by string, and a grouped minimum replaces the sort.
+packed blocks, where a task names an anchor that several of its texts hold only twice, then the runs of strings
+under shared anchors are cut out and reduced to the distinct ones, each with its smallest doc_id. Distinct runs
+are brought together anchor by anchor and sorted. An anchor with more runs than a task holds at once is split: its
+runs are cut by the next smallest hashes of each string (4, then 16, then the whole string), for which equal
+strings agree too, and the pieces are sorted in the same way. What the sort finds for a run goes back to the texts
+that hold it by one join.
 
 Equal texts are one class, known by a 64-bit hash, and only its smallest doc_id's text is compared: every byte of
 the others goes, if there are LENGTH of them.
@@ -33,8 +35,10 @@ from . import text as T
 from .common import drop, narrow, read, settle
 
 LENGTH, GRAM = 50, 20
-#: Runs under one anchor that are sorted in one task.
-MANY = 2000
+#: Bytes of runs that a task gathers before it sorts; an anchor with more of them is split.
+BATCH = 4 << 20
+#: How many of a string's smallest gram hashes name its group, by round of splitting; 0 is the string itself.
+FINER = (4, 16, 0)
 _LAST = (1 << 63) - 1
 
 
@@ -96,72 +100,99 @@ def equal_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: in
     return index, group
 
 
+def _packed(mark: np.ndarray, cls: np.ndarray, bucket: np.ndarray) -> list[tuple[int, bytes]]:
+    """(bucket, block) of the pairs: a block has its classes, how many anchors each holds, and the anchors' 6 bytes."""
+    order = np.lexsort((mark, cls, bucket))
+    mark, cls, bucket = mark[order], cls[order], bucket[order]
+    names, first = np.unique(bucket, return_index=True)
+    out = []
+    for b, lo, hi in zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(bucket)]):
+        c, m = cls[lo:hi], mark[lo:hi]
+        head = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+        counts = np.diff(np.append(head, len(c))).astype(np.uint32)
+        low = np.ascontiguousarray(m.view(np.uint8).reshape(-1, 8)[:, :6])
+        out.append((b, np.uint32(len(head)).tobytes() + c[head].tobytes() + counts.tobytes() + low.tobytes()))
+    return out
+
+
+def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(block, np.uint32, 1)[0])
+    counts = np.frombuffer(block, np.uint32, n, 4 + 8 * n)
+    wide = np.zeros((int(counts.sum()), 8), np.uint8)
+    wide[:, :6] = np.frombuffer(block, np.uint8, offset=4 + 12 * n).reshape(-1, 6)
+    return np.repeat(np.frombuffer(block[4 : 4 + 8 * n], np.int64), counts), wide.view("<i8").ravel()
+
+
 def _anchors(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """(bucket, block): packed distinct anchors of each text class, once a task."""
+    """(bucket, block): packed distinct anchors of each text class, once a task.
+
+    Pairs whose anchor at least two of the task's classes hold are settled here: they go to buckets from `buckets`
+    on, dealt by class, and only two of them are sent to the anchor's own bucket, so that a bucket gets at most two
+    pairs of an anchor from each task, however many texts hold it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        marks, classes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for batch in batches:
-            marks, classes = [], []
             own = batch.column("cls").to_numpy()
             for first, last, data, offsets in T.slices(batch.column("text")):
                 anchor, row, _, _ = anchor_runs(data, offsets, length, gram)
                 fresh = np.array([not (c in seen or seen.add(c)) for c in own[first:last].tolist()], bool)
                 keep = fresh[row]
-                both = np.stack((own[first:last][row[keep]], anchor[keep]), 1) if keep.any() else np.empty((0, 2), np.int64)
-                order = np.lexsort((both[:, 1], both[:, 0]))
-                both = both[order]
-                new = np.ones(len(both), bool)
-                new[1:] = (both[1:] != both[:-1]).any(1)
-                classes.append(both[new, 0])
-                marks.append(both[new, 1])
-            mark, cls = np.concatenate(marks or [np.empty(0, np.int64)]), np.concatenate(classes or [np.empty(0, np.int64)])
-            bucket = mark % buckets
-            order = np.lexsort((mark, cls, bucket))
-            mark, cls, bucket = mark[order], cls[order], bucket[order]
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = []
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                c, m = cls[edges[b] : edges[b + 1]], mark[edges[b] : edges[b + 1]]
-                head = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                counts = np.diff(np.append(head, len(c))).astype(np.uint32)
-                low = np.ascontiguousarray(m.view(np.uint8).reshape(-1, 8)[:, :6])
-                rows.append((b, np.uint32(len(head)).tobytes() + c[head].tobytes() + counts.tobytes() + low.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block"])
+                mark, cls = anchor[keep], own[first:last][row[keep]]
+                order = np.lexsort((mark, cls))
+                mark, cls = mark[order], cls[order]
+                new = np.ones(len(mark), bool)
+                new[1:] = (mark[1:] != mark[:-1]) | (cls[1:] != cls[:-1])
+                marks.append(mark[new])
+                classes.append(cls[new])
+            if sum(map(len, marks)) > 1 << 20:
+                yield from done(marks, classes)
+                marks, classes = marks[:1], classes[:1]
+        yield from done(marks, classes)
+
+    def done(marks: list[np.ndarray], classes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        mark, cls = np.concatenate(marks), np.concatenate(classes)
+        order = np.lexsort((cls, mark))
+        mark, cls = mark[order], cls[order]
+        head = np.ones(len(mark), bool)
+        head[1:] = mark[1:] != mark[:-1]
+        group = np.cumsum(head) - 1
+        nth = np.arange(len(mark)) - np.flatnonzero(head)[group]
+        several = np.bincount(group)[group] > 1 if len(group) else head
+        sent, known = nth < 2, several & (nth > 1)
+        rows = _packed(mark[sent], cls[sent], mark[sent] % buckets) + _packed(mark[known], cls[known], buckets + (T.mix(cls[known].view(np.uint64)) % np.uint64(buckets)).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block"])
 
     return texts.mapInArrow(run, "bucket int, block binary")
 
 
-def _shared(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """(cls, anchor, many) of the anchors that at least two classes hold; a bucket at a time, for they come sorted."""
+def _shared(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(cls, anchor) of the anchors that at least two classes hold; a bucket at a time, for they come sorted."""
+
+    def pairs(cls: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(cls), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(cls[a : a + 100_000]), pa.array(mark[a : a + 100_000])], ["cls", "anchor"])
 
     def done(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        classes, marks = [], []
-        for block in blocks:
-            n = int(np.frombuffer(block, np.uint32, 1)[0])
-            counts = np.frombuffer(block, np.uint32, n, 4 + 8 * n)
-            classes.append(np.repeat(np.frombuffer(block[4 : 4 + 8 * n], np.int64), counts))
-            wide = np.zeros((int(counts.sum()), 8), np.uint8)
-            wide[:, :6] = np.frombuffer(block, np.uint8, offset=4 + 12 * n).reshape(-1, 6)
-            marks.append(wide.view("<i8").ravel())
-        cls, mark = np.concatenate(classes), np.concatenate(marks)
+        both = [_unpacked(block) for block in blocks]
+        cls, mark = (np.concatenate([x[k] for x in both]) for k in (0, 1))
         order = np.lexsort((cls, mark))
         cls, mark = cls[order], mark[order]
         new = np.ones(len(mark), bool)
         new[1:] = (mark[1:] != mark[:-1]) | (cls[1:] != cls[:-1])
         cls, mark = cls[new], mark[new]
-        head = np.ones(len(mark), bool)
-        head[1:] = mark[1:] != mark[:-1]
-        group = np.cumsum(head) - 1
-        size = np.bincount(group)[group] if len(group) else group
-        keep = size > 1
-        for a in range(0, int(keep.sum()), 100_000):
-            part = np.flatnonzero(keep)[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[part]), pa.array(mark[part]), pa.array(size[part] > limit)], ["cls", "anchor", "many"])
+        same = mark[1:] == mark[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        yield from pairs(cls[keep], mark[keep])
 
     current, blocks = None, []
     for batch in batches:
         for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
+            if bucket >= buckets:
+                yield from pairs(*_unpacked(block))
+                continue
             if bucket != current and blocks:
                 yield from done(blocks)
                 blocks = []
@@ -178,44 +209,84 @@ def _marked(lists: pa.Array, first: int, last: int) -> np.ndarray:
 
 
 def _segments(held: DataFrame, length: int, gram: int) -> DataFrame:
-    """(cls, doc, anchor, start, many, bytes): runs of strings under shared anchors."""
+    """(cls, doc, anchor, start, bytes): runs of strings under shared anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("text")
-            for first, last, data, offsets in T.slices(column):
+            for first, last, data, offsets in T.slices(batch.column("text")):
                 anchor, row, start, count = anchor_runs(data, offsets, length, gram)
-                own = row << 48 | anchor
-                many_of = np.isin(own, _marked(batch.column("lots"), first, last))
-                keep = np.flatnonzero(many_of | np.isin(own, _marked(batch.column("few"), first, last)))
+                keep = np.flatnonzero(np.isin(row << 48 | anchor, _marked(batch.column("anchors"), first, last)))
                 for a in range(0, len(keep), 50_000):
                     part = keep[a : a + 50_000]
-                    sizes = count[part] - 1 + length
                     owner = pa.array(first + row[part])
-                    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                    strings = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(data[T.ranges(start[part], sizes)])])
-                    yield pa.RecordBatch.from_arrays([batch.column("cls").take(owner), batch.column("doc").take(owner), pa.array(anchor[part]), pa.array(start[part] - offsets[row[part]]), pa.array(many_of[part]), strings], ["cls", "doc", "anchor", "start", "many", "bytes"])
+                    strings = _cut_out(data, start[part], count[part] - 1 + length)
+                    yield pa.RecordBatch.from_arrays([batch.column("cls").take(owner), batch.column("doc").take(owner), pa.array(anchor[part]), pa.array(start[part] - offsets[row[part]]), strings], ["cls", "doc", "anchor", "start", "bytes"])
+
+    return held.mapInArrow(run, "cls long, doc long, anchor long, start long, bytes binary")
+
+
+def _cut_out(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[T.ranges(start, size)])])
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column and each row's offset."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-    return held.mapInArrow(run, "cls long, doc long, anchor long, start long, many boolean, bytes binary")
+
+def finer_keys(data: np.ndarray, at: np.ndarray, length: int, gram: int, many: int) -> np.ndarray:
+    """Of each string data[at : at + length], a hash of its `many` smallest gram hashes, or of itself where many is 0."""
+    if not many:
+        return T.gram_hashes(data, length)[at].view(np.int64)
+    hashes, width = T.gram_hashes(data, gram), length - gram + 1
+    out = np.zeros(len(at), np.uint64)
+    for a in range(0, len(at), 50_000):
+        least = np.sort(hashes[at[a : a + 50_000, None] + np.arange(width)], 1)[:, :many]
+        for k in range(least.shape[1]):
+            out[a : a + 50_000] = T.mix(out[a : a + 50_000] + least[:, k])
+    return out.view(np.int64)
+
+
+def _finer(pieces: DataFrame, length: int, gram: int, many: int) -> DataFrame:
+    """The pieces (a, b, at, key, bytes, doc) cut where the finer key of their strings changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for top in range(0, len(whole), 10_000):
+                batch = whole.slice(top, 10_000)
+                data, offsets = _bytes_of(batch.column("bytes"))
+                count = np.diff(offsets) - length + 1
+                at, row = T.ranges(offsets[:-1], count), np.repeat(np.arange(len(count)), count)
+                keys = finer_keys(data, at, length, gram, many)
+                head = np.ones(len(at), bool)
+                head[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
+                first = np.flatnonzero(head)
+                size = np.diff(np.append(first, len(at))) - 1 + length
+                own = pa.array(row[first])
+                place = batch.column("at").to_numpy()[row[first]] + at[first] - offsets[row[first]]
+                yield pa.RecordBatch.from_arrays([batch.column("a").take(own), batch.column("b").take(own), pa.array(place), pa.array(keys[first]), _cut_out(data, at[first], size), batch.column("doc").take(own)], _PIECE)
+
+    return pieces.select(_PIECE).mapInArrow(run, "a long, b long, at long, key long, bytes binary, doc long")
 
 
 def _least_docs(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Strings of the table's runs: their run, place in it, run's doc, and the smallest doc with an equal string under the anchor."""
-    doc, anchor = (table.column(c).to_numpy() for c in ("doc", "anchor"))
-    raw = table.column("bytes").to_pylist()
-    sizes = np.array([len(x) for x in raw], np.int64)
-    count = sizes - length + 1
-    at = T.ranges(np.cumsum(sizes) - sizes, count)
-    run = np.repeat(np.arange(len(raw)), count)
+    """Strings of the table's runs: their run, place in it, run's doc, and the smallest doc with an equal string under the key."""
+    doc, key = (table.column(c).to_numpy() for c in ("doc", "key"))
+    data, offsets = _bytes_of(table.column("bytes").combine_chunks())
+    count = np.diff(offsets) - length + 1
+    at = T.ranges(offsets[:-1], count)
+    run = np.repeat(np.arange(len(count)), count)
     own = doc[run]
     least = own.copy()
-    rank = np.cumsum(np.append(False, anchor[1:] != anchor[:-1]))
-    index, group = equal_groups(np.frombuffer(b"".join(raw), np.uint8), at, rank[run], length)
+    rank = np.cumsum(np.append(False, key[1:] != key[:-1]))
+    index, group = equal_groups(data, at, rank[run], length)
     if len(index):
         best = np.full(group[-1] + 1, _LAST)
         np.minimum.at(best, group, own[index])
         least[index] = best[group]
-    return run, np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count), own, least
+    return run, at - offsets[run], own, least
 
 
 def _true_runs(gone: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,14 +297,18 @@ def _true_runs(gone: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(head), np.flatnonzero(tail)
 
 
-def _spans_of(table: pa.Table, run, place, gone, length: int) -> pa.RecordBatch:
-    a, b = _true_runs(gone, run)
-    cls, start = table.column("cls").to_numpy()[run[a]], table.column("start").to_numpy()[run[a]]
-    return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(start + place[a]), pa.array(start + place[b] + length)], ["cls", "start", "stop"])
+def _sorted_spans(length: int):
+    """For rows (a, b, at, key, bytes, doc) that come sorted by key: (a, b, at, doc, spans), what of the piece is in a smaller text.
 
+    Whole keys are taken together, about BATCH bytes at once.
+    """
 
-def _by_anchor(work):
-    """Runs work on whole anchors, about 4 MB together, of rows that come sorted by anchor."""
+    def work(table: pa.Table) -> pa.RecordBatch:
+        run, place, own, least = _least_docs(table, length)
+        first, last = _true_runs(least < own, run)
+        edges = pa.array(np.searchsorted(run[first], np.arange(len(table) + 1)).astype(np.int32))
+        spans = pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays([pa.array(place[first]), pa.array(place[last] + length)], ["start", "stop"]))
+        return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("a", "b", "at", "doc")), spans], ["a", "b", "at", "doc", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[pa.RecordBatch] = []
@@ -241,13 +316,13 @@ def _by_anchor(work):
         for batch in batches:
             own.append(batch)
             held += batch.nbytes
-            if held > 4 << 20:
+            if held > BATCH:
                 whole = pa.Table.from_batches(own).combine_chunks()
-                marks = whole.column("anchor").to_numpy()
+                marks = whole.column("key").to_numpy()
                 cut = int(np.searchsorted(marks, marks[-1]))
                 if cut:
                     yield work(whole.slice(0, cut).combine_chunks())
-                own = whole.slice(cut).to_batches()
+                own = whole.slice(cut).combine_chunks().to_batches()
                 held = sum(x.nbytes for x in own) if cut else 0
         if sum(map(len, own)):
             yield work(pa.Table.from_batches(own).combine_chunks())
@@ -255,48 +330,40 @@ def _by_anchor(work):
     return run
 
 
-def _sorted_spans(length: int):
-    def work(table: pa.Table) -> pa.RecordBatch:
-        run, place, own, least = _least_docs(table, length)
-        return _spans_of(table, run, place, least < own, length)
-
-    return _by_anchor(work)
-
-
-def _sorted_leasts(length: int):
-    def work(table: pa.Table) -> pa.RecordBatch:
-        run, _, own, least = _least_docs(table, length)
-        edges = np.searchsorted(run, np.arange(len(table) + 1))
-        found = pa.RecordBatch.from_arrays([table.column("anchor").combine_chunks(), table.column("bytes").combine_chunks(), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(least))], ["anchor", "bytes", "leasts"])
-        # a run that one text alone holds and of which no string is in a smaller one loses nothing
-        loses = np.bincount(run[least < own], minlength=len(table)) > 0
-        return found.filter(pa.array(loses | (table.column("texts").to_numpy() > 1)))
-
-    return _by_anchor(work)
-
-
-def _hot_spans(segments: DataFrame, length: int, many: int) -> DataFrame:
-    """Spans under the anchors with many texts, by way of their distinct runs."""
-    runs = segments.groupBy("anchor", "bytes").agg(F.min("doc").alias("doc"), F.count("*").alias("texts"))
-    sizes = runs.groupBy("anchor").agg((F.count("*") > many).alias("wide"))
-    runs = runs.join(sizes, "anchor")
-    leasts = runs.where("not wide").select("anchor", "bytes", "doc", "texts").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_leasts(length), "anchor long, bytes binary, leasts array<long>")
-    strings = runs.where("wide").select("anchor", "bytes", "doc", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("place")).withColumn("string", F.substring("bytes", F.col("place") + 1, length))
-    found = strings.join(strings.groupBy("string").agg(F.min("doc").alias("least")), "string")
-    wide = found.groupBy("anchor", "bytes").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "least"))), lambda x: x["least"]).alias("leasts"))
+_PIECE = ["a", "b", "at", "key", "bytes", "doc"]
+_SPANS = "array<struct<start:long,stop:long>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("leasts")
-            counts = np.array([len(x) for x in lists], np.int64)
-            row = np.repeat(np.arange(len(batch)), counts)
-            gone = lists.flatten().to_numpy() < batch.column("doc").to_numpy()[row]
-            yield _spans_of(pa.Table.from_batches([batch]).combine_chunks(), row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts), gone, length)
 
-    return segments.join(leasts.unionAll(wide), ["anchor", "bytes"]).select("cls", "doc", "start", "leasts").mapInArrow(run, "cls long, start long, stop long")
+def _resolved(pieces: DataFrame, length: int, gram: int, most: int, finer: tuple[int, ...]) -> DataFrame:
+    """(a, b, spans): of each run (a, b), the spans of its bytes that a smaller text holds too.
 
-
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> tuple[DataFrame, DataFrame]:
+    pieces are distinct by (key, bytes), and settled. Those under keys of more than `most` bytes are cut by the next
+    of `finer`; pieces that then agree are sorted as one, with the smallest doc of all.
+    """
+    if not finer:
+        ready, rest = pieces, None
+    else:
+        crowded = pieces.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > most).select("key")
+        crowded = settle(crowded)
+        some = crowded.limit(1).count() > 0
+        ready = pieces.join(crowded, "key", "left_anti") if some else pieces
+        rest = pieces.join(crowded, "key", "left_semi") if some else None
+    ready = ready.select(_PIECE).repartition("key").sortWithinPartitions("key")
+    found = ready.mapInArrow(_sorted_spans(length), f"a long, b long, at long, doc long, spans {_SPANS}")
+    if rest is None:
+        return found.select("a", "b", "spans")
+    cut = settle(_finer(rest, length, gram, finer[0]).withColumn("x", F.xxhash64("key", "bytes")).withColumn("y", F.xxhash64("bytes", "key")))
+    one = settle(cut.groupBy("key", "bytes").agg(F.min("doc").alias("doc"), F.first("x").alias("a"), F.first("y").alias("b")).withColumn("at", F.lit(0).cast("long")))
+    inner = _resolved(one, length, gram, most, finer[1:]).groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    inner = inner.join(one.select("a", "b", F.col("doc").alias("least")), ["a", "b"]).withColumnRenamed("a", "x").withColumnRenamed("b", "y")
+    size = F.octet_length("bytes").cast("long")
+    back = cut.join(inner, ["x", "y"])
+    back = back.withColumn("spans", F.when(F.col("doc") > F.col("least"), F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("stop")))).otherwise(F.col("spans")))
+    back = back.select("a", "b", F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["stop"] + F.col("at")).alias("stop"))).alias("spans"))
+    return found.select("a", "b", "spans").unionByName(back)
+
+
+def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, most: int = BATCH, finer: tuple[int, ...] = FINER) -> tuple[DataFrame, DataFrame]:
     """(cls, doc): the smallest id of each text class; (cls, spans): what goes from that one's text."""
     spark = docs.sparkSession
     narrow(spark)
@@ -304,23 +371,29 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, m
     classes = settle(docs.groupBy("cls").agg(F.min("doc_id").alias("doc")))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = _anchors(docs.select("cls", "text"), buckets, length, gram)
-    shared = settle(blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _shared(batches, many), "cls long, anchor long, many boolean"))
-    lists = shared.groupBy("cls").agg(F.collect_list(F.when(~F.col("many"), F.col("anchor"))).alias("few"), F.collect_list(F.when(F.col("many"), F.col("anchor"))).alias("lots")).join(classes, "cls")
-    lists = lists.withColumnRenamed("cls", "list_cls")
-    held = docs.join(lists, (F.col("doc_id") == F.col("doc")) & (F.col("cls") == F.col("list_cls"))).select("cls", "doc", "text", "few", "lots")
+    shared = settle(blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _shared(batches, buckets), "cls long, anchor long"))
+    lists = shared.groupBy("cls").agg(F.collect_set("anchor").alias("anchors")).join(classes, "cls").withColumnRenamed("cls", "list_cls")
+    held = docs.join(lists, (F.col("doc_id") == F.col("doc")) & (F.col("cls") == F.col("list_cls"))).select("cls", "doc", "text", "anchors")
     segments = settle(_segments(held, length, gram))
     drop(shared)
-    few = segments.where("not many").select("cls", "doc", "anchor", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    spans = few.mapInArrow(_sorted_spans(length), "cls long, start long, stop long")
-    spans = spans.unionAll(_hot_spans(segments.where("many").drop("many"), length, many))
-    spans = settle(spans.groupBy("cls").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
-    drop(segments)
+    name = [F.xxhash64("anchor", "bytes").alias("a"), F.xxhash64("bytes", "anchor").alias("b")]
+    runs = settle(segments.groupBy("anchor", "bytes").agg(F.min("doc").alias("doc"), F.count("*").alias("texts")).select(*name, F.lit(0).cast("long").alias("at"), F.col("anchor").alias("key"), "bytes", "doc", "texts"))
+    spans = _resolved(runs, length, gram, most, finer).groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = runs.select("a", "b", F.col("doc").alias("least"), "texts").join(spans, ["a", "b"]).where("texts > 1 or size(spans) > 0")
+    size = F.octet_length("bytes").cast("long")
+    back = segments.select("cls", "start", "doc", size.alias("size"), *name).join(found, ["a", "b"])
+    # a text beside the run's first one loses the whole run
+    spans = F.when(F.col("doc") > F.col("least"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("stop")))).otherwise(F.col("spans"))
+    back = back.select("cls", F.transform(spans, lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["stop"] + F.col("start")).alias("stop"))).alias("spans"))
+    back = back.where(F.size("spans") > 0)
+    spans = settle(back.groupBy("cls").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    drop(segments, runs)
     return classes, spans
 
 
-def cut(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
+def cut(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, most: int = BATCH, finer: tuple[int, ...] = FINER) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans) of every row of docs."""
-    classes, spans = repeated_spans(docs, length=length, gram=gram, many=many)
+    classes, spans = repeated_spans(docs, length=length, gram=gram, most=most, finer=finer)
     marks = classes.join(spans, "cls", "left").withColumnRenamed("cls", "mark_cls")
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("cls")).join(marks, F.col("cls") == F.col("mark_cls"), "left")
     rows = rows.select("doc_id", "text", F.coalesce(F.coalesce("doc_id", F.lit(_LAST)) > F.col("doc"), F.lit(False)).alias("copy"), F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))

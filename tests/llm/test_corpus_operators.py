@@ -56,14 +56,30 @@ def test_suffix_dedup(spark):
     rows = corpus(2)
     rows += [(100 + i, "0123456789" * 4 + "abcdefghijklmnopqrst" + str(i) * 3 + "é" * 40 + str(i % 2)) for i in range(8)]
     want = brute.repeated_bytes(rows)
-    for many in (2000, 2):
-        got = {r.doc_id: tuple(r[2:]) for r in suffix_dedup.cut(frame(spark, rows), many=many).collect()}
+    for most in (suffix_dedup.BATCH, 200):
+        got = {r.doc_id: tuple(r[2:]) for r in suffix_dedup.cut(frame(spark, rows), most=most).collect()}
         assert got == want
     again = suffix_dedup.cut(frame(spark, [(1, "ab" * 40), (1, "ab" * 40), (None, "ab" * 40), (2, None)])).collect()
     assert sorted((r.doc_id or 9, r.n_removed) for r in again) == [(1, 0), (1, 0), (2, 0), (9, 80)]
     assert suffix_dedup.cut(frame(spark, [])).count() == 0
 
 
+def test_suffix_dedup_splits_a_crowded_anchor(spark, monkeypatch):
+    r = random.Random(8)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(90))
+    other = lambda n: "".join(r.choice("xyz ") for _ in range(n))
+    rows = [(i, other(i % 60) + shared[i % 3 :] + other(40) + ("abab" * 30 if i % 5 == 0 else "")) for i in range(60)]
+    rows += [(60 + i, other(30) + shared[:70] + rows[i][1][-45:]) for i in range(20)]
+    want = brute.repeated_bytes(rows)
+    rounds = []
+    finer = suffix_dedup._finer
+    monkeypatch.setattr(suffix_dedup, "_finer", lambda *a: rounds.append(a[3]) or finer(*a))
+    for most in (4000, 100, 0):
+        got = {r.doc_id: tuple(r[2:]) for r in suffix_dedup.cut(frame(spark, rows), most=most).collect()}
+        assert got == want
+    assert set(rounds) == set(suffix_dedup.FINER)
+
+
 def test_decontamination(spark):
     rows = corpus(3)
     items = [(7, rows[8][1]), (8, "ab of"), (9, None), (10, "..."), (None, rows[9][1]), (11, rows[10][1] + " tail words"), (7, "the the")]
