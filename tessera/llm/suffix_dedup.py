@@ -250,7 +250,7 @@ def finer_keys(data: np.ndarray, at: np.ndarray, length: int, gram: int, many: i
 
 
 def _finer(pieces: DataFrame, length: int, gram: int, many: int) -> DataFrame:
-    """The pieces (a, b, at, key, bytes, doc) cut where the finer key of their strings changes."""
+    """(a, b, doc, at, key, bytes): the pieces cut where the finer key of their strings changes, at the place at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -265,10 +265,9 @@ def _finer(pieces: DataFrame, length: int, gram: int, many: int) -> DataFrame:
                 first = np.flatnonzero(head)
                 size = np.diff(np.append(first, len(at))) - 1 + length
                 own = pa.array(row[first])
-                place = batch.column("at").to_numpy()[row[first]] + at[first] - offsets[row[first]]
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(own), batch.column("b").take(own), pa.array(place), pa.array(keys[first]), _cut_out(data, at[first], size), batch.column("doc").take(own)], _PIECE)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("a", "b", "doc")), pa.array(at[first] - offsets[row[first]]), pa.array(keys[first]), _cut_out(data, at[first], size)], ["a", "b", "doc", "at", "key", "bytes"])
 
-    return pieces.select(_PIECE).mapInArrow(run, "a long, b long, at long, key long, bytes binary, doc long")
+    return pieces.select("a", "b", "doc", "bytes").mapInArrow(run, "a long, b long, doc long, at long, key long, bytes binary")
 
 
 def _least_docs(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -298,17 +297,18 @@ def _true_runs(gone: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _sorted_spans(length: int):
-    """For rows (a, b, at, key, bytes, doc) that come sorted by key: (a, b, at, doc, spans), what of the piece is in a smaller text.
+    """For pieces that come sorted by key: (a, b, doc, spans), what of the piece is in a smaller text.
 
-    Whole keys are taken together, about BATCH bytes at once.
+    Whole keys are taken together, about BATCH bytes at once. Pieces of one text that lose nothing are left out.
     """
 
     def work(table: pa.Table) -> pa.RecordBatch:
         run, place, own, least = _least_docs(table, length)
         first, last = _true_runs(least < own, run)
-        edges = pa.array(np.searchsorted(run[first], np.arange(len(table) + 1)).astype(np.int32))
-        spans = pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays([pa.array(place[first]), pa.array(place[last] + length)], ["start", "stop"]))
-        return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("a", "b", "at", "doc")), spans], ["a", "b", "at", "doc", "spans"])
+        edges = np.searchsorted(run[first], np.arange(len(table) + 1))
+        spans = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.StructArray.from_arrays([pa.array(place[first]), pa.array(place[last] + length)], ["start", "stop"]))
+        found = pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("a", "b", "doc")), spans], ["a", "b", "doc", "spans"])
+        return found.filter(pa.array((np.diff(edges) > 0) | (table.column("texts").to_numpy() > 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[pa.RecordBatch] = []
@@ -330,37 +330,50 @@ def _sorted_spans(length: int):
     return run
 
 
-_PIECE = ["a", "b", "at", "key", "bytes", "doc"]
-_SPANS = "array<struct<start:long,stop:long>>"
+def _distinct(pieces: DataFrame) -> DataFrame:
+    """(a, b, key, bytes, doc, texts): each (key, bytes) of the pieces once, named by two hashes, with its smallest doc."""
+    one = settle(pieces.groupBy("key", "bytes").agg(F.min("doc").alias("doc"), F.count("*").alias("texts")))
+    out = one.select(*_name(), "key", "bytes", "doc", "texts")
+    out._tessera_path = one._tessera_path
+    return out
+
+
+def _name() -> list:
+    return [F.xxhash64("key", "bytes").alias("a"), F.xxhash64("bytes", "key").alias("b")]
+
+
+def _back(pieces: DataFrame, found: DataFrame, at: str) -> DataFrame:
+    """The spans of found (a, b, doc, spans) for all pieces (x, y, doc, size, at) that they name, counted from at.
+
+    A piece of a text beside the one of the smallest doc is lost as a whole.
+    """
+    found = found.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("doc").alias("least"), "spans")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("stop")))
+    spans = F.when(F.col("doc") > F.col("least"), whole).otherwise(F.col("spans"))
+    moved = F.transform(spans, lambda s: F.struct((s["start"] + F.col(at)).alias("start"), (s["stop"] + F.col(at)).alias("stop")))
+    return pieces.join(found, ["x", "y"]).withColumn("spans", moved).where(F.size("spans") > 0)
 
 
 def _resolved(pieces: DataFrame, length: int, gram: int, most: int, finer: tuple[int, ...]) -> DataFrame:
-    """(a, b, spans): of each run (a, b), the spans of its bytes that a smaller text holds too.
+    """(a, b, doc, spans) of the distinct pieces that several texts hold or that lose bytes to a smaller text.
 
-    pieces are distinct by (key, bytes), and settled. Those under keys of more than `most` bytes are cut by the next
-    of `finer`; pieces that then agree are sorted as one, with the smallest doc of all.
+    Those under keys of more than `most` bytes are cut by the next of `finer`, and what then agrees is one piece.
     """
-    if not finer:
-        ready, rest = pieces, None
-    else:
-        crowded = pieces.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > most).select("key")
-        crowded = settle(crowded)
-        some = crowded.limit(1).count() > 0
-        ready = pieces.join(crowded, "key", "left_anti") if some else pieces
-        rest = pieces.join(crowded, "key", "left_semi") if some else None
-    ready = ready.select(_PIECE).repartition("key").sortWithinPartitions("key")
-    found = ready.mapInArrow(_sorted_spans(length), f"a long, b long, at long, doc long, spans {_SPANS}")
-    if rest is None:
-        return found.select("a", "b", "spans")
-    cut = settle(_finer(rest, length, gram, finer[0]).withColumn("x", F.xxhash64("key", "bytes")).withColumn("y", F.xxhash64("bytes", "key")))
-    one = settle(cut.groupBy("key", "bytes").agg(F.min("doc").alias("doc"), F.first("x").alias("a"), F.first("y").alias("b")).withColumn("at", F.lit(0).cast("long")))
-    inner = _resolved(one, length, gram, most, finer[1:]).groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    inner = inner.join(one.select("a", "b", F.col("doc").alias("least")), ["a", "b"]).withColumnRenamed("a", "x").withColumnRenamed("b", "y")
-    size = F.octet_length("bytes").cast("long")
-    back = cut.join(inner, ["x", "y"])
-    back = back.withColumn("spans", F.when(F.col("doc") > F.col("least"), F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("stop")))).otherwise(F.col("spans")))
-    back = back.select("a", "b", F.transform("spans", lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["stop"] + F.col("at")).alias("stop"))).alias("spans"))
-    return found.select("a", "b", "spans").unionByName(back)
+    crowded = pieces.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > most).select("key")
+    some = bool(finer) and crowded.limit(1).count() > 0
+    ready = pieces.join(crowded, "key", "left_anti") if some else pieces
+    found = ready.select("key", "a", "b", "doc", "texts", "bytes").repartition("key").sortWithinPartitions("key")
+    found = found.mapInArrow(_sorted_spans(length), "a long, b long, doc long, spans array<struct<start:long,stop:long>>")
+    if not some:
+        return found
+    rest = pieces.join(crowded, "key", "left_semi")
+    cut = settle(_finer(rest, length, gram, finer[0]))
+    inner = _resolved(_distinct(cut.select("key", "bytes", "doc")), length, gram, most, finer[1:])
+    names = [c.alias(n) for c, n in zip(_name(), "xy")]
+    back = _back(cut.select("a", "b", "doc", "at", F.octet_length("bytes").alias("size"), *names), inner, "at")
+    back = back.groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    lost = rest.select("a", "b", "doc", "texts").join(back, ["a", "b"], "left").where("texts > 1 or spans is not null")
+    return found.unionByName(lost.select("a", "b", "doc", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)).alias("spans")))
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, most: int = BATCH, finer: tuple[int, ...] = FINER) -> tuple[DataFrame, DataFrame]:
@@ -376,16 +389,10 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, m
     held = docs.join(lists, (F.col("doc_id") == F.col("doc")) & (F.col("cls") == F.col("list_cls"))).select("cls", "doc", "text", "anchors")
     segments = settle(_segments(held, length, gram))
     drop(shared)
-    name = [F.xxhash64("anchor", "bytes").alias("a"), F.xxhash64("bytes", "anchor").alias("b")]
-    runs = settle(segments.groupBy("anchor", "bytes").agg(F.min("doc").alias("doc"), F.count("*").alias("texts")).select(*name, F.lit(0).cast("long").alias("at"), F.col("anchor").alias("key"), "bytes", "doc", "texts"))
-    spans = _resolved(runs, length, gram, most, finer).groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    found = runs.select("a", "b", F.col("doc").alias("least"), "texts").join(spans, ["a", "b"]).where("texts > 1 or size(spans) > 0")
-    size = F.octet_length("bytes").cast("long")
-    back = segments.select("cls", "start", "doc", size.alias("size"), *name).join(found, ["a", "b"])
-    # a text beside the run's first one loses the whole run
-    spans = F.when(F.col("doc") > F.col("least"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("stop")))).otherwise(F.col("spans"))
-    back = back.select("cls", F.transform(spans, lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["stop"] + F.col("start")).alias("stop"))).alias("spans"))
-    back = back.where(F.size("spans") > 0)
+    runs = _distinct(segments.select(F.col("anchor").alias("key"), "bytes", "doc"))
+    found = _resolved(runs, length, gram, most, finer)
+    names = [c.alias(n) for c, n in zip(_name(), "xy")]
+    back = _back(segments.withColumnRenamed("anchor", "key").select("cls", "start", "doc", F.octet_length("bytes").alias("size"), *names), found, "start")
     spans = settle(back.groupBy("cls").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     drop(segments, runs)
     return classes, spans
