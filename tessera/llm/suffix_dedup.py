@@ -376,8 +376,8 @@ def _resolved(pieces: DataFrame, length: int, gram: int, most: int, finer: tuple
     return found.unionByName(lost.select("a", "b", "doc", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)).alias("spans")))
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, most: int = BATCH, finer: tuple[int, ...] = FINER) -> tuple[DataFrame, DataFrame]:
-    """(cls, doc): the smallest id of each text class; (cls, spans): what goes from that one's text."""
+def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, most: int = BATCH, finer: tuple[int, ...] = FINER) -> DataFrame:
+    """(cls, doc, spans): the smallest id of each text class, and what goes from that one's text."""
     spark = docs.sparkSession
     narrow(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text").where(F.octet_length("text") >= length).withColumn("cls", F.xxhash64("text"))
@@ -393,15 +393,15 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, m
     found = _resolved(runs, length, gram, most, finer)
     names = [c.alias(n) for c, n in zip(_name(), "xy")]
     back = _back(segments.withColumnRenamed("anchor", "key").select("cls", "start", "doc", F.octet_length("bytes").alias("size"), *names), found, "start")
-    spans = settle(back.groupBy("cls").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    spans = back.groupBy("cls").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = settle(classes.join(spans, "cls", "left"))
     drop(segments, runs)
-    return classes, spans
+    return out
 
 
 def cut(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, most: int = BATCH, finer: tuple[int, ...] = FINER) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans) of every row of docs."""
-    classes, spans = repeated_spans(docs, length=length, gram=gram, most=most, finer=finer)
-    marks = classes.join(spans, "cls", "left").withColumnRenamed("cls", "mark_cls")
+    marks = repeated_spans(docs, length=length, gram=gram, most=most, finer=finer).withColumnRenamed("cls", "mark_cls")
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("cls")).join(marks, F.col("cls") == F.col("mark_cls"), "left")
     rows = rows.select("doc_id", "text", F.coalesce(F.coalesce("doc_id", F.lit(_LAST)) > F.col("doc"), F.lit(False)).alias("copy"), F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
 
