@@ -14,8 +14,10 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where spark.checkpoint.dir is unset, as in tests."""
+    """The cluster's shared folder; one of our own only where spark.checkpoint.dir is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -67,6 +69,18 @@ def narrow(spark: SparkSession) -> None:
             pass
 
 
+def packed(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns of keep, and all others in one struct _row, so that no name of theirs can clash with one of ours."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in keep]
+    return df.select(*keep, F.struct(*rest or [F.lit(None).cast("int").alias("none")]).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of a packed table by name, with those of new in their place, or after them."""
+    out = [new[c].alias(c) if c in new else F.col(c) if c in df.columns and c != "_row" else F.col("_row").getField(c).alias(c) for c in columns]
+    return df.select(*out, *(c.alias(name) for name, c in new.items() if name not in columns))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -2,8 +2,10 @@
 
 A page is a sequence of blocks. A bidirectional LSTM in numpy reads, for each block, a vector of its
 hashed tag path, one of its hashed words and a few lengths, and labels it main text or not with the whole
-page as context. It is trained here, on a bounded sample of pages and on generated layouts, with the labels
-that sectioning elements, roles and class names imply.
+page as context. It is trained here. Generated pages of many layouts, around texts of a bounded sample of
+pages, carry the truth they were made with; of the sampled pages themselves those with an `article` or `main`
+element teach what the HTML standard says of it. Half of all training pages are read without the names that
+tell: their tags, classes and ids are replaced at random, so that text and position have to tell alone.
 
 Defined results: a null or blank page has an empty text of 0 characters; pages are read one by one, so
 repeated ids and further columns change nothing; an empty table gives no rows (the labeller then knows the
@@ -24,49 +26,66 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .common import narrow, read
-from .html_blocks import Block, blocks
+from .html_blocks import Block, Node, blocks
 
 PATH_DIM, WORD_DIM, HIDDEN = 96, 48, 24
 DIM = PATH_DIM + WORD_DIM + 6
-#: Most pages that a fit takes (those of the smallest xxhash64 of url and id), beside as many generated ones.
-SAMPLE_PAGES = 240
+#: Most pages that a fit takes (those of the smallest xxhash64 of url and id), the longest of them in characters,
+#: and how many pages are generated beside them.
+SAMPLE_PAGES, SAMPLE_CHARS, GENERATED_PAGES = 240, 65_536, 480
+#: Steps of a page that a prediction reads at once.
+STEPS = 1024
 
-# Names that mark what is not the article, and what is.
-ASIDE = set("nav header footer aside form menu sidebar ad ads advert advertisement promo sponsor banner cookie notice consent popup modal comment comments respond replies share social related breadcrumb newsletter login search widget navigation contentinfo complementary disclaimer copyright".split())
-MAIN = set("article main articlebody post content entry story".split())
+# Elements by the HTML standard that hold a page's main content, and that stand outside of it.
+MAIN = {"article", "main"}
+OUTSIDE = {"nav", "aside", "footer", "form", "header", "dialog"}
 
 
-def weak_label(block: Block) -> bool | None:
-    """What a block's path implies; None where it says nothing."""
-    own = set(block.path)
-    inner = next((x for x in reversed(block.path) if x in ASIDE or x in MAIN), None)
-    if not own & MAIN:
-        return False if own & ASIDE else None
-    if inner in ASIDE or any(x in ASIDE and not (x == "header" and "h1" in own) for x in block.path[block.path.index(next(x for x in block.path if x in MAIN)) :]):
-        return "header" == inner and "h1" in own
-    return True
+def standard_label(block: Block) -> bool | None:
+    """What the HTML standard's sectioning elements say of a block; None where there is no article or main around it."""
+    node, outside, title = block.node, False, False
+    while node:
+        title |= node.words[0] == "h1"
+        outside |= node.words[0] in OUTSIDE and not (node.words[0] == "header" and title)
+        if node.words[0] in MAIN:
+            return not outside
+        node = node.parent
+    return False if outside else None
 
 
-def _slot(word: str, dim: int) -> int:
-    return zlib.crc32(word.encode()) % dim
+_slots: dict[str, int] = {}
 
 
-_slots: dict[str, int] = {}
+def _slot(word: str) -> int:
+    slot = _slots.get(word)
+    if slot is None:
+        if len(_slots) > 100_000:
+            _slots.clear()
+        slot = _slots[word] = zlib.crc32(word.encode()) % PATH_DIM
+    return slot
+
+
+def _path_vector(node: Node | None) -> np.ndarray:
+    """Counts of the hashed words of the elements around a block; each element adds to its parent's once."""
+    todo = []
+    while node and node.cache is None:
+        todo.append(node)
+        node = node.parent
+    out = node.cache if node else np.zeros(PATH_DIM, np.float32)
+    for n in reversed(todo):
+        out = n.cache = out.copy()
+        for word in n.words:
+            out[_slot(word)] += 1
+    return out
 
 
 def vectors(page: list[Block]) -> np.ndarray:
     out = np.zeros((len(page), DIM), np.float32)
     for i, b in enumerate(page):
-        for depth, x in enumerate(b.path):
-            slot = _slots.get(x)
-            if slot is None:
-                if len(_slots) > 100_000:
-                    _slots.clear()
-                slot = _slots[x] = _slot(x, PATH_DIM)
-            out[i, slot] += 1 if depth else 0.5
+        out[i, :PATH_DIM] = np.minimum(_path_vector(b.node), 4)
         n = len(b.text)
         out[i, -6:] = (np.log1p(n) / 8, np.log1p(b.text.count(" ")) / 6, min(1.0, b.linked / max(n, 1)), b.text[-1] in ".!?", "©" in b.text, i / max(len(page), 1))
-    raw = [b.text.encode() for b in page]
+    raw = [b.text.encode("utf-8", "replace") for b in page]
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
     data = T.LOWER[np.frombuffer(b"".join(raw), np.uint8)]
     starts, ends, at = T.word_spans(data, offsets, T.SPACED)
@@ -94,10 +113,10 @@ class BlockLabeller:
             x[-1, HIDDEN : 2 * HIDDEN] = 1  # open forget gates
         return cls(w, r.standard_normal(2 * HIDDEN + DIM + 1) * 0.05)
 
-    def _direction(self, w: np.ndarray, x: np.ndarray, live: np.ndarray):
-        """x: pages x steps x DIM; live: which steps exist. Keeps what the backward pass needs."""
+    def _direction(self, w: np.ndarray, x: np.ndarray, live: np.ndarray, state=None, tape: bool = True):
+        """x: pages x steps x DIM; live: which steps exist. The states, what the backward pass needs, and the last state."""
         n, steps, _ = x.shape
-        h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+        h, c = state or (np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)))
         fed = x @ w[:DIM] + w[-1]
         hs, memory = np.zeros((n, steps, HIDDEN)), []
         for t in range(steps):
@@ -107,10 +126,11 @@ class BlockLabeller:
             new_c = f * c + i * g
             tc = np.tanh(new_c)
             m = live[:, t, None]
-            memory.append((h, c, i, f, o, g, tc))
+            if tape:
+                memory.append((h, c, i, f, o, g, tc))
             h, c = np.where(m, o * tc, h), np.where(m, new_c, c)
             hs[:, t] = h
-        return hs, memory
+        return hs, memory, (h, c)
 
     def _backward(self, w, x, live, memory, grad_h):
         n, steps, _ = x.shape
@@ -131,17 +151,17 @@ class BlockLabeller:
         return dw
 
     @staticmethod
-    def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        steps = max(map(len, pages))
+    def _padded(pages: list[np.ndarray], steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        steps = max(map(len, pages)) if steps is None else steps
         x, live = np.zeros((len(pages), steps, DIM)), np.zeros((len(pages), steps), bool)
         for i, p in enumerate(pages):
             x[i, : len(p)], live[i, : len(p)] = p, True
         return x, live
 
     def _states(self, x, live):
-        a, ma = self._direction(self.w[0], x, live)
+        a, ma, _ = self._direction(self.w[0], x, live)
         # read backwards, the padding comes first and leaves the state as it is
-        b, mb = self._direction(self.w[1], x[:, ::-1], live[:, ::-1])
+        b, mb, _ = self._direction(self.w[1], x[:, ::-1], live[:, ::-1])
         return np.concatenate((a, b[:, ::-1], x, np.ones((*live.shape, 1))), 2), ma, mb
 
     def predict(self, pages: list[np.ndarray]) -> list[np.ndarray]:
@@ -154,12 +174,25 @@ class BlockLabeller:
             while top < len(order) and top - at < 256 and (top + 1 - at) * len(pages[order[top]]) <= 16_384:
                 top += 1
             own, at = order[at:top], top
-            states, _, _ = self._states(*self._padded([pages[i] for i in own]))
-            p = _sigmoid(states @ self.out)
-            for row, i in enumerate(own):
-                out[i] = p[row, : len(pages[i])]
+            for i, p in zip(own, self._probabilities([pages[i] for i in own])):
+                out[i] = p
         return out
 
+    def _probabilities(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """STEPS blocks at a time in each direction: beyond the vectors, a block takes a few numbers only."""
+        steps = max(map(len, pages))
+        logit = np.zeros((len(pages), steps))
+        for k, reverse in enumerate((False, True)):
+            starts, state = range(0, steps, STEPS), None
+            for a in reversed(starts) if reverse else starts:
+                x, live = self._padded([p[a : a + STEPS] for p in pages], min(STEPS, steps - a))
+                way = slice(None, None, -1 if reverse else 1)
+                hs, _, state = self._direction(self.w[k], x[:, way], live[:, way], state, tape=False)
+                logit[:, a : a + STEPS] += hs[:, way] @ self.out[k * HIDDEN : (k + 1) * HIDDEN]
+                if not reverse:
+                    logit[:, a : a + STEPS] += x @ self.out[2 * HIDDEN : -1] + self.out[-1]
+        return [_sigmoid(row[: len(p)]) for row, p in zip(logit, pages)]
+
     @classmethod
     def fit(cls, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, batch: int = 24) -> BlockLabeller:
         """pages: (vectors, label of each block: 1, 0, or -1 for none). Adam on the log-loss."""
@@ -188,59 +221,133 @@ class BlockLabeller:
         return model
 
 
-def generated(texts: list[str], count: int, seed: int = 11) -> list[str]:
-    """Pages of many layouts around paragraphs of the given texts."""
+#: Opens every text of a generated page that belongs to the article (a private-use character).
+_TRUE = "\ue000"
+
+# Names that pages give their parts.
+_PARTS = {
+    "menu": "nav menu navbar navigation topbar breadcrumb".split(),
+    "head": "header masthead branding".split(),
+    "side": "sidebar aside widget related sponsor promo share social newsletter".split(),
+    "ad": "ad ads advert advertisement banner sponsored".split(),
+    "notice": "notice cookie consent popup modal alert".split(),
+    "comments": "comments comment replies respond discussion".split(),
+    "foot": "footer copyright legal disclaimer".split(),
+    "main": "content post entry story article-body main".split(),
+}
+
+
+def generated(bodies: list[str], asides: list[str], count: int, seed: int = 11) -> list[str]:
+    """Pages of many layouts; the article's texts are made of bodies and start with _TRUE, the rest of asides."""
     r = random.Random(seed)
-    texts = [t for t in texts if t] or ["Some words of a text, and more of them.", "Another text stands here."]
-    menus = ["Home", "About us", "Contact", "Archive", "Login", "Subscribe now", "Privacy policy", "Next page"]
+    bodies = [t for t in bodies if t.split()] or ["Some words of a text, and more of them.", "Another text stands here."]
+    asides = [t for t in asides if t.split()] or ["Home", "About us", "Contact", "Subscribe now", "Privacy policy", "Next page"]
+
+    def words(texts: list[str], least: int, most: int) -> str:
+        own = r.choice(texts).split()
+        n, at = r.randint(least, most), r.randrange(len(own))
+        return " ".join((own * (2 + n // len(own)))[at : at + n])
 
     def say(least: int, most: int) -> str:
-        words = r.choice(texts).split()
-        at = r.randrange(len(words))
-        return " ".join((words * (1 + most // len(words)))[at : at + r.randint(least, most)])
+        return words(asides if r.random() < 0.5 else bodies, least, most)
+
+    def true(least: int, most: int) -> str:
+        text = words(bodies, least, most)
+        return _TRUE + (text if r.random() < 0.2 else text.rstrip(",.;:") + r.choice(".....?!"))
+
+    def part(kind: str, inside: str, tags: list[str]) -> str:
+        name = " ".join(r.sample(_PARTS[kind], r.randint(1, 2)))
+        return f'<{(tag := r.choice(tags))} {r.choice(["class", "id"])}="{name}">{inside}</{tag}>'
 
     def links(n: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{i}">{r.choice(menus) if r.random() < 0.4 else say(1, 3)}</a></li>' for i in range(n)) + "</ul>"
+        items = [f'<a href="/{i}">{say(1, 3)}</a>' for i in range(n)]
+        return r.choice(["<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", "<p>" + " | ".join(items) + "</p>", "".join(f"<div>{x}</div>" for x in items)])
+
+    def blurb() -> str:
+        return r.choice([links(r.randint(2, 7)), f"<p>{say(3, 25)}</p>", say(4, 12), f"<h3>{say(1, 4)}</h3>" + "".join(f"<p>{say(3, 16)}</p>" for _ in range(r.randint(1, 3)))])
 
     def aside() -> str:
-        kind = r.choice(["sidebar", "ad", "advert", "promo", "notice", "cookie-notice", "widget", "related", "newsletter", "share", "comments", "menu", "banner"])
-        inside = r.choice([links(r.randint(2, 6)), f"<p>{say(3, 40)}</p>", f"<h3>{say(1, 4)}</h3>" + "".join(f"<p>{say(3, 30)}</p>" for _ in range(r.randint(1, 4)))])
-        tag = r.choice(["div", "aside", "section"])
-        return f'<{tag} {r.choice(["class", "id"])}="{kind}">{inside}</{tag}>' if r.random() < 0.85 else f"<form><p>{say(2, 6)}</p><input><button>{say(1, 2)}</button></form>"
+        kind = r.choice(["side", "side", "ad", "ad", "notice"])
+        if r.random() < 0.15:
+            return f"<form><p>{say(2, 6)}</p><input><button>{say(1, 2)}</button></form>"
+        return part(kind, blurb(), ["aside", "div", "section"] if kind == "side" else ["div", "div", "section"])
+
+    def article() -> str:
+        body = []
+        for _ in range(r.randint(1, 14)):
+            body.append(f"<p>{true(1, 4) if r.random() < 0.15 else true(4, 90)}</p>")
+            if r.random() < 0.12:
+                body.append(r.choice([f"<h2>{true(1, 6)}</h2>", f"<blockquote>{true(4, 30)}</blockquote>", f"<ul><li>{true(2, 20)}</li><li>{true(2, 20)}</li></ul>", f"<p><b>{true(2, 30)}<br>", f"<table><tr><th>{true(1, 3)}</th><td>{true(1, 5)}</td></tr></table>", f"<pre>{true(2, 20)}</pre>"]))
+            if r.random() < 0.06:
+                body.append(aside())
+        title = f"<h1>{true(1, 12)}</h1>" if r.random() < 0.9 else ""
+        shape = r.choice(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "part", "<div role=main>{}</div>"])
+        return part("main", title + "".join(body), ["div", "section"]) if shape == "part" else shape.format(title + "".join(body))
+
+    def comments() -> str:
+        return part("comments", f"<h3>{say(1, 3)}</h3>" + "".join(f"<div><p>{say(1, 2)}</p><p>{say(3, 40)}</p><a href=#>{say(1, 1)}</a></div>" for _ in range(r.randint(1, 6))), ["section", "div"])
 
     pages = []
     for _ in range(count):
-        body = [f"<p>{say(1, 90)}</p>" for _ in range(r.randint(1, 14))]
-        for i in range(len(body)):
-            if r.random() < 0.1:
-                body[i] = r.choice([f"<h2>{say(1, 6)}</h2>", f"<blockquote>{say(4, 30)}</blockquote>", f"<ul><li>{say(2, 20)}</li><li>{say(2, 20)}</li></ul>", f"<p><b>{say(2, 30)}<br>"])
-            if r.random() < 0.05:
-                body[i] += aside()
-        title = f"<h1>{say(1, 12)}</h1>"
-        main = r.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="content"><div class="post">{}</div></div>', '<div class="entry-content">{}</div>', '<div role="main">{}</div>']).format(title + "".join(body))
-        head = r.choice([f"<nav>{links(r.randint(3, 8))}</nav>", f'<header><p>{say(1, 5)}</p><nav>{links(4)}</nav></header>', f'<div class="menu">{links(6)}</div>', ""])
-        foot = r.choice([f"<footer>&copy; {say(1, 12)}</footer>", f'<div class="footer"><p>&copy; {say(2, 20)}</p>{links(3)}</div>', f'<section id="comments"><h3>{say(1, 3)}</h3>' + "".join(f"<p>{say(3, 40)}</p>" for _ in range(r.randint(1, 6))) + f"</section><footer>{say(2, 9)}</footer>", ""])
-        pages.append("<html><body>" + head + "".join(aside() for _ in range(r.randint(0, 2))) + main + "".join(aside() for _ in range(r.randint(0, 2))) + foot + "</body></html>")
+        page = [part("menu", links(r.randint(3, 9)), ["nav", "nav", "div"])] if r.random() < 0.85 else []
+        if r.random() < 0.4:
+            page.insert(r.randint(0, len(page)), part("head", f"<p>{say(1, 6)}</p>", ["header", "div"]))
+        page += [aside() for _ in range(r.choice([0, 0, 1, 1, 2]))] + [article()]
+        page += [comments()] if r.random() < 0.3 else []
+        page += [aside() for _ in range(r.choice([0, 0, 1, 2]))]
+        if r.random() < 0.85:
+            page.append(part("foot", r.choice([f"&copy; {say(1, 14)}", f"<p>{say(2, 20)}</p>{links(3)}", f"<p>&copy; {say(2, 9)}</p>", say(3, 14)]), ["footer", "footer", "div"]))
+        pages.append("<html><body>" + "".join(page) + "</body></html>")
     return pages
 
 
-def train(pages: list[str]) -> BlockLabeller:
-    rows = []
-    texts = [b.text for p in pages for b in blocks(p)]
-    for p in [*pages, *generated(texts, max(len(pages), SAMPLE_PAGES))]:
-        own = blocks(p)
-        if own:
-            labels = [weak_label(b) for b in own]
-            rows.append((vectors(own), np.array([-1.0 if x is None else float(x) for x in labels])))
+def _nameless(page: list[Block], r: random.Random) -> None:
+    """Replaces what the elements are called: sections by div, classes and ids by words that say nothing."""
+    told = {w for names in _PARTS.values() for x in names for w in x.split("-")} | MAIN | OUTSIDE | {"section"}
+    new: dict[tuple[str, ...], tuple[str, ...]] = {}
+    seen = set()
+    for b in page:
+        node = b.node
+        while node and id(node) not in seen:
+            seen.add(id(node))
+            if len(node.words) > 1 or node.words[0] in told:
+                tag = "div" if node.words[0] in told else node.words[0]
+                node.words = new.setdefault(node.words, (tag, *(f"c{r.randrange(1000)}" for _ in node.words[1:])))
+            node = node.parent
+
+
+def train(pages: list[str], *, generated_pages: int = GENERATED_PAGES, seed: int = 5) -> BlockLabeller:
+    """A labeller from the pages and as many generated ones as are asked for, half of each without telling names."""
+    r = random.Random(seed)
+    rows, bodies, asides = [], [], []
+    for n, page in enumerate(pages):
+        own = blocks(page)
+        for b in own:
+            (asides if b.linked * 2 > len(b.text) or len(b.text) < 25 else bodies).append(b.text)
+        labels = [standard_label(b) for b in own]
+        if any(labels):
+            # beside an article or main, what stands in neither is outside
+            labels = np.array([float(bool(x)) for x in labels])
+            if n % 2:
+                _nameless(own, r)
+            rows.append((vectors(own), labels))
+    for n, page in enumerate(generated(bodies, asides, generated_pages)):
+        own = blocks(page)
+        labels = np.array([float(b.text.startswith(_TRUE)) for b in own])
+        for b in own:
+            b.text = b.text.replace(_TRUE, "") or "."
+        if n % 2:
+            _nameless(own, r)
+        rows.append((vectors(own), labels))
     return BlockLabeller.fit(rows)
 
 
-def fit(pages: DataFrame, *, sample_pages: int = SAMPLE_PAGES) -> BlockLabeller:
-    """A labeller from at most sample_pages pages of up to 64 Ki characters each."""
-    rows = pages.where("html is not null and length(html) between 1 and 65536")
-    ids = rows.select("page_id", "url").distinct().orderBy(F.xxhash64("url", "page_id"), "page_id", "url").limit(sample_pages)
-    mine = rows.join(F.broadcast(ids), rows.page_id.eqNullSafe(ids.page_id) & rows.url.eqNullSafe(ids.url), "left_semi").select("html").limit(4 * sample_pages)
-    return train(sorted(r.html for r in mine.collect()))
+def fit(pages: DataFrame, *, sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS, generated_pages: int = GENERATED_PAGES) -> BlockLabeller:
+    """A labeller from at most sample_pages pages of up to sample_chars characters each."""
+    rows = pages.where(f"html is not null and length(html) between 1 and {int(sample_chars)}").select(F.xxhash64("url", "page_id").alias("_a"), F.xxhash64("html").alias("_b"), "html")
+    chosen = rows.select("_a", "_b").distinct().orderBy("_a", "_b").limit(sample_pages)
+    mine = rows.join(F.broadcast(chosen), ["_a", "_b"]).dropDuplicates(["_a", "_b"]).select("html")
+    return train(sorted(r.html for r in mine.collect()), generated_pages=generated_pages)
 
 
 def extract(pages: DataFrame, model: BlockLabeller) -> DataFrame:

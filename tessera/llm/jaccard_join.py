@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import drop, narrow, read, settle
+from .common import drop, narrow, packed, read, settle, unpacked
 from .components import connected
 
 SHINGLE, PERCENT = 4, 85
@@ -301,9 +301,10 @@ def keep_one(docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT) -> Da
     """docs with one row of each group: that of the smallest doc_id; rows without an id or without words stay."""
     lost = link_groups(docs, k=k, percent=percent, marked=True).where("component_id <> doc_id").select(F.col("doc_id").alias("_lost"), F.col("mark").alias("_mark")).distinct()
     # by the text too: another text under the same id may be the only one of its group
-    kept = docs.join(lost, (F.col("doc_id") == F.col("_lost")) & (F.xxhash64("text") == F.col("_mark")), "left_anti")
+    kept = packed(docs, "doc_id", "text").join(lost, (F.col("doc_id") == F.col("_lost")) & (F.xxhash64("text") == F.col("_mark")), "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
-    return kept.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]).drop("_same") if again else kept
+    kept = kept.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]) if again else kept
+    return unpacked(kept, docs.columns)
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

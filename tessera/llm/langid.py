@@ -26,7 +26,7 @@ from .common import fold, narrow, read
 
 DIM = 8192
 GRAMS = (1, 2, 3, 4)
-#: Most rows that a fit takes, those of the smallest xxhash64(doc_id), and landmarks among them.
+#: Most distinct rows that a fit takes, those of the smallest xxhash64 of doc_id, and landmarks among them.
 SAMPLE_DOCS = 3000
 LANDMARKS = 192
 RIDGE = 1e-3
@@ -100,9 +100,10 @@ class KernelLanguageModel:
 
 
 def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> KernelLanguageModel:
-    """A model from at most sample_docs rows of docs with an id, a text and a language."""
-    rows = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", "text")
-    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    """A model from at most sample_docs distinct rows of docs with an id, a text and a language; a kilobyte of each reaches the driver."""
+    rows = docs.where("doc_id is not null and lang is not null and text is not null").select(F.col("doc_id").cast("long"), "lang", "text", F.xxhash64("doc_id").alias("order"), F.xxhash64("lang", "text").alias("mark"))
+    key = ["order", "doc_id", "mark"]
+    chosen = rows.select(key).distinct().orderBy(key).limit(sample_docs)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> KernelLanguageMod
                 bits = np.packbits(presence(data, offsets), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "lang", "bits"])
 
-    found = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(extract, "doc_id long, lang string, bits binary").collect()
+    found = rows.join(F.broadcast(chosen), key).dropDuplicates(key).select("doc_id", "lang", "text").mapInArrow(extract, "doc_id long, lang string, bits binary").collect()
     found.sort(key=lambda r: (r.doc_id, r.lang, r.bits))
     seen = np.unpackbits(np.array([np.frombuffer(r.bits, np.uint8) for r in found], np.uint8).reshape(len(found), DIM // 8), axis=1)
     return KernelLanguageModel.fit(seen, [r.lang for r in found])

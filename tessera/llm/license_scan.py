@@ -11,7 +11,8 @@ the threshold), so lines without any such anchor are not scored: that loses noth
 
 Defined results: null texts have no line and inherit only; a null path has no directory and inherits from
 nothing; ties go to the higher cosine, then the licence's name; rows that agree in path and text get the
-same result; further columns pass; an empty table gives no rows.
+same result; further columns pass, whatever their name, but for those named license, cosine or license_via, which
+the result replaces; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import packed, read, unpacked
 
 # Wording of licence notices as their publishers state it.
 TEMPLATES = [
@@ -94,7 +95,8 @@ def scan(files: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD)
     own = scored.select(*key, best.alias("best")).where(F.col("best.cosine") >= threshold).groupBy(*key).agg(F.max("best").alias("own"))
 
     name = F.element_at(F.split("path", "/", -1), -1)
-    files = files.withColumn("_hash", F.xxhash64("text")).withColumn("_dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")))
+    columns = files.columns
+    files = packed(files, "path", "text").withColumn("_hash", F.xxhash64("text")).withColumn("_dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit("")))
     own = own.select(F.col("path").alias("_own_path"), F.col("_hash").alias("_own_hash"), "own")
     known = files.join(own, F.col("path").eqNullSafe(F.col("_own_path")) & (F.col("_hash") == F.col("_own_hash")), "left").drop("_own_path", "_own_hash")
 
@@ -108,7 +110,7 @@ def scan(files: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD)
     out = known.join(nearest, F.col("_dir") == F.col("_near_dir"), "left")
     via = F.when(F.col("own").isNotNull(), F.when(name.isin(LICENSE_FILES), "file").otherwise("header")).when(F.col("grant").isNotNull(), "inherited").otherwise("none")
     picked = F.coalesce("own", "grant")
-    return out.withColumn("license", picked["license"]).withColumn("cosine", picked["cosine"]).withColumn("license_via", via).drop("_hash", "_dir", "own", "_near_dir", "grant")
+    return unpacked(out, columns, license=picked["license"], cosine=picked["cosine"], license_via=via)
 
 
 def as_files(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ a null doc_id comes last. A text of fewer lines than a window has none and stays
 
 Defined results: a null text stays null and counts no line; rows that agree in doc_id and text are one
 occurrence and get the same result; every other column passes unchanged, whatever its name, but for
-n_chars, which `dedup` sets to the new length where it is asked to; an empty table gives no rows.
+n_chars, which `dedup` sets to the new length where it is asked to, and for columns named as one of the three
+that it adds, which they replace; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import packed, read, unpacked
 
 WINDOW = 3
 
@@ -40,19 +41,24 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, set_n_chars: bool = False) -
     A text all of whose lines go is empty.
     """
     marks = later_windows(docs, window=window).withColumnRenamed("_id", "_mark_id").withColumnRenamed("_hash", "_mark_hash")
-    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_mark_id")) & (F.xxhash64("text") == F.col("_mark_hash")), "left")
+    own = packed(docs, "doc_id", "text")
+    joined = own.join(marks, F.col("doc_id").eqNullSafe(F.col("_mark_id")) & (F.xxhash64("text") == F.col("_mark_hash")), "left")
     lines = _lines(F.col("text"))
     covered = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (window - 1))))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    out = joined.withColumn("_n_lines", n).withColumn("_cut", F.when(F.col("_starts").isNotNull(), F.array_sort(F.array_distinct(covered))))
+    cut = joined.withColumn("_cut", F.when(F.col("_starts").isNotNull(), F.array_sort(F.array_distinct(covered))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut")), lambda i: F.element_at(lines, i + 1))
     gaps = F.size(F.filter(F.sequence(F.lit(2), F.size("_cut")), lambda i: F.element_at("_cut", i) > F.element_at("_cut", i - 1) + 1))
-    out = out.withColumn("_n_removed", F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")))
-    out = out.withColumn("_n_spans", F.when(F.col("_cut").isNull(), 0).otherwise(gaps + 1))
-    out = out.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    same = F.col("_cut").isNull()
+    cut = cut.withColumn("_new", F.when(same, F.col("text")).otherwise(F.array_join(kept, "\n")))
+    new = {
+        "text": F.col("_new"),
+        "_n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)),
+        "_n_removed": F.when(same, 0).otherwise(F.size("_cut")),
+        "_n_spans": F.when(same, 0).otherwise(gaps + 1),
+    }
     if set_n_chars:
-        out = out.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.drop("_starts", "_cut", "_mark_id", "_mark_hash")
+        new["n_chars"] = F.when(same, F.col("_row").getField("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
+    return unpacked(cut, docs.columns, **new)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

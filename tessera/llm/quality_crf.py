@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from . import text as T
 from .common import fold, narrow, read
 
-#: Most labelled documents that a fit takes: those of the smallest xxhash64(doc_id).
-SAMPLE_DOCS = 3000
+#: Most distinct labelled rows that a fit takes, those of the smallest xxhash64(doc_id), and the most characters and
+#: lines that one of them may have: 47 kB of features a row reach the driver at most.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LINES = 3000, 65_536, 256
 THRESHOLD = 0.3
 
 _CLASSES = np.zeros(256, np.uint8)
@@ -195,11 +196,20 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> LineCRF:
-    """A model of labels.quality from at most sample_docs labelled documents; only (doc_id, text) of docs is read."""
-    chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+def fit(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_lines: int = SAMPLE_LINES) -> LineCRF:
+    """A model of labels.quality from at most sample_docs distinct labelled rows; only (doc_id, text) of docs is read.
+
+    An id with several labels counts with the smallest. Rows longer than the bounds are scored, but not learned from.
+    """
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    # twice as many ids as rows are asked for, as some have no row or a long one: each bound holds whatever the tables
+    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_docs)
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.where((F.length("text") <= sample_chars) & (F.length("text") - F.length(F.replace("text", F.lit("\n"))) < sample_lines))
+    rows = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality", F.xxhash64("doc_id").alias("order"), F.xxhash64("text").alias("mark"))
+    key = ["order", "doc_id", "mark"]
+    chosen = rows.select(key).distinct().orderBy(key).limit(sample_docs)
+    rows = rows.join(F.broadcast(chosen), key).dropDuplicates(key).select("doc_id", "text", "quality")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
