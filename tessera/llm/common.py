@@ -75,10 +75,12 @@ def packed(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.struct(*rest or [F.lit(None).cast("int").alias("none")]).alias("_row"))
 
 
-def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
-    """The columns of a packed table by name, with those of new in their place, or after them."""
-    out = [new[c].alias(c) if c in new else F.col(c) if c in df.columns and c != "_row" else F.col("_row").getField(c).alias(c) for c in columns]
-    return df.select(*out, *(c.alias(name) for name, c in new.items() if name not in columns))
+def unpacked(df: DataFrame, columns: list[str], *kept: str, **new: Column) -> DataFrame:
+    """The columns of a packed table that kept the named ones, with those of new in their place, or after them."""
+    names = [*columns, *(name for name in new if name not in columns)]
+    # named in a step of their own: an alias in the same step would hide the column of that name
+    out = [(new[c] if c in new else F.col(c) if c in kept else F.col("_row").getField(c)).alias(f"_out{i}") for i, c in enumerate(names)]
+    return df.select(*out).toDF(*names)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -304,7 +304,7 @@ def keep_one(docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT) -> Da
     kept = packed(docs, "doc_id", "text").join(lost, (F.col("doc_id") == F.col("_lost")) & (F.xxhash64("text") == F.col("_mark")), "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
     kept = kept.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]) if again else kept
-    return unpacked(kept, docs.columns)
+    return unpacked(kept, docs.columns, "doc_id", "text")
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

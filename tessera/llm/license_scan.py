@@ -78,7 +78,9 @@ def scan(files: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD)
     weights = spark.createDataFrame([(w, idf[w], [c.get(w, 0) * idf[w] / norm for c, norm in zip(counts, norms)]) for w in vocabulary], "word string, idf double, parts array<double>")
 
     key = ["path", "_hash"]
-    lines = files.where("text is not null").select("path", F.xxhash64("text").alias("_hash"), F.posexplode(F.split("text", "\n", -1)).alias("_line", "l"))
+    # the hash comes first, so that no line carries the whole text
+    lines = files.where("text is not null").select("path", F.xxhash64("text").alias("_hash"), F.split("text", "\n", -1).alias("l"))
+    lines = lines.select("path", "_hash", F.posexplode("l").alias("_line", "l"))
     lines = lines.withColumn("w", _words(F.col("l"))).where(F.arrays_overlap("w", F.array(*[F.lit(w) for w in sorted(anchors)])))
     tf = lines.select(*key, "_line", F.explode("w").alias("word")).groupBy(*key, "_line", "word").agg(F.count("*").alias("tf"))
     # rows that agree in path and text have counted each word as often as there are such rows: the cosine is the same
@@ -110,7 +112,7 @@ def scan(files: DataFrame, *, templates=TEMPLATES, threshold: float = THRESHOLD)
     out = known.join(nearest, F.col("_dir") == F.col("_near_dir"), "left")
     via = F.when(F.col("own").isNotNull(), F.when(name.isin(LICENSE_FILES), "file").otherwise("header")).when(F.col("grant").isNotNull(), "inherited").otherwise("none")
     picked = F.coalesce("own", "grant")
-    return unpacked(out, columns, license=picked["license"], cosine=picked["cosine"], license_via=via)
+    return unpacked(out, columns, "path", "text", license=picked["license"], cosine=picked["cosine"], license_via=via)
 
 
 def as_files(docs: DataFrame) -> DataFrame:

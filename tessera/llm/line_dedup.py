@@ -58,7 +58,7 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, set_n_chars: bool = False) -
     }
     if set_n_chars:
         new["n_chars"] = F.when(same, F.col("_row").getField("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
-    return unpacked(cut, docs.columns, **new)
+    return unpacked(cut, docs.columns, "doc_id", **new)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
