@@ -161,3 +161,30 @@ def distortion_index(df: DataFrame, group: str, column: str, size: int, *, ridge
     both = apart + apart.T
     np.fill_diagonal(both, np.inf)
     return float(((np.array(spread)[:, None] + np.array(spread)) / both).max(0).mean())
+
+
+def _places(pos: Column, shape: V.Shape) -> list[Column]:
+    return [F.floor(pos / (shape[1] * shape[2])).cast("int"), (F.floor(pos / shape[2]) % shape[1]).cast("int"), (pos % shape[2]).cast("int")]
+
+
+def resized(df: DataFrame, key: str, column: str, shape: V.Shape, new: V.Shape, *, fill: float = 0.0) -> DataFrame:
+    """(key, x, y, z, val): volumes in the middle of larger ones, or their middles; sizes differ by even numbers."""
+    if any((a - b) % 2 for a, b in zip(shape, new)):
+        raise ValueError("the sizes differ by odd numbers: centres would fall between voxels")
+    grid = df.select(key, column, F.explode(F.sequence(F.lit(0), F.lit(int(np.prod(new)) - 1))).alias("_p"))
+    at = [p + (n - m) // 2 for p, n, m in zip(_places(F.col("_p"), new), shape, new)]
+    inside = (at[0] >= 0) & (at[0] < shape[0])
+    for p, n in zip(at[1:], shape[1:]):
+        inside = inside & (p >= 0) & (p < n)
+    value = F.get(column, (at[0] * shape[1] + at[1]) * shape[2] + at[2]).cast("double")
+    return grid.select(key, *(c.alias(a) for c, a in zip(_places(F.col("_p"), new), V.AXES)), F.when(inside, value).otherwise(F.lit(fill)).alias("val"))
+
+
+def montage(df: DataFrame, key: str, column: str, shape: V.Shape) -> DataFrame:
+    """(key, i, j, val): z slices in rows of ceil(sqrt(n)), one empty line apart, values from 0 to 1 (as they are if all agree)."""
+    side = int(np.ceil(np.sqrt(shape[2])))
+    wide = df.select(key, F.array_min(column).cast("double").alias("_a"), F.array_max(column).cast("double").alias("_b"), F.posexplode(column).alias("_p", "_v"))
+    x, y, z = _places(F.col("_p"), shape)
+    v = F.col("_v").cast("double")
+    scaled = F.when(F.col("_b") > F.col("_a"), (v - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(v)
+    return wide.select(key, (F.floor(z / side) * (shape[0] + 1) + x).cast("int").alias("i"), (z % side * (shape[1] + 1) + y).cast("int").alias("j"), scaled.alias("val"))
