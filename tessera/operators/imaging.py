@@ -78,8 +78,7 @@ def surface_strength(voxels: DataFrame, shape: V.Shape) -> DataFrame:
     """(vol_id, x, y, z, strength): (|e0| - sqrt|e1 e2|)**2 where the greatest eigenvalue by size, e0, is negative; else 0."""
     h = V.hessian(voxels, shape)
     e = V.eigenvalues(*(F.col(c) for c in ("xx", "yy", "zz", "xy", "xz", "yz")))
-    by_size = F.array_sort(F.array(*e), lambda a, b: F.when(F.abs(a) > F.abs(b), -1).when(F.abs(a) < F.abs(b), 1).otherwise(0))
-    at = h.select("vol_id", *V.AXES, by_size.alias("_e"))
+    at = h.select("vol_id", *V.AXES, V.by_magnitude(e).alias("_e"))
     strength = F.pow(F.abs(F.col("_e")[0]) - F.sqrt(F.abs(F.col("_e")[1] * F.col("_e")[2])), 2)
     return at.select("vol_id", *V.AXES, F.when(F.col("_e")[0] < 0, strength).otherwise(0.0).alias("strength"))
 
@@ -188,3 +187,12 @@ def montage(df: DataFrame, key: str, column: str, shape: V.Shape) -> DataFrame:
     v = F.col("_v").cast("double")
     scaled = F.when(F.col("_b") > F.col("_a"), (v - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(v)
     return wide.select(key, (F.floor(z / side) * (shape[0] + 1) + x).cast("int").alias("i"), (z % side * (shape[1] + 1) + y).cast("int").alias("j"), scaled.alias("val"))
+
+
+def region_shapes(points: DataFrame, group: str, x: str, y: str, *, least: int = 3, roundish: float = 0.5, linear: float = 0.3) -> DataFrame:
+    """(group, l1, l2, roundish, linear): eigenvalues of the coordinates' covariance, the greater first, and what their ratio says."""
+    c = points.groupBy(group).agg(F.count("*").alias("_n"), F.var_samp(x).alias("_a"), F.var_samp(y).alias("_b"), F.covar_samp(x, y).alias("_c")).where(F.col("_n") >= least)
+    half, off = (F.col("_a") + F.col("_b")) / 2, F.sqrt(F.pow(F.col("_a") - F.col("_b"), 2) / 4 + F.col("_c") * F.col("_c"))
+    e = c.select(group, (half + off).alias("l1"), (half - off).alias("l2"))
+    ratio = F.col("l2") / F.col("l1")
+    return e.select(group, "l1", "l2", ((F.col("l1") > 0) & (ratio >= roundish)).alias("roundish"), ((F.col("l1") > 0) & (ratio <= linear)).alias("linear"))

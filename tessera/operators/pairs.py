@@ -206,3 +206,44 @@ def rigid_distance(r1: Column, r2: Column, t1: Column, t2: Column, weight: float
     """Squared Frobenius distance of two rotations (arrays of 9), and weight times that of two shifts (arrays of 3)."""
     square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     return square(r1, r2) + weight * square(t1, t2)
+
+
+def set_distances(points: DataFrame, side: str, axes: list[str]) -> DataFrame:
+    """(side, axes..., distance): each point's distance to the nearest one of the other side.
+
+    Points look for partners in their grid cell's neighbourhood first; those that find none, or none nearer than the
+    cell's width, look again with cells twice as wide, until all have one: no pair of far points is made.
+    """
+    rows = points.select(side, *axes).distinct().withColumn("_k", F.struct(side, *axes))
+    ends = rows.agg(*[F.min(a) for a in axes], *[F.max(a) for a in axes], F.count("*")).first()
+    n = len(axes)
+    spans = [float(b - a) if a is not None else 0.0 for a, b in zip(ends[:n], ends[n : 2 * n])]
+    width = max(max(spans, default=0.0) / max(int(ends[2 * n]), 1) ** (1 / n), 1e-9) * 2
+    left, out = settle(rows), None
+    while left.limit(1).count():
+        whole = width > 2 * max(spans, default=0.0)
+        own = left.select(side, "_k", *axes, *(F.floor(F.col(a) / width).alias(f"_c{a}") for a in axes))
+        other = rows.select(F.col(side).alias("_s"), *(F.col(a).alias(f"_o{a}") for a in axes), *(F.floor(F.col(a) / width).alias(f"_d{a}") for a in axes))
+        for a in axes:
+            other = other.withColumn(f"_c{a}", F.explode(F.sequence(F.col(f"_d{a}") - 1, F.col(f"_d{a}") + 1)))
+        square = sum((F.col(a) - F.col(f"_o{a}")) * (F.col(a) - F.col(f"_o{a}")) for a in axes)
+        met = own.join(other, [f"_c{a}" for a in axes]).where(F.col(side) != F.col("_s")).groupBy("_k").agg(F.min(square).alias("_q"))
+        found = settle(met if whole else met.where(F.col("_q") <= width * width))
+        out = found if out is None else out.unionByName(found)
+        left = settle(left.join(found, "_k", "left_anti"))
+        if whole:
+            break
+        width *= 2
+    if out is None:
+        return rows.select(side, *axes, F.lit(None).cast("double").alias("distance"))
+    return out.select("_k.*", F.sqrt("_q").alias("distance"))
+
+
+def voronoi_weights(poses: DataFrame, draws: DataFrame, key: str, count: int, *, most: int = 4096) -> DataFrame:
+    """(key, weight): the share of draws (i, p) that are nearest to each pose (key, at), ties to the smaller key."""
+    if poses.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} poses")
+    square = F.aggregate(F.zip_with("p", "at", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    near = draws.join(F.broadcast(poses), F.lit(True)).groupBy("i").agg(F.min(F.struct(square.alias("d"), key)).alias("b"))
+    counts = near.groupBy(F.col(f"b.{key}").alias(key)).agg(F.count("*").alias("_n"))
+    return poses.select(key).join(counts, key, "left").select(key, (F.coalesce("_n", F.lit(0)) / count).alias("weight"))

@@ -23,9 +23,11 @@ def top_with_ties(df: DataFrame, group: list[str], score, k: int) -> DataFrame:
 
 
 def dense_relabel(df: DataFrame, label: str, out: str = "new_label") -> DataFrame:
-    """Labels numbered from 0 by falling size, then by label: over the grouped counts, which are few."""
-    sizes = df.groupBy(label).count()
-    numbers = sizes.select(label, (F.row_number().over(Window.orderBy(F.desc("count"), label)) - 1).alias(out))
+    """Labels numbered from 0 by falling size, then by label: sums over ranges of the grouped counts."""
+    from .statistics import running_sums
+
+    sizes = df.groupBy(label).count().select(label, F.struct((-F.col("count")).alias("n"), F.col(label).alias("l")).alias("_o"), F.lit(1).alias("_one"))
+    numbers = running_sums(sizes, "_o", ["_one"]).select(label, (F.col("run__one") - 1).cast("int").alias(out))
     return df.join(numbers, label)
 
 
@@ -56,16 +58,29 @@ def square_distance(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def best_template(records: DataFrame, templates: DataFrame, score, *, most_templates: int = 4096) -> DataFrame:
-    """Each record's best template: (record columns, template_id, score); ties go to the smallest template_id.
-
-    The templates are a checked few: more than most_templates are refused.
-    """
+def _scored(records: DataFrame, templates: DataFrame, score, most_templates: int) -> DataFrame:
     if templates.limit(most_templates + 1).count() > most_templates:
         raise ValueError(f"more than {most_templates} templates")
     keyed = records.withColumn("_row", F.monotonically_increasing_id())
-    pairs = keyed.join(F.broadcast(templates), F.lit(True)).withColumn("score", score).where(~F.isnan("score"))
-    return pairs.groupBy("_row", *records.columns).agg(F.max(F.struct("score", (-F.col("template_id")).alias("t"))).alias("best")).select(*records.columns, (-F.col("best.t")).alias("template_id"), F.col("best.score").alias("score"))
+    return keyed.join(F.broadcast(templates), F.lit(True)).withColumn("score", score)
+
+
+def best_template(records: DataFrame, templates: DataFrame, score, *, most_templates: int = 4096) -> DataFrame:
+    """Each record's best template: (record columns, template_id, score); of equal scores the later template wins.
+
+    The templates are a checked few: more than most_templates are refused. Pairs without a score (NaN) don't count.
+    """
+    pairs = _scored(records, templates, score, most_templates).where(~F.isnan("score"))
+    best = pairs.groupBy("_row", *records.columns).agg(F.max(F.struct("score", "template_id")).alias("best"))
+    return best.select(*records.columns, F.col("best.template_id").alias("template_id"), F.col("best.score").alias("score"))
+
+
+def best_above(records: DataFrame, templates: DataFrame, score, floor: float, default: int, *, most_templates: int = 4096) -> DataFrame:
+    """Each record's first template of the greatest score above the floor; where there is none, the default and no score."""
+    pairs = _scored(records, templates, score, most_templates)
+    real = F.when(~F.isnan("score") & (F.col("score") > floor), F.struct("score", (-F.col("template_id")).alias("t")))
+    best = pairs.groupBy("_row", *records.columns).agg(F.max(real).alias("best"))
+    return best.select(*records.columns, F.coalesce(-F.col("best.t"), F.lit(default)).alias("template_id"), F.col("best.score").alias("score"))
 
 
 def precision_recall(df: DataFrame, predicted, truth, beta: float = 1.0) -> DataFrame:
@@ -75,9 +90,10 @@ def precision_recall(df: DataFrame, predicted, truth, beta: float = 1.0) -> Data
     return one.select("tp", "fp", "fn", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / (F.col("tp") + F.col("fn"))).alias("recall"), ((1 + b) * F.col("tp") / ((1 + b) * F.col("tp") + b * F.col("fn") + F.col("fp"))).alias("f_beta"))
 
 
-def overlapping_spheres(points: DataFrame, most_radius: float) -> DataFrame:
+def overlapping_spheres(points: DataFrame) -> DataFrame:
     """Pairs (a < b) of spheres (id, x, y, z, r) that overlap; a grid of twice the greatest radius bounds the join."""
-    cell = 2 * most_radius
+    most = points.agg(F.max("r")).first()[0] or 0.0
+    cell = 2 * max(float(most), 1e-9)
     at = points.select("id", "x", "y", "z", "r", *(F.floor(F.col(c) / cell).alias(f"c{c}") for c in "xyz"))
     wide = at
     for c in "xyz":

@@ -175,3 +175,37 @@ def lloyd(points: DataFrame, centres: list[list[float]], rounds: int, key: str,
         for row in array_mean(assigned(centres), "cluster", column, len(centres[0])).collect():  # k rows
             centres[row["cluster"]] = list(row["mean"])
     return assigned(centres).select(key, "cluster"), centres
+
+
+def slic(voxels: DataFrame, step: int, compactness: float, *, rounds: int = 10) -> DataFrame:
+    """(centre, x, y, z, val): supervoxel centres after some rounds from seeds on a grid of step.
+
+    A voxel goes to the nearest centre no farther than step along any axis, by the squared distance over step squared
+    plus that of values over compactness squared; centres move to their voxels' means. Centres are hashed to a grid.
+    """
+    from ..plans.iterate import settle
+
+    at = voxels.select("x", "y", "z", "val")
+    mean = [F.avg(c).alias(f"c{c}") for c in ("x", "y", "z", "val")]
+    number = F.floor(F.col("x") / step) * 100 + F.floor(F.col("y") / step) * 10 + F.floor(F.col("z") / step)
+    centres = at.groupBy(number.cast("int").alias("centre")).agg(*mean)
+    cells = at.withColumns({f"g{a}": F.floor(F.col(a) / step) for a in "xyz"})
+    for _ in range(rounds):
+        wide = settle(centres)
+        for a in "xyz":
+            cell = F.floor(F.col(f"c{a}") / step)
+            wide = wide.withColumn(f"g{a}", F.explode(F.sequence(cell - 1, cell + 1)))
+        near = cells.join(wide, ["gx", "gy", "gz"])
+        for a in "xyz":
+            near = near.where(F.abs(F.col(a) - F.col(f"c{a}")) <= step)
+        apart = sum((F.col(a) - F.col(f"c{a}")) * (F.col(a) - F.col(f"c{a}")) for a in "xyz") / (step * step)
+        apart = F.round(apart + (F.col("val") - F.col("cval")) * (F.col("val") - F.col("cval")) / (compactness * compactness), 9)
+        own = near.groupBy("x", "y", "z", "val").agg(F.min(F.struct(apart.alias("d"), "centre")).alias("b"))
+        centres = own.groupBy(F.col("b.centre").alias("centre")).agg(*mean)
+    return centres.select("centre", *(F.col(f"c{c}").alias(c) for c in ("x", "y", "z", "val")))
+
+
+def normalized_cut(edges: DataFrame) -> DataFrame:
+    """(part, share): of edges (s, t, w) between parts, what crosses a part's border of all weight at its nodes."""
+    ends = edges.select(F.col("s").alias("part"), "w", (F.col("s") != F.col("t")).alias("x")).unionAll(edges.select("t", "w", F.col("s") != F.col("t")))
+    return ends.groupBy("part").agg((F.sum(F.when(F.col("x"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("share")).withColumn("part", F.col("part").cast("int"))

@@ -171,3 +171,40 @@ def spectral_snr(df: DataFrame, group: str, column: str, shape: tuple[int, int,
     at = at.select("*", F.explode(F.sequence(F.lit(0), F.lit(min(shape) // 2))).alias("r")).where(F.abs(F.col("rad") - F.col("r")) <= width)
     s = F.when(F.sum("v") > 0, F.sum("a") / F.sum(F.col("v") / F.col("n"))).otherwise(0.0)
     return at.groupBy(group, "r").agg(s.alias("ssnr")).withColumn("fsc", F.col("ssnr") / (2 + F.col("ssnr")))
+
+
+def accuracy_by_threshold(df: DataFrame, distance: str, same: str, thresholds: list[float]) -> DataFrame:
+    """(threshold, tpr, fpr, acc) of the rule that a pair below the threshold is the same; rates of nothing are 0.
+
+    Pairs are counted by the first threshold above them, which are few rows, before those are summed.
+    """
+    rows = _counts_by_threshold(df, [], distance, same, thresholds)
+    tpr = F.when(F.col("p") == 0, 0.0).otherwise(F.col("tp") / F.col("p"))
+    fpr = F.when(F.col("n") == 0, 0.0).otherwise(F.col("fp") / F.col("n"))
+    return rows.select("threshold", tpr.alias("tpr"), fpr.alias("fpr"), ((F.col("tp") + F.col("n") - F.col("fp")) / (F.col("p") + F.col("n"))).alias("acc"))
+
+
+def _counts_by_threshold(df: DataFrame, groups: list[str], distance: str, same: str, thresholds: list[float]) -> DataFrame:
+    """(groups..., threshold, tp, fp, p, n): pairs below every threshold, and all, by whether they are the same."""
+    table = F.array(*[F.lit(float(t)) for t in thresholds])
+    first = F.size(F.filter(table, lambda t: t <= F.col(distance)))  # how many thresholds don't accept the pair
+    by = df.groupBy(*groups, first.alias("_f")).agg(F.sum(F.col(same).cast("long")).alias("_p"), F.sum((~F.col(same)).cast("long")).alias("_n"))
+    wide = by.select(*groups, "_f", "_p", "_n", F.posexplode(table).alias("_i", "threshold"))
+    below = F.col("_f") <= F.col("_i")
+    return wide.groupBy(*groups, "threshold").agg(F.sum(F.when(below, F.col("_p")).otherwise(0)).alias("tp"), F.sum(F.when(below, F.col("_n")).otherwise(0)).alias("fp"), F.sum("_p").alias("p"), F.sum("_n").alias("n"))
+
+
+def validation_at(df: DataFrame, distance: str, same: str, fold: str, thresholds: list[float], target: float) -> DataFrame:
+    """(fold, threshold, val, far): the threshold at a false accept rate of target on the other folds, between two of the
+    list (0 where none reaches it), and the true and false accept rates that it has on the fold."""
+    counts = _counts_by_threshold(df, [fold], distance, same, thresholds)
+    every = counts.groupBy("threshold").agg(F.sum("fp").alias("_fp"), F.sum("n").alias("_n"))
+    rest = counts.join(every, "threshold").select(fold, "threshold", ((F.col("_fp") - F.col("fp")) / (F.col("_n") - F.col("n"))).alias("far"))
+    high = rest.where(F.col("far") >= target).groupBy(fold).agg(F.min(F.struct("threshold", "far")).alias("h"))
+    low = rest.join(high, fold).where(F.col("threshold") < F.col("h.threshold")).groupBy(fold).agg(F.max(F.struct("threshold", "far")).alias("l"))
+    between = F.col("l.threshold") + (F.col("h.threshold") - F.col("l.threshold")) * (target - F.col("l.far")) / (F.col("h.far") - F.col("l.far"))
+    cut = rest.select(fold).distinct().join(high, fold, "left").join(low, fold, "left")
+    cut = cut.select(fold, F.coalesce(F.when(F.col("h.far") > F.col("l.far"), between).otherwise(F.col("h.threshold")), F.col("h.threshold"), F.lit(0.0)).alias("threshold"))
+    accepted = df.join(cut, fold).withColumn("_a", F.col(distance) < F.col("threshold"))
+    share = lambda keep: F.sum((F.col("_a") & keep).cast("long")) / F.sum(keep.cast("long"))
+    return accepted.groupBy(fold, "threshold").agg(share(F.col(same)).alias("val"), share(~F.col(same)).alias("far"))

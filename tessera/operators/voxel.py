@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Shape = tuple[int, int, int]
@@ -119,14 +119,46 @@ def _around(block: np.ndarray, pick) -> np.ndarray:
 
 
 def extrema(voxels: DataFrame, shape: Shape, *, maxima: bool = True, **kw) -> DataFrame:
-    """Voxels that no neighbour exceeds (or falls below) and that are not zero background; ties all stay."""
+    """Voxels that no neighbour exceeds (or falls below), without the plateau of the volume's least (greatest) value.
+
+    Ties all stay. Background is the volume's own extreme: voxels that the table leaves out are 0.
+    """
     pick = np.maximum if maxima else np.minimum
 
     def kernel(block: np.ndarray) -> dict[str, np.ndarray]:
         own, best = _inner(block, 1), _around(block, pick)
-        return {"val": own, "is_peak": ((own >= best) if maxima else (own <= best)) & (own != 0)}
+        return {"val": own, "is_peak": (own >= best) if maxima else (own <= best)}
+
+    size = int(np.prod(shape))
+    edge = F.min("val") if maxima else F.max("val")
+    zero = F.least if maxima else F.greatest
+    ground = voxels.groupBy("vol_id").agg(edge.cast("double").alias("_e"), F.count("*").alias("_n"))
+    ground = ground.select("vol_id", F.when(F.col("_n") < size, zero("_e", F.lit(0.0))).otherwise(F.col("_e")).alias("_e"))
+    ground = ground.withColumn("_e", F.round("_e", kw["rounded"])) if kw.get("rounded") is not None else ground
+    found = stencil(voxels, shape, 1, kernel, ["val", "is_peak"], **kw).where("is_peak = 1").drop("is_peak")
+    apart = (F.col("val") > F.col("_e")) if maxima else (F.col("val") < F.col("_e"))
+    return found.join(ground, "vol_id").where(apart).drop("_e")
+
 
-    return stencil(voxels, shape, 1, kernel, ["val", "is_peak"], **kw).where("is_peak = 1").drop("is_peak")
+def above_threshold(peaks: DataFrame, t: float) -> DataFrame:
+    """Peaks of at least m + t (M - m) / 20, m and M being the least and the greatest of their volume's peaks."""
+    ends = peaks.groupBy("vol_id").agg(F.min("val").alias("_least"), F.max("val").alias("_most"))
+    return peaks.join(ends, "vol_id").where(F.col("val") >= F.col("_least") + t * (F.col("_most") - F.col("_least")) / 20).drop("_least", "_most")
+
+
+def pick(voxels: DataFrame, shape: Shape, s1: float, s2: float, *, t: float, distance: float, pick_num: int | None = None, rounded: int | None = None) -> DataFrame:
+    """Particle picking: difference of Gaussians, its local maxima over the threshold, the best of close ones.
+
+    The DoG is written once: its maxima are looked for in one pass. pick_num keeps that many best peaks of each volume.
+    """
+    from ..plans.iterate import settle
+
+    found = above_threshold(extrema(settle(dog(voxels, shape, s1, s2, rounded=rounded)), shape), t)
+    kept = suppress(found, distance)
+    if pick_num is None:
+        return kept
+    w = Window.partitionBy("vol_id").orderBy(F.desc("val"), *AXES)
+    return kept.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= pick_num).drop("_i")
 
 
 def gradient(voxels: DataFrame, shape: Shape, **kw) -> DataFrame:
@@ -159,6 +191,13 @@ def eigenvalues(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz:
     return [F.when(p2 == 0, q).otherwise(v) for v in (first, 3 * q - first - last, last)]
 
 
+def by_magnitude(values: list[Column]) -> Column:
+    """The values as an array, the greatest by size first; of equal sizes the greater first."""
+    size = lambda c: F.round(F.abs(c), 6)
+    order = lambda a, b: F.when(size(a) > size(b), -1).when(size(a) < size(b), 1).when(a > b, -1).when(a < b, 1).otherwise(0)
+    return F.array_sort(F.array(*values), order)
+
+
 def hessian(voxels: DataFrame, shape: Shape, **kw) -> DataFrame:
     """Second forward differences xx, yy, zz, xy, xz, yz."""
 
@@ -180,6 +219,141 @@ def crop(voxels: DataFrame, low: Shape, high: Shape) -> DataFrame:
     return voxels.where(inside[0] & inside[1] & inside[2]).select("vol_id", *((F.col(a) - lo).cast("int").alias(a) for a, lo in zip(AXES, low)), "val")
 
 
+def grid(spark, shape: Shape) -> DataFrame:
+    """(x, y, z) of every voxel."""
+    rest, per = F.col("id"), shape[1] * shape[2]
+    return spark.range(int(np.prod(shape))).select(F.floor(rest / per).cast("int").alias("x"), (F.floor(rest / shape[2]) % shape[1]).cast("int").alias("y"), (rest % shape[2]).cast("int").alias("z"))
+
+
+def boundary_mask(spark, shape: Shape) -> DataFrame:
+    """1 in the outermost planes, 0 inside."""
+    edge = F.lit(False)
+    for a, n in zip(AXES, shape):
+        edge = edge | F.col(a).isin(0, n - 1)
+    return grid(spark, shape).select(*AXES, edge.cast("int").alias("val"))
+
+
+def dog_kernel(spark, size: int, s1: float, s2: float) -> DataFrame:
+    """Difference of two Gaussians about the middle of a cube, each of sum 1."""
+    r = sum((F.col(a) - size // 2) * (F.col(a) - size // 2) for a in AXES).cast("double")
+    at = grid(spark, (size, size, size)).select(*AXES, *(F.exp(-r / (2 * s * s)).alias(n) for s, n in ((s1, "_a"), (s2, "_b"))))
+    total = at.agg(F.sum("_a").alias("_ta"), F.sum("_b").alias("_tb"))
+    return at.join(F.broadcast(total), F.lit(True)).select(*AXES, (F.col("_a") / F.col("_ta") - F.col("_b") / F.col("_tb")).alias("val"))
+
+
+def gaussian_sum(spark, size: int, bumps: list[tuple]) -> DataFrame:
+    """Sum of ellipsoidal Gaussians (x, y, z from the middle, three widths over the size, turn about z)."""
+    p, q, s = (F.col(a) - size / 2 for a in AXES)
+    value = F.lit(0.0)
+    for x, y, z, a, b, c, turn in bumps:
+        cos, sin = float(np.cos(turn)), float(np.sin(turn))
+        u, v, w = cos * p + sin * q - x, -sin * p + cos * q - y, s - z
+        value = value + F.exp(-(u * u / (size * a) + v * v / (size * b) + w * w / (size * c)))
+    return grid(spark, (size, size, size)).select(*AXES, value.alias("val"))
+
+
+BOX = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+
+
+def dilate_periodic(voxels: DataFrame, shape: Shape, width: int) -> DataFrame:
+    """Greatest value in a cube of an odd width, the volume wrapping around: a maximum along each axis in turn.
+
+    Each voxel is sent to the places it reaches and combined before the shuffle. Voxels left out of the table are 0,
+    and so are negative maxima beside them: the table must be whole where values are negative.
+    """
+    reach = width // 2
+    out = voxels.select("vol_id", *AXES, "val")
+    for a, n in zip(AXES, shape):
+        rest = [c for c in AXES if c != a]
+        sent = out.withColumn("_o", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+        sent = sent.select("vol_id", *rest, F.pmod(F.col(a) + F.col("_o"), F.lit(n)).cast("int").alias(a), "val")
+        out = sent.groupBy("vol_id", *AXES).agg(F.max("val").alias("val"))
+    every = grid(voxels.sparkSession, shape).join(voxels.select("vol_id").distinct(), F.lit(True))
+    return every.join(out, ["vol_id", *AXES], "left").fillna(0.0, "val").select("vol_id", *AXES, "val")
+
+
+def segment_boundary(labels: DataFrame, shape: Shape, **kw) -> DataFrame:
+    """Voxels (val is the label) that have another label among their 26 neighbours."""
+
+    def kernel(block: np.ndarray) -> dict[str, np.ndarray]:
+        own = _inner(block, 1)
+        other = np.zeros(own.shape, bool)
+        for i, j, k in BOX:
+            other |= block[1 + i : 1 + i + own.shape[0], 1 + j : 1 + j + own.shape[1], 1 + k : 1 + k + own.shape[2]] != own
+        return {"val": own, "edge": other}
+
+    return stencil(labels, shape, 1, kernel, ["val", "edge"], edge="edge", **kw).where("edge = 1").drop("edge")
+
+
+def distance_transform(mask: DataFrame, shape: Shape) -> DataFrame:
+    """(vol_id, x, y, z, val): Euclidean distance of every voxel of the mask (val > 0) to the nearest one outside of it.
+
+    One axis after the other, by lines: the least of f(j) + (i - j)^2 over a line is exact for the square of the
+    distance. A task holds one line's group at a time. A mask without an outside has infinite distances.
+    """
+    every = grid(mask.sparkSession, shape).join(mask.select("vol_id").distinct(), F.lit(True))
+    known = every.join(mask.select("vol_id", *AXES, "val"), ["vol_id", *AXES], "left")
+    out = known.select("vol_id", *AXES, F.when(F.col("val") > 0, float("inf")).otherwise(0.0).alias("val"))
+
+    def along(a: str, n: int):
+        def run(table: pa.Table) -> pa.Table:
+            f = np.full(n, np.inf)
+            f[table.column(a).to_numpy()] = table.column("val").to_numpy()
+            i = np.arange(n)
+            best = (f + (i[:, None] - i) ** 2).min(1)
+            same = {c: pa.array([table.column(c)[0].as_py()] * n, table.schema.field(c).type) for c in ("vol_id", *AXES)}
+            return pa.table([pa.array(i.astype(np.int32)) if c == a else same[c] for c in ("vol_id", *AXES)] + [pa.array(best)], ["vol_id", *AXES, "val"])
+
+        return run
+
+    kind = mask.schema["vol_id"].dataType.simpleString()
+    for a, n in zip(AXES, shape):
+        lines = out.groupBy("vol_id", *(c for c in AXES if c != a))
+        out = lines.applyInArrow(along(a, n), f"vol_id {kind}, x int, y int, z int, val double")
+    return out.withColumn("val", F.sqrt("val"))
+
+
+def tiles_padded(voxels: DataFrame, shape: Shape, size: int) -> DataFrame:
+    """(vol_id, x0, y0, z0, total, filled, padded): tiles that don't overlap, their sums and how much lies outside."""
+    at = [F.floor(F.col(a) / size).alias(f"i{a}") for a in AXES]
+    every = grid(voxels.sparkSession, tuple(-(-n // size) for n in shape)).select(*(F.col(a).alias(f"i{a}") for a in AXES))
+    every = every.join(voxels.select("vol_id").distinct(), F.lit(True))
+    sums = voxels.groupBy("vol_id", *at).agg(F.sum("val").alias("total"))
+    filled = F.lit(1).cast("long")
+    for a, n in zip(AXES, shape):
+        filled = filled * (F.least((F.col(f"i{a}") + 1) * size, F.lit(n)) - F.col(f"i{a}") * size)
+    both = every.join(sums, ["vol_id", "ix", "iy", "iz"], "left").fillna(0.0, "total").withColumn("filled", filled)
+    return both.select("vol_id", *((F.col(f"i{a}") * size).cast("int").alias(f"{a}0") for a in AXES), "total", "filled", (F.lit(size**3) - F.col("filled")).alias("padded"))
+
+
+def split_patches(voxels: DataFrame, width: int, height: int) -> DataFrame:
+    """(vol_id, row, col, z, i, j, val): slices cut into patches."""
+    cut = lambda a, n, i, j: (F.floor(F.col(a) / n).cast("int").alias(i), (F.col(a) % n).cast("int").alias(j))
+    (row, i), (col, j) = cut("x", width, "row", "i"), cut("y", height, "col", "j")
+    return voxels.select("vol_id", row, col, "z", i, j, "val")
+
+
+def stitch_patches(patches: DataFrame, width: int, height: int) -> DataFrame:
+    at = lambda a, n, i: (F.col(a) * n + F.col(i)).cast("int")
+    return patches.select("vol_id", at("row", width, "i").alias("x"), at("col", height, "j").alias("y"), "z", "val")
+
+
+def add_templates(voxels: DataFrame, centres: DataFrame, template: dict[tuple, float], shape: Shape, *, replace: bool = False) -> DataFrame:
+    """The map with a template added around every centre, or put in its place (the centre of the greatest value wins).
+
+    What falls outside of the volume is cut. Voxels of 0 are left out.
+    """
+    arms = F.array(*[F.struct(*[F.lit(c).alias(f"d{a}") for a, c in zip(AXES, o)], F.lit(float(w)).alias("w")) for o, w in template.items()])
+    sent = centres.select("vol_id", *(F.col(a).alias(f"c{a}") for a in AXES), F.col("val").alias("_v"), F.explode(arms).alias("_o"))
+    sent = sent.select("vol_id", *((F.col(f"c{a}") + F.col(f"_o.d{a}")).alias(a) for a in AXES), F.col("_o.w").alias("_w"), F.struct("_v", "cx", "cy", "cz").alias("_k"))
+    for a, n in zip(AXES, shape):
+        sent = sent.where((F.col(a) >= 0) & (F.col(a) < n))
+    new = sent.groupBy("vol_id", *AXES).agg((F.max_by("_w", "_k") if replace else F.sum("_w")).alias("_w"))
+    both = voxels.select("vol_id", *AXES, "val").join(new, ["vol_id", *AXES], "full")
+    value = F.coalesce("_w", "val") if replace else F.coalesce("val", F.lit(0.0)) + F.coalesce("_w", F.lit(0.0))
+    return both.select("vol_id", *AXES, value.alias("val")).where("val <> 0")
+
+
 def sphere_mask(spark, shape: Shape, centre: tuple[float, float, float], radius: float, sigma: float = 0.0) -> DataFrame:
     """1 within the radius, a Gaussian edge of sigma beyond it (0 where that is 0)."""
     n = int(np.prod(shape))
@@ -192,24 +366,11 @@ def sphere_mask(spark, shape: Shape, centre: tuple[float, float, float], radius:
 def suppress(peaks: DataFrame, distance: float) -> DataFrame:
     """Greedy keep-best: a peak goes if a better kept peak of its volume lies closer than distance.
 
-    Rounds of a grid-hashed distance join: undecided peaks without a better undecided one nearby are kept
-    and end their neighbours; the order is (val desc, x, y, z), so the result is that of the greedy loop.
+    The order is (val desc, x, y, z); see pairs.greedy for the rounds.
     """
-    from ..plans.iterate import settle
+    from .pairs import euclid, greedy
 
-    cell = max(distance, 1e-9)
-    left = settle(peaks.withColumn("key", F.struct((-F.col("val")).alias("v"), *AXES)))
-    kept = None
-    while left.limit(1).count():
-        cells = left.select("vol_id", "key", *AXES, *(F.floor(F.col(a) / cell).alias(f"c{a}") for a in AXES))
-        wide = cells
-        for a in AXES:
-            wide = wide.withColumn(f"c{a}", F.explode(F.sequence(F.col(f"c{a}") - 1, F.col(f"c{a}") + 1)))
-        other = wide.select("vol_id", "cx", "cy", "cz", *(F.col(a).alias(f"o{a}") for a in AXES), F.col("key").alias("okey"))
-        square = sum((F.col(a) - F.col(f"o{a}")) * (F.col(a) - F.col(f"o{a}")) for a in AXES)
-        close = cells.join(other, ["vol_id", "cx", "cy", "cz"]).where((square < distance * distance) & (F.col("okey") < F.col("key")))
-        best = settle(left.join(close.select("vol_id", "key").distinct(), ["vol_id", "key"], "left_anti"))
-        kept = best if kept is None else kept.unionByName(best)
-        ended = close.join(best.select("vol_id", F.col("key").alias("okey")), ["vol_id", "okey"], "left_semi").select("vol_id", "key")
-        left = settle(left.join(best, ["vol_id", "key"], "left_anti").join(ended.distinct(), ["vol_id", "key"], "left_anti"))
-    return (left if kept is None else kept).drop("key")
+    place = F.concat_ws("_", *AXES)
+    ranked = peaks.withColumn("_at", place)
+    kept = greedy(ranked, "_at", [(-F.col("val")).alias("v"), *AXES], list(AXES), max(distance, 1e-9), euclid(list(AXES), distance, strict=True), group=["vol_id"])
+    return kept.drop("_at")

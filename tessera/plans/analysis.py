@@ -15,7 +15,7 @@ from ..operators import regions as G
 from ..operators import statistics as S
 from ..operators import voxel as V
 
-SHAPE = (30, 24, 16)
+SHAPE = (31, 24, 16)
 
 
 def _table(spark, d: str, name: str) -> DataFrame:

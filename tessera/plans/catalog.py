@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from ..operators import records as R
 from ..operators import statistics as S
 from ..operators import voxel as V
-from . import imaging
+from . import imaging, pairs, spectra
+from .pairs import greedy_sql
 
-SHAPE = (30, 24, 16)
+SHAPE = (31, 24, 16)
 S1, S2 = 1.0, 1.6
 
 
@@ -26,7 +27,7 @@ def tomogram(spark, d: str) -> DataFrame:
     """Event counts by day of the month, hour and user_id % 16, as the voxels of volume 0."""
     e = table(spark, d, "events")
     cells = e.select((F.dayofmonth("ts") - 1).alias("x"), F.hour("ts").alias("y"), (F.col("user_id") % 16).cast("int").alias("z"))
-    return cells.where(F.col("x") < 30).groupBy("x", "y", "z").agg(F.count("*").cast("double").alias("val")).select(F.lit(0).alias("vol_id"), "x", "y", "z", "val")
+    return cells.groupBy("x", "y", "z").agg(F.count("*").cast("double").alias("val")).select(F.lit(0).alias("vol_id"), "x", "y", "z", "val")
 
 
 _GRID = f"""
@@ -53,14 +54,15 @@ _BOX = "abs(m.x - v.x) <= 1 AND abs(m.y - v.y) <= 1 AND abs(m.z - v.z) <= 1 AND
 
 
 def pick_dog_peaks(spark, d):
-    """DoG, local maxima with 18 neighbours, those over the threshold, best first: the 50 best peaks."""
+    """DoG and its local maxima by 18 neighbours, those over m + t (M - m) / 20, best first."""
     peaks = V.extrema(V.dog(tomogram(spark, d), SHAPE, S1, S2, rounded=9), SHAPE)
-    ranked = peaks.where("val >= 0.05").select("x", "y", "z", F.round("val", 6).alias("val"))
-    return ranked.orderBy(F.desc("val"), "x", "y", "z").limit(50)
+    ranked = V.above_threshold(peaks, 3.0).select("x", "y", "z", F.round("val", 6).alias("val"))
+    return ranked.orderBy(F.desc("val"), "x", "y", "z")
 
 
 _DOG = f"{_GRID}, {_smooth_sql('a', 'vol', S1)}, {_smooth_sql('b', 'vol', S2)}, dog AS (SELECT a.x, a.y, a.z, round(a.val - b.val, 9) AS val FROM a JOIN b USING (x, y, z))"
-PICK_SQL = f"WITH {_DOG} SELECT x, y, z, round(val, 6) AS val FROM dog v WHERE val >= 0.05 AND NOT EXISTS (SELECT 1 FROM dog m WHERE {_BOX} AND m.val > v.val) ORDER BY val DESC, x, y, z LIMIT 50"
+_FOUND = f"found AS (SELECT * FROM dog v WHERE val > (SELECT min(val) FROM dog) AND NOT EXISTS (SELECT 1 FROM dog m WHERE {_BOX} AND m.val > v.val))"
+PICK_SQL = f"WITH {_DOG}, {_FOUND} SELECT x, y, z, round(val, 6) AS val FROM found WHERE val >= (SELECT min(val) + 3.0 * (max(val) - min(val)) / 20 FROM found) ORDER BY val DESC, x, y, z"
 
 
 def smooth_gaussian(spark, d):
@@ -88,11 +90,13 @@ def dilate(spark, d):
 
 
 def hessian_eigen(spark, d):
+    """Eigenvalues, the greatest by size first, and the greatest entry of all Hessians by size."""
     h = V.hessian(tomogram(spark, d), SHAPE)
-    e = V.eigenvalues(*(F.col(c) for c in ("xx", "yy", "zz", "xy", "xz", "yz")))
-    return h.select("x", "y", "z", F.round(e[0] + e[1] + e[2], 5).alias("trace"), F.round(e[0] * e[0] + e[1] * e[1] + e[2] * e[2], 4).alias("norm"))
-
-
+    names = ("xx", "yy", "zz", "xy", "xz", "yz")
+    e = V.by_magnitude(V.eigenvalues(*(F.col(c) for c in names)))
+    most = h.agg(F.max(F.greatest(*[F.abs(F.col(c)) for c in names])).alias("most"))
+    at = h.select("x", "y", "z", e.alias("e")).join(F.broadcast(most), F.lit(True))
+    return at.select("x", "y", "z", *((F.round(F.col("e")[i], 4) + 0.0).alias(f"e{i}") for i in range(3)), "most")
 
 
 def _second(a: str, b: str) -> str:
@@ -103,9 +107,19 @@ def _second(a: str, b: str) -> str:
     return f"({at(**{a: 1, b: 1})} - {at(**{a: 1})} - {at(**{b: 1})} + {at()})"
 
 
-HESSIAN_SQL = f"""WITH {_GRID}, h AS (SELECT x, y, z, {_second('x', 'x')} AS xx, {_second('y', 'y')} AS yy, {_second('z', 'z')} AS zz,
- {_second('x', 'y')} AS xy, {_second('x', 'z')} AS xz, {_second('y', 'z')} AS yz FROM vol v)
- SELECT x, y, z, round(xx + yy + zz, 5) AS trace, round(xx*xx + yy*yy + zz*zz + 2 * (xy*xy + xz*xz + yz*yz), 4) AS norm FROM h"""
+_TURN = "acos(greatest(-1.0, least(1.0, (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)) / 2))) / 3"
+_HESSIAN = f"""h AS (SELECT x, y, z, {_second('x', 'x')} AS xx, {_second('y', 'y')} AS yy, {_second('z', 'z')} AS zz,
+ {_second('x', 'y')} AS xy, {_second('x', 'z')} AS xz, {_second('y', 'z')} AS yz FROM vol v),
+ q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM h),
+ p AS (SELECT *, sqrt(((xx-q)*(xx-q) + (yy-q)*(yy-q) + (zz-q)*(zz-q) + 2 * (xy*xy + xz*xz + yz*yz)) / 6) AS p FROM q),
+ n AS (SELECT *, (xx-q)/p AS a, (yy-q)/p AS b, (zz-q)/p AS c, xy/p AS d, xz/p AS e, yz/p AS f FROM p),
+ t AS (SELECT x, y, z, p, q, CASE WHEN p = 0 THEN 0 ELSE {_TURN} END AS t FROM n),
+ v3 AS (SELECT x, y, z, CASE WHEN p = 0 THEN q ELSE q + 2*p*cos(t) END AS u, CASE WHEN p = 0 THEN q ELSE q + 2*p*cos(t + 2*pi()/3) END AS w, q FROM t),
+ l AS (SELECT x, y, z, list_sort([(round(abs(g), 6), g) for g in [u, 3*q - u - w, w]], 'DESC') AS l FROM v3),
+ eig AS (SELECT x, y, z, l[1][2] AS e0, l[2][2] AS e1, l[3][2] AS e2 FROM l)"""
+HESSIAN_SQL = f"""WITH {_GRID}, {_HESSIAN} SELECT x, y, z, round(e0, 4) + 0.0 AS e0, round(e1, 4) + 0.0 AS e1, round(e2, 4) + 0.0 AS e2,
+ (SELECT max(greatest(abs(xx), abs(yy), abs(zz), abs(xy), abs(xz), abs(yz))) FROM h) AS most FROM eig"""
+SURFACE_SQL = f"WITH {_GRID}, {_HESSIAN} SELECT x, y, z, round(CASE WHEN e0 < 0 THEN pow(abs(e0) - sqrt(abs(e1 * e2)), 2) ELSE 0 END, 3) + 0.0 AS strength FROM eig"
 
 
 def roll(spark, d):
@@ -145,7 +159,7 @@ CLUSTER_SQL = "SELECT label, count(*) AS n, pos::INT AS pos, round(avg(embedding
 
 
 def align_best(spark, d):
-    """Each cube's best class template (the first of each class) by dot product, ties to the smaller template."""
+    """Each cube's best class template (the first of each class) by dot product, ties to the later template."""
     e = table(spark, d, "embeddings")
     t = R.first_of(e.select("label", "vec_id", "embedding"), "label", "vec_id").select(F.col("label").alias("template_id"), F.col("embedding").alias("template"))
     out = R.best_template(e.select("vec_id", "embedding"), t, F.round(R.dot(F.col("embedding"), F.col("template")), 5))
@@ -154,7 +168,19 @@ def align_best(spark, d):
 
 ALIGN_SQL = """WITH t AS (SELECT label AS template_id, embedding AS template FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
  s AS (SELECT vec_id, template_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * template[i]::DOUBLE)), 5) AS score FROM embeddings, t)
- SELECT vec_id, template_id, score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, template_id) = 1"""
+ SELECT vec_id, template_id, score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, template_id DESC) = 1"""
+
+
+def align_above(spark, d):
+    """The first of the best templates of a score over 0.2, or template -1."""
+    e = table(spark, d, "embeddings")
+    t = R.first_of(e.select("label", "vec_id", "embedding"), "label", "vec_id").select(F.col("label").alias("template_id"), F.col("embedding").alias("template"))
+    out = R.best_above(e.select("vec_id", "embedding"), t, F.round(R.dot(F.col("embedding"), F.col("template")), 5), 0.2, -1)
+    return out.select("vec_id", "template_id", "score")
+
+
+ABOVE_SQL = ALIGN_SQL.split(" SELECT vec_id, template_id, score FROM s QUALIFY")[0] + """, b AS (SELECT vec_id, template_id, score FROM s WHERE score > 0.2 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, template_id) = 1)
+ SELECT vec_id, coalesce(template_id, -1)::INT AS template_id, score FROM embeddings LEFT JOIN b USING (vec_id)"""
 
 
 def zscore_clip(spark, d):
@@ -214,7 +240,7 @@ def roc_points(spark, d):
 
 def sphere_overlap(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 211).cast("double").alias("x"), (F.col("p_partkey") * 101 % 223).cast("double").alias("y"), (F.col("p_partkey") * 53 % 227).cast("double").alias("z"), (F.col("p_size") / 10).alias("r"))
-    return R.overlapping_spheres(p, 5.0)
+    return R.overlapping_spheres(p)
 
 
 def pearson_groups(spark, d):
@@ -250,17 +276,18 @@ SQL = {
     "pick_dog_peaks": PICK_SQL,
     "smooth_gaussian": f"WITH {_GRID}, {_smooth_sql('a', 'vol', S1)} SELECT x, y, z, round(val, 6) + 0.0::DOUBLE AS val FROM a",
     "dog": f"WITH {_GRID}, {_smooth_sql('a', 'vol', S1)}, {_smooth_sql('b', 'vol', S2)} SELECT a.x, a.y, a.z, round(a.val - b.val, 6) + 0.0::DOUBLE AS val FROM a JOIN b USING (x, y, z)",
-    "local_maxima": f"WITH {_GRID} SELECT x, y, z, val FROM vol v WHERE val <> 0 AND NOT EXISTS (SELECT 1 FROM vol m WHERE {_BOX} AND m.val > v.val)",
-    "local_minima": f"WITH {_GRID} SELECT x, y, z, val FROM vol v WHERE val <> 0 AND NOT EXISTS (SELECT 1 FROM vol m WHERE {_BOX} AND m.val < v.val)",
+    "local_maxima": f"WITH {_GRID} SELECT x, y, z, val FROM vol v WHERE val > (SELECT min(val) FROM vol) AND NOT EXISTS (SELECT 1 FROM vol m WHERE {_BOX} AND m.val > v.val)",
+    "local_minima": f"WITH {_GRID} SELECT x, y, z, val FROM vol v WHERE val < (SELECT max(val) FROM vol) AND NOT EXISTS (SELECT 1 FROM vol m WHERE {_BOX} AND m.val < v.val)",
     "gradient_mag": f"WITH {_GRID}, g AS (SELECT x, y, z, coalesce(lead(val) OVER (PARTITION BY y, z ORDER BY x) - val, 0) AS dx, coalesce(lead(val) OVER (PARTITION BY x, z ORDER BY y) - val, 0) AS dy, coalesce(lead(val) OVER (PARTITION BY x, y ORDER BY z) - val, 0) AS dz FROM vol) SELECT *, dx*dx + dy*dy + dz*dz AS mag FROM g",
     "dilate": f"WITH {_GRID} SELECT v.x, v.y, v.z, greatest(v.val, max(m.val)) AS val FROM vol v JOIN vol m ON {_BOX} GROUP BY v.x, v.y, v.z, v.val",
     "hessian_eigen": HESSIAN_SQL,
-    "roll": f"WITH {_GRID} SELECT ((x + 3) % 30)::INT AS x, ((y + 19) % 24)::INT AS y, ((z + 4) % 16)::INT AS z, val FROM vol WHERE val <> 0",
+    "roll": f"WITH {_GRID} SELECT ((x + 3) % 31)::INT AS x, ((y + 19) % 24)::INT AS y, ((z + 4) % 16)::INT AS z, val FROM vol WHERE val <> 0",
     "crop_range": f"WITH {_GRID} SELECT x - 5 AS x, y - 6 AS y, z - 2 AS z, val FROM vol WHERE val <> 0 AND x BETWEEN 5 AND 19 AND y BETWEEN 6 AND 17 AND z BETWEEN 2 AND 11",
     "tile_bases": TILE_SQL,
     "sphere_mask": SPHERE_SQL,
     "cluster_average": CLUSTER_SQL,
     "align_best": ALIGN_SQL,
+    "align_above": ABOVE_SQL,
     "zscore_clip": "SELECT o_orderkey, round(CASE WHEN s = 0 THEN 0.0 ELSE greatest(-1.5, least(1.5, (o_totalprice - m) / s)) END, 6) AS z FROM (SELECT *, avg(o_totalprice) OVER w AS m, stddev_pop(o_totalprice) OVER w AS s FROM orders WINDOW w AS (PARTITION BY o_orderpriority))",
     "minmax_stretch": "SELECT o_orderkey, round(CASE WHEN a = b THEN 0.0 ELSE (o_totalprice - a) / (b - a) END, 8) AS v FROM (SELECT *, min(o_totalprice) OVER w AS a, max(o_totalprice) OVER w AS b FROM orders WINDOW w AS (PARTITION BY o_orderstatus))",
     "size_min_having": "SELECT o_orderkey, o_custkey FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) >= 12",
@@ -277,14 +304,30 @@ SQL = {
     "pearson_groups": "SELECT l_returnflag, l_linestatus, round(corr(l_quantity, l_extendedprice), 8) AS r, count(*) AS n FROM lineitem GROUP BY ALL",
     "neighbor_cov": "SELECT pos::INT AS pos, round(covar_pop(embedding[pos + 1]::DOUBLE, embedding[pos + 2]::DOUBLE), 6) AS cov FROM embeddings, range(64) p(pos) WHERE pos % 4 < 3 GROUP BY pos",
     "prefix_best": "SELECT o_custkey, len, mean FROM (SELECT o_custkey, count(*) OVER w AS len, round(avg(o_totalprice) OVER w, 4) AS mean FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY mean DESC, len DESC) = 1",
+    "suppress_peaks": f"WITH RECURSIVE {_GRID}, top AS (SELECT x, y, z, val FROM vol v WHERE val > (SELECT min(val) FROM vol) AND NOT EXISTS (SELECT 1 FROM vol m WHERE {_BOX} AND m.val > v.val)), "
+    + greedy_sql("SELECT row_number() OVER (ORDER BY val DESC, x, y, z) AS i, row_number() OVER (ORDER BY val DESC, x, y, z) AS id, x, y, z, val FROM top", "(k.x - r.x)**2 + (k.y - r.y)**2 + (k.z - r.z)**2 < 9")
+    + " SELECT x, y, z, val FROM ranked JOIN kept USING (id)",
+    "surface_strength": SURFACE_SQL,
     "events_tumbling": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
-_QUERIES = (pick_dog_peaks, smooth_gaussian, dog, local_maxima, local_minima, gradient_mag, dilate, hessian_eigen, roll, crop_range, tile_bases, sphere_mask, suppress_peaks, cluster_average, align_best, zscore_clip, minmax_stretch, size_min_having, resume_anti, select_semi, dedup_first, topk_ties, dense_relabel, union_offset, contingency, pr_fbeta, roc_points, sphere_overlap, pearson_groups, neighbor_cov, prefix_best, events_tumbling)
+_QUERIES = (pick_dog_peaks, smooth_gaussian, dog, local_maxima, local_minima, gradient_mag, dilate, hessian_eigen, roll, crop_range, tile_bases, sphere_mask, suppress_peaks, cluster_average, align_best, align_above, zscore_clip, minmax_stretch, size_min_having, resume_anti, select_semi, dedup_first, topk_ties, dense_relabel, union_offset, contingency, pr_fbeta, roc_points, sphere_overlap, pearson_groups, neighbor_cov, prefix_best, events_tumbling)
+
+
+def _modules() -> tuple:
+    from . import volumes  # it stands on this module's SQL
+
+    return imaging, pairs, spectra, volumes
 
 
 def queries() -> dict:
-    return {**{f.__name__: f for f in _QUERIES}, **imaging.queries()}
+    out = {f.__name__: f for f in _QUERIES} | imaging.queries()
+    for module in _modules()[1:]:
+        out |= module.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**SQL, **imaging.oracle_sql()}
+    out = {**SQL, **imaging.oracle_sql()}
+    for module in _modules()[1:]:
+        out |= module.SQL
+    return out

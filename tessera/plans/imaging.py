@@ -61,23 +61,13 @@ def neighbor_product(spark, d):
 
 @_query()
 def surface_strength(spark, d):
-    return I.surface_strength(_tomogram(spark, d), SHAPE).select("x", "y", "z", F.round("strength", 4).alias("strength"))
-
-
-@_query("""WITH e AS (SELECT vec_id, label, pos, embedding[pos]::DOUBLE AS v FROM embeddings, range(1, 65) p(pos)), c AS (SELECT label, pos, avg(v) AS c FROM e WHERE vec_id % 2 = 0 GROUP BY ALL),
-d AS (SELECT vec_id, c.label, sum((v - c) * (v - c)) AS distance FROM e JOIN c USING (pos) WHERE vec_id % 2 = 1 GROUP BY vec_id, c.label)
-SELECT vec_id, label, round(distance, 5) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, label) = 1""")
-def prototype_nearest(spark, d):
-    """Class means of the even rows as prototypes, the odd rows as queries."""
-    e = _table(spark, d, "embeddings")
-    n = I.nearest_prototype(e.where("vec_id % 2 = 1"), I.prototypes(e.where("vec_id % 2 = 0"), "label", "embedding", 64), "vec_id", "label", "embedding")
-    return n.select("vec_id", "label", F.round("distance", 5).alias("distance"))
+    return I.surface_strength(_tomogram(spark, d), SHAPE).select("x", "y", "z", (F.round("strength", 3) + 0.0).alias("strength"))
 
 
 @_query("""WITH e AS (SELECT vec_id, label, pos, embedding[pos]::DOUBLE AS v FROM embeddings, range(1, 65) p(pos)), c AS (SELECT label, pos, avg(v) AS c FROM e GROUP BY ALL),
 d AS (SELECT vec_id, c.label, sum((v - c) * (v - c)) AS distance FROM e JOIN c USING (pos) GROUP BY vec_id, c.label)
 SELECT vec_id, label, round(distance, 5) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, label) = 1""")
-def prototype_nearest_all(spark, d):
+def prototype_nearest(spark, d):
     """Class means of all rows as prototypes, all rows as queries."""
     e = _table(spark, d, "embeddings")
     n = I.nearest_prototype(e, I.prototypes(e, "label", "embedding", 64), "vec_id", "label", "embedding")

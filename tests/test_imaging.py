@@ -71,7 +71,7 @@ def test_every_row_has_a_nearest_prototype(spark, tmp_path):
     rng = np.random.default_rng(13)
     rows = [(i, rng.normal(size=64).astype("float32").tolist(), 5 if i % 2 else 4) for i in range(20)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r.vec_id: (r.label, r.distance) for r in catalog.queries()["prototype_nearest_all"](spark, str(tmp_path)).collect()}
+    got = {r.vec_id: (r.label, r.distance) for r in catalog.queries()["prototype_nearest"](spark, str(tmp_path)).collect()}
     mean = {k: np.mean([v for _, v, g in rows if g == k], axis=0) for k in (4, 5)}
     far = {i: {k: float(((np.array(v) - m) ** 2).sum()) for k, m in mean.items()} for i, v, _ in rows}
     assert set(got) == set(range(20))
