@@ -34,12 +34,16 @@ def maximised(shares: DataFrame, key: str, size: int) -> DataFrame:
     return m.select("k", (F.col("_r") / total).alias("alpha"), (F.col("_d") / F.col("_r") / size).alias("sigma2"), mean.alias("m"))
 
 
-def mixture(df: DataFrame, column: str, size: int, k: int, *, rounds: int = 50, ridge: float = 1e-6, seed: int = 1) -> dict:
+def mixture(df: DataFrame, column: str, size: int, k: int, *, rounds: int = 50, ridge: float = 1e-6, seed: int = 1, starts: int = 5) -> dict:
     """A Gaussian mixture of k full covariances by EM: weights, means, covariances, log-likelihood and BIC.
 
     Each round is one pass with partial sums a batch (k * size^2 numbers a task) and a small solve on the driver. It
-    starts from k rows of the smallest hash and ends when the log-likelihood gains less than 1e-3 a row.
+    starts from k rows of the smallest hash and ends when the log-likelihood gains less than 1e-3 a row; of `starts`
+    such fits the likeliest is taken.
     """
+    if starts > 1:
+        fits = [mixture(df, column, size, k, rounds=rounds, ridge=ridge, seed=seed + i, starts=1) for i in range(starts if k > 1 else 1)]
+        return max(fits, key=lambda f: f["log_likelihood"])
     import pyarrow as pa
 
     rows = df.select(F.col(column).cast("array<double>").alias("v")).where((F.size(column) == size) & ~F.exists(column, lambda x: x.isNull()))

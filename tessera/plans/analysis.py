@@ -204,7 +204,7 @@ def positive_fraction(spark, d):
     return _full(spark, d).groupBy(*cells).agg(F.round(F.avg((F.col("val") >= 2).cast("int")), 8).alias("positive"))
 
 
-@_query(f"WITH {_GRID}, p AS (SELECT x * 384 + y * 16 + z AS peak, x, y, z FROM vol WHERE val >= 4 AND x >= 2 AND x <= 28 AND y >= 2 AND y <= 22 AND z >= 2 AND z <= 14) SELECT peak::BIGINT AS peak, (o.x * 16 + o.y * 4 + o.z)::INT AS pos, v.val FROM p, (SELECT a AS x, b AS y, c AS z FROM range(4) q(a), range(4) r(b), range(4) s(c)) o JOIN vol v ON v.x = p.x - 2 + o.x AND v.y = p.y - 2 + o.y AND v.z = p.z - 2 + o.z")
+@_query(f"WITH {_GRID}, p AS (SELECT x * 384 + y * 16 + z AS peak, x, y, z FROM vol WHERE val >= 4 AND x >= 2 AND x <= {SHAPE[0] - 2} AND y >= 2 AND y <= 22 AND z >= 2 AND z <= 14) SELECT peak::BIGINT AS peak, (o.x * 16 + o.y * 4 + o.z)::INT AS pos, v.val FROM p, (SELECT a AS x, b AS y, c AS z FROM range(4) q(a), range(4) r(b), range(4) s(c)) o JOIN vol v ON v.x = p.x - 2 + o.x AND v.y = p.y - 2 + o.y AND v.z = p.z - 2 + o.z")
 def peaks_to_subvolumes(spark, d):
     t = _tomogram(spark, d)
     peaks = t.where("val >= 4").select("vol_id", (F.col("x") * 384 + F.col("y") * 16 + F.col("z")).cast("long").alias("peak"), "x", "y", "z")
@@ -235,7 +235,8 @@ def diversity_score(spark, d):
     """Spread of the spreads of overlapping 4 x 4 patches of the image summed over z."""
     image = _full(spark, d).groupBy("x", "y").agg(F.sum("val").alias("v"))
     for a, i, n in (("x", "i", 14), ("y", "j", 11)):
-        image = image.withColumn(i, F.explode(F.sequence(F.greatest(F.ceil((F.col(a) - 3) / 2), F.lit(0)), F.least(F.floor(F.col(a) / 2), F.lit(n - 1)))))
+        first, last = F.greatest(F.ceil((F.col(a) - 3) / 2), F.lit(0)), F.least(F.floor(F.col(a) / 2), F.lit(n - 1))
+        image = image.where(first <= last).withColumn(i, F.explode(F.sequence(first, last)))
     return image.groupBy("i", "j").agg(F.stddev_pop("v").alias("s")).agg(F.round(F.stddev_pop("s"), 6).alias("diversity"))
 
 
@@ -274,7 +275,16 @@ def box_iou(spark, d):
     return G.box_pairs(_boxes(spark, d), 0.3, 55.0).select("a", "b", F.round("iou", 6).alias("iou"))
 
 
-@_query()
+def _greedy_boxes() -> str:
+    from .pairs import greedy_sql
+
+    inner = "greatest(0, least(k.x2, r.x2) - greatest(k.x1, r.x1)) * greatest(0, least(k.y2, r.y2) - greatest(k.y1, r.y1))"
+    areas = "(k.x2 - k.x1) * (k.y2 - k.y1) + (r.x2 - r.x1) * (r.y2 - r.y1)"
+    rank = "SELECT row_number() OVER (ORDER BY score DESC, id) AS i, id, x1, y1, x2, y2 FROM b"
+    return f"WITH RECURSIVE {_BOXES}, " + greedy_sql(rank, f"{inner} / ({areas} - {inner}) > 0.3", "x1, y1, x2, y2") + " SELECT id FROM kept"
+
+
+@_query(_greedy_boxes())
 def box_suppression(spark, d):
     b = _boxes(spark, d)
     return G.keep_greedily(b, G.box_pairs(b, 0.3, 55.0))
@@ -308,7 +318,13 @@ def mixture_responsibilities(spark, d):
     return at.select("vec_id", F.explode(pairs).alias("r")).select("vec_id", "r.label", "r.p")
 
 
-@_query()
+@_query("""WITH RECURSIVE m AS (SELECT DISTINCT o_orderpriority AS cluster, o_custkey AS id FROM orders),
+ o AS (SELECT o_orderpriority AS cluster, row_number() OVER (ORDER BY avg(o_totalprice) DESC, o_orderpriority) AS i FROM orders GROUP BY 1),
+ l AS (SELECT cluster, i, list(id) AS ids FROM m JOIN o USING (cluster) GROUP BY ALL),
+ w AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS seen, NULL::VARCHAR AS cluster, 0::BIGINT AS taken UNION ALL
+  SELECT l.i, CASE WHEN ok THEN list_distinct(list_concat(seen, ids)) ELSE seen END, CASE WHEN ok THEN l.cluster END, taken + ok::BIGINT
+  FROM (SELECT w.*, l.cluster AS name, l.i AS j, len(list_intersect(ids, seen)) / len(ids) <= 0.9 AS ok FROM w JOIN l ON l.i = w.i + 1) w JOIN l ON l.i = j)
+ SELECT (taken - 1)::INT AS place, cluster FROM w WHERE cluster IS NOT NULL""")
 def cluster_cover(spark, d):
     """Order priorities taken by their mean price, each if at most 0.9 of its customers are covered."""
     o = _table(spark, d, "orders").select(F.col("o_orderpriority").alias("cluster"), F.col("o_custkey").alias("id"), "o_totalprice")

@@ -314,9 +314,9 @@ _QUERIES = (pick_dog_peaks, smooth_gaussian, dog, local_maxima, local_minima, gr
 
 
 def _modules() -> tuple:
-    from . import volumes  # it stands on this module's SQL
+    from . import models, sources, volumes  # they stand on this module
 
-    return imaging, pairs, spectra, volumes
+    return imaging, pairs, spectra, volumes, models, sources
 
 
 def queries() -> dict:

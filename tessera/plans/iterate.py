@@ -23,9 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def drop(table: DataFrame) -> None:
-    """Removes what settle() wrote for a table that nothing reads any more."""
-    _delete(table.sparkSession, table._tessera_path)
+def drop(*tables: DataFrame) -> None:
+    """Removes what settle() wrote for tables that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._tessera_path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
