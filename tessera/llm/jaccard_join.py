@@ -6,10 +6,13 @@ is posted under the shingles of its prefix only: two sets that reach the thresho
 a shingle's postings the length and positional filters and the suffix filter (the sizes of both sets' parts
 in fixed ranges of the hash space) bound the overlap. What passes is verified once, on the sets.
 
-Only the groups are wanted, so links within a group that is known already are not emitted: first each
-class meets the few nearest candidates under each shingle, by the suffix filter's bound; when those are verified and their groups known,
-all candidates that lie in different groups still are verified too. No link between groups is lost. A
-shingle posted very often is dealt out in pairs of blocks.
+Only the groups are wanted, so links within a group that is known already are not looked for. First, a shingle's
+postings are put in an order in which alike sets are near (by one of four minima of the set's hashes, another for
+another shingle), and each class meets the few before it: that is linear, however many postings a shingle has, and
+needs no more than those few in memory. What is verified makes groups. Then all candidates that lie in different
+groups still are verified too; shingles whose postings are of one group by now, as those of large groups of near
+copies are, take no part. No link between groups is lost. A shingle that many classes of several groups post is dealt
+out in pairs of blocks. `linked_pairs` verifies every candidate, and gives all links between classes.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; component_id
 is the smallest doc_id that links reach; a null doc_id joins its group without naming it (and has a null
@@ -34,8 +37,12 @@ SHINGLE, PERCENT = 4, 85
 #: Places of the count sketch (fixed, so that its broadcast is 4 MB at any size) and of the suffix filter.
 SKETCH_BITS = 20
 RANGES = 128
-#: Candidates that a class meets under a shingle at first, those that the suffix filter puts nearest.
+#: Candidates that a class meets under a shingle at first: those before it in the shingle's order.
 NEAREST = 3
+#: Minima of a set's hashes that its postings are ordered by.
+MINIMA = 4
+#: Bytes of postings that a task gathers before it pairs them.
+BATCH = 8 << 20
 #: Places of the filter that picks the sets to verify (fixed: 8 MB).
 FILTER_BITS = 26
 #: Postings of one shingle that meet in one task; more are dealt out in pairs of blocks.
@@ -46,7 +53,8 @@ _BYTES = 6  # of each hash that verification compares
 
 
 def set_rows(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Of each set: its size, its class (a hash of the whole set) and its sizes in the ranges of the hash space."""
+    """Of each set: its size, its class (a hash of the whole set), and its sizes in the ranges of the hash space, after them
+    the MINIMA least values of its hashes mixed in so many ways."""
     sizes = np.diff(at)
     full = np.flatnonzero(sizes)
     classes = np.zeros(len(sizes), np.uint64)
@@ -54,7 +62,12 @@ def set_rows(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
         classes[full] = T.mix(np.add.reduceat(T.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), at[full]) + sizes[full].astype(np.uint64))
     row = np.repeat(np.arange(len(sizes)), sizes)
     parts = np.bincount(row * RANGES + (hashes >> np.uint64(57)).astype(np.int64), minlength=len(sizes) * RANGES).reshape(-1, RANGES)
-    return sizes, classes.view(np.int64), [x.tobytes() for x in np.minimum(parts, 255).astype(np.uint8)]
+    least = np.zeros((len(sizes), MINIMA), np.uint64)
+    if len(full):
+        for k in range(MINIMA):
+            least[full, k] = np.minimum.reduceat(T.mix(hashes + np.uint64(0x632BE59BD9B4E019 * (k + 1) & (1 << 64) - 1)), at[full])
+    both = np.concatenate((np.minimum(parts, 255).astype(np.uint8), least.view(np.uint8).reshape(len(sizes), -1)), 1)
+    return sizes, classes.view(np.int64), [x.tobytes() for x in both]
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
@@ -126,13 +139,14 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(own).combine_chunks() if own else None
 
 
-def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in order of (token, part, cls), each class once a group; starts of the groups; group of each row."""
-    token, part, cls = (table.column(c).to_numpy() for c in ("token", "part", "cls"))
-    order = np.lexsort((cls, part, token))
-    token, part, cls = token[order], part[order], cls[order]
+def _groups(table: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of names[0], names[1], ..., each class once a group of names[0] and names[1]; starts of the groups;
+    group of each row."""
+    columns = [table.column(c).to_numpy() for c in names]
+    order = np.lexsort((table.column("cls").to_numpy(), *columns[::-1]))
+    first, second, cls = columns[0][order], columns[1][order], table.column("cls").to_numpy()[order]
     head = np.ones(len(order), bool)
-    head[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
+    head[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
     keep = head.copy()
     keep[1:] |= cls[1:] != cls[:-1]
     group = np.cumsum(head)[keep] - 1
@@ -141,42 +155,103 @@ def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The postings of shingles with at least two classes."""
+    """The postings of shingles with at least two classes; a task's part of all shingles but the very frequent ones."""
     if (table := _gathered(batches)) is not None and len(table):
-        order, start, group = _groups(table)
+        order, start, group = _groups(table.append_column("part", pa.array(np.zeros(len(table), np.int8))), ["token", "part"])
         sizes = np.diff(np.append(start, len(order)))
         for batch in table.take(pa.array(order[sizes[group] > 1])).to_batches(max_chunksize=20_000):
             yield batch
 
 
-def _candidates(table: pa.Table, percent: int):
-    """(first rows, second rows, least distance over the most allowed) of pairs that pass the filters; the first row has the smaller class."""
-    order, start, group = _groups(table)
-    n, pos = (table.column(c).to_numpy()[order].astype(np.int64) for c in ("n", "pos"))
-    parts = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8).reshape(-1, RANGES)
-    before = np.arange(len(order)) - start[group]
-    sums = np.concatenate(([0], np.cumsum(before)))
-    row = 0
-    while row < len(order):
-        top = max(row + 1, int(np.searchsorted(sums, sums[row] + _PAIRS, "right")) - 1)
-        y = np.repeat(np.arange(row, top), before[row:top])
-        x = T.ranges(start[group[row:top]], before[row:top])
-        row = top
-        both = n[x] + n[y]
-        need = -(-percent * both // (100 + percent))
-        ok = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
-        x, y, most = x[ok], y[ok], (both - 2 * need)[ok]
-        apart = np.empty(len(x), np.int64)
-        for a in range(0, len(x), 65536):
-            i, j = order[x[a : a + 65536]], order[y[a : a + 65536]]
-            apart[a : a + 65536] = np.abs(parts[i].astype(np.int16) - parts[j]).sum(1)
-        near = apart <= most
-        yield order[x[near]], order[y[near]], apart[near] / np.maximum(most[near], 1)
+def _passing(table: pa.Table, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows the length, positional and suffix filters let pass."""
+    n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos"))
+    both = n[x] + n[y]
+    need = -(-percent * both // (100 + percent))
+    ok = np.flatnonzero((100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need))
+    parts = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8).reshape(len(table), -1)[:, :RANGES]
+    out = np.zeros(len(x), bool)
+    for a in range(0, len(ok), 65536):
+        i = ok[a : a + 65536]
+        out[i] = np.abs(parts[x[i]].astype(np.int16) - parts[y[i]]).sum(1) <= (both - 2 * need)[i]
+    return out
+
+
+def _near(percent: int):
+    """Pairs (x, y) of classes that stand among the NEAREST before each other, for postings that come in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = (pa.concat_tables([last, table]) if last is not None else table).combine_chunks()
+            token, cls = table.column("token").to_numpy(), table.column("cls").to_numpy()
+            # a class that several tasks posted stands in several rows, one after another
+            once = np.ones(len(token), bool)
+            once[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+            table = table.filter(pa.array(once))
+            token, cls = token[once], cls[once]
+            found = []
+            for back in range(1, min(NEAREST, len(token) - 1) + 1):
+                y = np.flatnonzero(token[back:] == token[:-back]) + back
+                y = y[_passing(table, y - back, y, percent)]
+                found.append(np.stack((np.minimum(cls[y], cls[y - back]), np.maximum(cls[y], cls[y - back])), 1))
+            both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            both = both[both[:, 0] != both[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["x", "y"])
+            last = table.slice(max(0, len(table) - NEAREST))
+
+    return run
+
+
+def _across(percent: int):
+    """Pairs (x, y) of classes of different roots that pass the filters, for postings that come sorted by (token, part).
+
+    In a group the rows stand by root, so that only pairs of different roots are made, a bounded number at a time.
+    """
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        order, start, group = _groups(table, ["token", "part", "root"])
+        root = table.column("root").to_numpy()[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (group[1:] != group[:-1]) | (root[1:] != root[:-1])
+        own = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))  # where the row's root begins
+        before = own - start[group]
+        sums = np.concatenate(([0], np.cumsum(before)))
+        row = 0
+        while row < len(order):
+            top = max(row + 1, int(np.searchsorted(sums, sums[row] + _PAIRS, "right")) - 1)
+            y = order[np.repeat(np.arange(row, top), before[row:top])]
+            x = order[T.ranges(start[group[row:top]], before[row:top])]
+            row = top
+            ok = _passing(table, x, y, percent) if len(x) else np.zeros(0, bool)
+            yield _pairs(table, x[ok], y[ok])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[pa.RecordBatch] = []
+        held = 0
+        for batch in batches:
+            own.append(batch)
+            held += batch.nbytes
+            if held > BATCH:
+                whole = pa.Table.from_batches(own).combine_chunks()
+                token, part = (whole.column(c).to_numpy() for c in ("token", "part"))
+                same = (token == token[-1]) & (part == part[-1])
+                cut = len(whole) if not same.any() else int(np.flatnonzero(same)[0])
+                if cut:
+                    yield from work(whole.slice(0, cut).combine_chunks())
+                own = whole.slice(cut).combine_chunks().to_batches()
+                held = sum(x.nbytes for x in own) if cut else 0
+        if sum(map(len, own)):
+            yield from work(pa.Table.from_batches(own).combine_chunks())
+
+    return run
 
 
 def _pairs(table: pa.Table, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
     cls = table.column("cls").to_numpy()
-    both = np.unique(np.stack((cls[first], cls[second]), 1), axis=0) if len(first) else np.empty((0, 2), np.int64)
+    x, y = np.minimum(cls[first], cls[second]), np.maximum(cls[first], cls[second])
+    both = np.unique(np.stack((x, y), 1), axis=0) if len(first) else np.empty((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["x", "y"])
 
 
@@ -242,50 +317,71 @@ def _slots(classes: np.ndarray) -> np.ndarray:
     return np.concatenate((spread & mask, spread >> np.uint64(32) & mask)).astype(np.int64)
 
 
-def link_groups(docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, marked: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text, ...); marked: and mark, the xxhash64 of its text."""
-    narrow(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+def _index(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, postings): (doc_id, n, cls, data, mark) of every row, and (token, cls, n, pos) of shared shingles."""
     described = settle(_describe(docs, k))
     rows = described.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "cls", "data", "mark")
     first = settle(_postings(docs, _sketch(described), k, percent))
-
-    often = first.where("hot").groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("token", F.expr(f"cast(ceil(m / {BLOCK}) as int)").alias("blocks"))
+    keep = ["token", "cls", "n", "pos"]
+    often = first.where("hot").groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("token", F.lit(True).alias("many"))
     suspects = first.where("hot").join(often, "token", "left")
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    dealt = suspects.where("blocks is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("part", F.greatest("own", "other") * 65536 + F.least("own", "other"))
-    keep = ["token", "part", "cls", "n", "pos"]
-    whole = first.where("not hot").withColumn("part", F.lit(0)).select(keep).unionAll(suspects.where("blocks is null").withColumn("part", F.lit(0)).select(keep)).unionAll(dealt.select(keep))
-    shared = whole.repartition("token", "part").mapInArrow(_shared, "token long, part int, cls long, n int, pos int")
-    ranges = rows.where("n > 0").groupBy("cls").agg(F.first("data").alias("data"))
-    index = settle(shared.join(ranges, "cls"))
+    # postings of a shingle of very many stay where they are: it is shared
+    rest = first.where("not hot").select(keep).unionAll(suspects.where("many is null").select(keep))
+    shared = rest.repartition("token").mapInArrow(_shared, "token long, cls long, n int, pos int")
+    postings = settle(shared.unionByName(suspects.where("many").select(keep)))
     drop(first)
+    return rows, postings
+
+
+def _candidates(postings: DataFrame, ranges: DataFrame, groups: DataFrame | None, percent: int) -> DataFrame:
+    """(x, y) of all candidates of different groups (v, root); without groups, of all."""
+    if groups is None:
+        rooted = postings.withColumn("root", F.col("cls"))
+    else:
+        rooted = postings.join(groups.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    open_ = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m")).where("a < b")
+    blocks = F.when(F.col("m") > BLOCK, F.expr(f"cast(ceil(m / {BLOCK}) as int)")).otherwise(1)
+    left = rooted.join(open_.select("token", blocks.alias("blocks")), "token")
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("long")
+    dealt = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    dealt = dealt.withColumn("part", F.greatest("own", "other") * (1 << 31) + F.least("own", "other"))
+    dealt = dealt.select("token", "part", "cls", "n", "pos", "root").join(ranges, "cls")
+    dealt = dealt.repartition("token", "part").sortWithinPartitions("token", "part")
+    return dealt.mapInArrow(_across(percent), "x long, y long").distinct()
+
+
+def linked_pairs(docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(members, links): (doc_id, n_shingles, cls) of every row, and every link (x, y) between two classes, x < y.
+
+    All candidates are verified, within groups too: in a group of many unlike near copies that is their square.
+    """
+    narrow(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    rows, postings = _index(docs, k, percent)
+    ranges = rows.where("n > 0").groupBy("cls").agg(F.first("data").alias("data"))
+    pairs = settle(_candidates(postings, ranges, None, percent))
+    links = _verified(pairs, settle(_sets(docs, pairs, k)), percent)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "cls"), links
+
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (table := _gathered(batches)) is not None and len(table):
-            for x, y, apart in _candidates(table, percent):
-                place = np.lexsort((x, apart, y))
-                x, y = x[place], y[place]
-                nth = np.arange(len(y)) - np.searchsorted(y, y)
-                yield _pairs(table, x[nth < NEAREST], y[nth < NEAREST])
+def link_groups(docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, marked: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text, ...); marked: and mark, the xxhash64 of its text."""
+    narrow(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    rows, postings = _index(docs, k, percent)
+    ranges = rows.where("n > 0").groupBy("cls").agg(F.first("data").alias("data"))
 
-    pairs = settle(index.repartition("token", "part").mapInArrow(nearest, "x long, y long").distinct())
+    own = F.substring("data", F.lit(RANGES + 1) + 8 * F.pmod("token", F.lit(MINIMA)).cast("int"), F.lit(8))
+    ordered = postings.join(ranges, "cls").withColumn("least", own)
+    ordered = ordered.repartitionByRange("token", "least", "n", "cls").sortWithinPartitions("token", "least", "n", "cls")
+    pairs = settle(ordered.select("token", "cls", "n", "pos", "data").mapInArrow(_near(percent), "x long, y long").distinct())
     sets = settle(_sets(docs, pairs, k))
     links = settle(_verified(pairs, sets, percent))
+    drop(sets)
     groups = connected(links)
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (table := _gathered(batches)) is not None and len(table):
-            root = table.column("root").to_numpy()
-            for x, y, _ in _candidates(table, percent):
-                apart = root[x] != root[y]
-                yield _pairs(table, x[apart], y[apart])
-
-    rooted = index.join(groups.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    more = rooted.repartition("token", "part").mapInArrow(across, "x long, y long").distinct().join(pairs, ["x", "y"], "left_anti")
-    more = settle(more)
-    drop(index, sets)
+    more = settle(_candidates(postings, ranges, groups, percent).join(pairs, ["x", "y"], "left_anti"))
+    drop(postings)
     sets = settle(_sets(docs, more, k))
     links = links.unionAll(settle(_verified(more, sets, percent)))
     drop(sets)

@@ -8,9 +8,9 @@ import re
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def shingles(text):
+def shingles(text, k=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
-    return {tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
 def jaccard_components(docs, percent=85):

@@ -52,6 +52,32 @@ def test_jaccard_blocks_of_a_hot_shingle(spark, monkeypatch):
     assert got == brute.jaccard_components(rows)
 
 
+def test_jaccard_links_are_all_links(spark, monkeypatch):
+    rows = [r for r in corpus(6) if len(r[1] or "") < 10000]
+    for block in (1024, 3):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        members, links = jaccard_join.linked_pairs(frame(spark, rows), k=3, percent=70)
+        cls = {r.doc_id: r.cls for r in members.collect()}
+        got = {(r.x, r.y) for r in links.collect()}
+        want = set()
+        for a, b in ((a, b) for a in rows for b in rows if cls[a[0]] < cls[b[0]]):
+            x, y = (brute.shingles(t, 3) for t in (a[1], b[1]))
+            if x and y and 100 * len(x & y) >= 70 * len(x | y):
+                want.add((cls[a[0]], cls[b[0]]))
+        assert got == want
+
+
+def test_jaccard_of_a_chain_and_a_large_group(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"v{j}" if j < i else words[j] for j in range(60))) for i in range(12)]  # each near the next only
+    rows += [(100 + i, " ".join(words[:-1] + [f"u{i}"])) for i in range(40)]
+    for block, batch in ((1024, 8 << 20), (4, 1)):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "BATCH", batch)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_groups(frame(spark, rows)).collect()}
+        assert got == brute.jaccard_components(rows)
+
+
 def test_suffix_dedup(spark):
     rows = corpus(2)
     rows += [(100 + i, "0123456789" * 4 + "abcdefghijklmnopqrst" + str(i) * 3 + "é" * 40 + str(i % 2)) for i in range(8)]
