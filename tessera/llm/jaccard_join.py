@@ -8,8 +8,8 @@ in fixed ranges of the hash space) bound the overlap. What passes is verified on
 
 Only the groups are wanted, so links within a group that is known already are not looked for. First, a shingle's
 postings are put in an order in which alike sets are near (by one of four minima of the set's hashes, another for
-another shingle), and each class meets the few before it: that is linear, however many postings a shingle has, and
-needs no more than those few in memory. What is verified makes groups. Then all candidates that lie in different
+another shingle) and cut into runs of at most BLOCK; in a run each class meets the few nearest before it, by the
+suffix filter's bound. That is linear, however many postings a shingle has. What is verified makes groups. Then all candidates that lie in different
 groups still are verified too; shingles whose postings are of one group by now, as those of large groups of near
 copies are, take no part. No link between groups is lost. A shingle that many classes of several groups post is dealt
 out in pairs of blocks. `linked_pairs` verifies every candidate, and gives all links between classes.
@@ -37,7 +37,7 @@ SHINGLE, PERCENT = 4, 85
 #: Places of the count sketch (fixed, so that its broadcast is 4 MB at any size) and of the suffix filter.
 SKETCH_BITS = 20
 RANGES = 128
-#: Candidates that a class meets under a shingle at first: those before it in the shingle's order.
+#: Candidates that a class meets under a shingle at first, those that the suffix filter puts nearest.
 NEAREST = 3
 #: Minima of a set's hashes that its postings are ordered by.
 MINIMA = 4
@@ -163,47 +163,79 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch
 
 
-def _passing(table: pa.Table, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of rows the length, positional and suffix filters let pass."""
+def _apart(table: pa.Table, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Of pairs of rows, the least distance by the suffix filter over the most allowed; above 1 where a filter stops them."""
     n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "pos"))
     both = n[x] + n[y]
     need = -(-percent * both // (100 + percent))
     ok = np.flatnonzero((100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need))
     parts = np.frombuffer(b"".join(table.column("data").to_pylist()), np.uint8).reshape(len(table), -1)[:, :RANGES]
-    out = np.zeros(len(x), bool)
+    out = np.full(len(x), np.inf)
     for a in range(0, len(ok), 65536):
         i = ok[a : a + 65536]
-        out[i] = np.abs(parts[x[i]].astype(np.int16) - parts[y[i]]).sum(1) <= (both - 2 * need)[i]
+        far, most = np.abs(parts[x[i]].astype(np.int16) - parts[y[i]]).sum(1), (both - 2 * need)[i]
+        out[i] = np.where(far <= most, far / np.maximum(most, 1), np.inf)
     return out
 
 
-def _near(percent: int):
-    """Pairs (x, y) of classes that stand among the NEAREST before each other, for postings that come in their order."""
+def _gathering(work, names: list[str] | None):
+    """Runs work on about BATCH bytes of rows at once; names: only on whole groups of these columns, which come sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        own: list[pa.RecordBatch] = []
+        held = 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = (pa.concat_tables([last, table]) if last is not None else table).combine_chunks()
-            token, cls = table.column("token").to_numpy(), table.column("cls").to_numpy()
-            # a class that several tasks posted stands in several rows, one after another
-            once = np.ones(len(token), bool)
-            once[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-            table = table.filter(pa.array(once))
-            token, cls = token[once], cls[once]
-            found = []
-            for back in range(1, min(NEAREST, len(token) - 1) + 1):
-                y = np.flatnonzero(token[back:] == token[:-back]) + back
-                y = y[_passing(table, y - back, y, percent)]
-                found.append(np.stack((np.minimum(cls[y], cls[y - back]), np.maximum(cls[y], cls[y - back])), 1))
-            both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-            both = both[both[:, 0] != both[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["x", "y"])
-            last = table.slice(max(0, len(table) - NEAREST))
+            own.append(batch)
+            held += batch.nbytes
+            if held > BATCH:
+                whole = pa.Table.from_batches(own).combine_chunks()
+                cut = len(whole)
+                if names:
+                    same = np.ones(cut, bool)
+                    for c in names:
+                        column = whole.column(c).to_numpy()
+                        same &= column == column[-1]
+                    cut = int(np.flatnonzero(same)[0])
+                if cut:
+                    yield from work(whole.slice(0, cut).combine_chunks())
+                own = whole.slice(cut).combine_chunks().to_batches()
+                held = sum(x.nbytes for x in own) if cut else 0
+        if sum(map(len, own)):
+            yield from work(pa.Table.from_batches(own).combine_chunks())
 
     return run
 
 
+def _near(percent: int):
+    """Pairs (x, y) of classes: each with the NEAREST ones, by the suffix filter, of those before it among BLOCK postings
+    that follow one another. Postings come in their order; where the rows gathered end, a run of them does too."""
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, cls = table.column("token").to_numpy(), table.column("cls").to_numpy()
+        # a class that several tasks posted stands in several rows, one after another
+        once = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
+        table, token = table.take(pa.array(once)).combine_chunks(), token[once]
+        place = np.arange(len(token))
+        start = np.maximum.accumulate(np.where(np.append(True, token[1:] != token[:-1]), place, 0))
+        before = (place - start) % BLOCK
+        sums = np.concatenate(([0], np.cumsum(before)))
+        row = 0
+        while row < len(token):
+            top = max(row + 1, int(np.searchsorted(sums, sums[row] + _PAIRS, "right")) - 1)
+            y = np.repeat(np.arange(row, top), before[row:top])
+            x = T.ranges(np.arange(row, top) - before[row:top], before[row:top])
+            row = top
+            apart = _apart(table, x, y, percent) if len(x) else np.empty(0)
+            ok = np.flatnonzero(apart <= 1)
+            x, y, apart = x[ok], y[ok], apart[ok]
+            order = np.lexsort((x, apart, y))
+            x, y = x[order], y[order]
+            first = np.arange(len(y)) - np.searchsorted(y, y) < NEAREST
+            yield _pairs(table, x[first], y[first])
+
+    return _gathering(work, None)
+
+
 def _across(percent: int):
     """Pairs (x, y) of classes of different roots that pass the filters, for postings that come sorted by (token, part).
 
@@ -224,28 +256,10 @@ def _across(percent: int):
             y = order[np.repeat(np.arange(row, top), before[row:top])]
             x = order[T.ranges(start[group[row:top]], before[row:top])]
             row = top
-            ok = _passing(table, x, y, percent) if len(x) else np.zeros(0, bool)
+            ok = _apart(table, x, y, percent) <= 1 if len(x) else np.zeros(0, bool)
             yield _pairs(table, x[ok], y[ok])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: list[pa.RecordBatch] = []
-        held = 0
-        for batch in batches:
-            own.append(batch)
-            held += batch.nbytes
-            if held > BATCH:
-                whole = pa.Table.from_batches(own).combine_chunks()
-                token, part = (whole.column(c).to_numpy() for c in ("token", "part"))
-                same = (token == token[-1]) & (part == part[-1])
-                cut = len(whole) if not same.any() else int(np.flatnonzero(same)[0])
-                if cut:
-                    yield from work(whole.slice(0, cut).combine_chunks())
-                own = whole.slice(cut).combine_chunks().to_batches()
-                held = sum(x.nbytes for x in own) if cut else 0
-        if sum(map(len, own)):
-            yield from work(pa.Table.from_batches(own).combine_chunks())
-
-    return run
+    return _gathering(work, ["token", "part"])
 
 
 def _pairs(table: pa.Table, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
