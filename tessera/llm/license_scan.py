@@ -142,10 +142,10 @@ lines AS (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line, gene
 words AS (SELECT doc_id, path, pos, unnest(string_split_regex(lower(line), '[^a-z0-9]+')) AS word FROM lines),
 tf AS (SELECT doc_id, path, pos, word, count(*) AS tf FROM words WHERE word <> '' GROUP BY ALL),
 total AS (SELECT count(text) AS n FROM files),
-idf AS (SELECT v.word, ln((1 + n) / (1 + coalesce(df, 0))::DOUBLE) + 1 AS idf FROM (SELECT DISTINCT word FROM counts) v CROSS JOIN total
+idf AS (SELECT v.word, ln((1 + n) / (1 + coalesce(df, 0))::DOUBLE) + 1 AS idf FROM (SELECT word FROM counts UNION SELECT word FROM tf) v CROSS JOIN total
         LEFT JOIN (SELECT word, count(DISTINCT doc_id) AS df FROM tf GROUP BY word) d ON d.word = v.word),
 template AS (SELECT t, word, k * idf / sqrt(sum((k * idf) * (k * idf)) OVER (PARTITION BY t)) AS part FROM counts JOIN idf USING (word)),
-x AS (SELECT tf.*, tf * coalesce(idf, ln(1 + n) + 1) AS x FROM tf CROSS JOIN total LEFT JOIN idf USING (word)),
+x AS (SELECT tf.*, tf * idf AS x FROM tf JOIN idf USING (word)),
 norm AS (SELECT doc_id, path, pos, sum(x * x) AS sq FROM x GROUP BY ALL),
 dot AS (SELECT doc_id, path, pos, t, sum(x * part) AS d FROM x JOIN template USING (word) GROUP BY ALL),
 best AS (SELECT doc_id, path, round(d / sqrt(sq), 6) AS cosine, license FROM dot JOIN norm USING (doc_id, path, pos) JOIN names USING (t)),
