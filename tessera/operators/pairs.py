@@ -247,3 +247,67 @@ def voronoi_weights(poses: DataFrame, draws: DataFrame, key: str, count: int, *,
     near = draws.join(F.broadcast(poses), F.lit(True)).groupBy("i").agg(F.min(F.struct(square.alias("d"), key)).alias("b"))
     counts = near.groupBy(F.col(f"b.{key}").alias(key)).agg(F.count("*").alias("_n"))
     return poses.select(key).join(counts, key, "left").select(key, (F.coalesce("_n", F.lit(0)) / count).alias("weight"))
+
+
+def filament_links(points: DataFrame, *, reach: float, cone: float, sigmas: tuple[float, float, float], least: float) -> DataFrame:
+    """(id, next, similarity): each point's most similar one ahead, if the similarity exceeds `least`; ties to the smaller id.
+
+    points: (id, x, y, z, corr, ux, uy, uz) with the direction of each. Ahead means within `reach` and at most `cone`
+    from the point's direction. With beta and gamma the angles of the step with both directions, the similarity is the
+    other's corr times Gaussians of beta - gamma, beta + gamma and the step's length, of the three sigmas.
+    """
+    axes = ["x", "y", "z"]
+    near = close_pairs(points, "id", axes, reach, euclid(axes, reach, strict=False))
+    own = points.select("id", *axes, *(F.col(f"u{a}").alias(f"_u{a}") for a in axes))
+    other = points.select(F.col("id").alias("other"), *(F.col(a).alias(f"_{a}") for a in axes), *(F.col(f"u{a}").alias(f"_w{a}") for a in axes), F.col("corr").alias("_c"))
+    both = near.join(own, "id").join(other, "other")
+    step = [F.col(f"_{a}") - F.col(a) for a in axes]
+    length = F.sqrt(sum(s * s for s in step))
+
+    def angle(prefix: str) -> Column:
+        size = F.sqrt(sum(F.col(f"{prefix}{a}") * F.col(f"{prefix}{a}") for a in axes))
+        cosine = sum(s * F.col(f"{prefix}{a}") for s, a in zip(step, axes)) / (length * size)
+        return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+    both = both.select("id", "other", "_c", length.alias("_d"), angle("_u").alias("_b"), angle("_w").alias("_g")).where(F.col("_b") <= cone)
+    bell = lambda v, s: F.exp(-(v * v) / (s * s))
+    value = F.col("_c") * bell(F.col("_b") - F.col("_g"), sigmas[0]) * bell(F.col("_b") + F.col("_g"), sigmas[1]) * bell(F.col("_d"), sigmas[2])
+    best = both.groupBy("id").agg(F.max(F.struct(F.round(value, 9).alias("s"), (-F.col("other")).alias("o"))).alias("b"))
+    return best.select("id", (-F.col("b.o")).alias("next"), F.col("b.s").alias("similarity")).where(F.col("similarity") > least)
+
+
+def common_frames(alignments: DataFrame, first: str, second: str, score: str, *, most: int = 10_000) -> list[tuple]:
+    """Frames that greedy pairing makes of clusters: pairs, best first, join the frames of their two clusters; the earlier
+    frame's first cluster leads. Returns (cluster, leader) of every cluster; the driver holds at most `most` pairs."""
+    rows = alignments.select(first, second, score).orderBy(F.desc(score), first, second).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} pairs")
+    leader: dict = {}
+    for a, b, _ in rows:
+        leader.setdefault(a, a)
+        leader.setdefault(b, b)
+        if leader[a] != leader[b]:
+            keep, gone = leader[a], leader[b]
+            leader = {c: keep if x == gone else x for c, x in leader.items()}
+    return sorted(leader.items())
+
+
+def redundant_clusters(scores: DataFrame, *, level: float = 0.05) -> DataFrame:
+    """(a, b, n, w, z): pairs of clusters whose members match the other's average no worse than their own.
+
+    scores: (record, cluster, template, score), a member's score against every average. A member of cluster a gives the
+    difference of its scores against a and b; the signed ranks' sum, by its normal approximation, tells whether a is
+    specific against b. Pairs that are not (one-sided at `level`) are returned.
+    """
+    from statistics import NormalDist
+
+    own = scores.where("template = cluster").select("record", F.col("cluster").alias("a"), F.col("score").alias("_s"))
+    other = scores.where("template <> cluster").select("record", F.col("template").alias("b"), F.col("score").alias("_t"))
+    d = own.join(other, "record").select("a", "b", (F.col("_s") - F.col("_t")).alias("d")).where("d <> 0")
+    w = Window.partitionBy("a", "b").orderBy(F.abs("d"))  # a pair of clusters' members
+    ties = Window.partitionBy("a", "b", F.abs("d"))
+    ranked = d.withColumn("r", F.rank().over(w) + (F.count("*").over(ties) - 1) / 2)
+    s = ranked.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w"))
+    n = F.col("n")
+    z = (F.col("w") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    return s.withColumn("z", z).where(F.col("z") < NormalDist().inv_cdf(1 - level))

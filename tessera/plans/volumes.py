@@ -422,3 +422,82 @@ def key_value_store(spark, d):
     second = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("value"))
     both = upserted(first, second, "key")
     return deleted(both, both.where("key % 7 = 0").select("key"), "key")
+
+
+# filaments, frames, clusters
+
+
+_DIRECTED = f"""q AS (SELECT p_partkey AS id, (p_partkey * 37 % 97)::DOUBLE AS x, (p_partkey * 101 % 89)::DOUBLE AS y, (p_partkey * 53 % 83)::DOUBLE AS z, p_size / 50.0 AS corr,
+ cos(6.0 * {uniform_sql('p_partkey', 'u')}) AS ux, sin(6.0 * {uniform_sql('p_partkey', 'u')}) AS uy, 0.5::DOUBLE AS uz FROM part)"""
+_ANGLE = lambda v: f"acos(greatest(-1.0, least(1.0, ((b.x-a.x)*{v}.ux + (b.y-a.y)*{v}.uy + (b.z-a.z)*{v}.uz) / (d * sqrt({v}.ux*{v}.ux + {v}.uy*{v}.uy + {v}.uz*{v}.uz)))))"
+
+
+@_query(f"""WITH {_DIRECTED}, e AS (SELECT a.id, b.id AS next, b.corr, d, {_ANGLE('a')} AS beta, {_ANGLE('b')} AS gamma
+  FROM (SELECT *, 1 AS one FROM q) a JOIN q b ON a.id <> b.id CROSS JOIN LATERAL (SELECT sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) AS d) WHERE d <= 16),
+ s AS (SELECT id, next, round(corr * exp(-((beta-gamma)*(beta-gamma)) / 1.0) * exp(-((beta+gamma)*(beta+gamma)) / 4.0) * exp(-d*d / 400.0), 9) AS s FROM e WHERE beta <= 1.0)
+ SELECT id, next, round(s, 6) AS similarity FROM s WHERE s > 0.01 QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, next) = 1""")
+def filament_links(spark, d):
+    """Each point's most similar one ahead of its direction."""
+    u = uniform(F.col("p_partkey"), "u") * 6.0
+    k = F.col("p_partkey")
+    at = [(k * a % m).cast("double").alias(c) for c, a, m in (("x", 37, 97), ("y", 101, 89), ("z", 53, 83))]
+    p = table(spark, d, "part").select(k.alias("id"), *at, (F.col("p_size") / 50.0).alias("corr"), F.cos(u).alias("ux"), F.sin(u).alias("uy"), F.lit(0.5).alias("uz"))
+    out = P.filament_links(p, reach=16.0, cone=1.0, sigmas=(1.0, 2.0, 20.0), least=0.01)
+    return out.select("id", "next", F.round("similarity", 6).alias("similarity"))
+
+
+_MEANS = "m AS (SELECT label, p, avg(embedding[p]::DOUBLE) AS m FROM embeddings, range(1, 65) t(p) GROUP BY ALL)"
+_SCORES = f"{_MEANS}, s AS (SELECT vec_id AS record, e.label AS cluster, m.label AS template, round(sum(embedding[p]::DOUBLE * m), 9) AS score FROM embeddings e, m GROUP BY ALL)"
+
+
+@_query(f"""WITH {_SCORES}, d AS (SELECT a.cluster AS a, b.template AS b, a.score - b.score AS d FROM s a JOIN s b ON a.record = b.record AND a.template = a.cluster AND b.template <> b.cluster WHERE a.score <> b.score),
+ r AS (SELECT a, b, d, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2 AS r FROM d),
+ w AS (SELECT a, b, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w FROM r GROUP BY ALL), z AS (SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24) AS z FROM w)
+ SELECT a, b, n, round(w, 3) AS w, round(z, 5) AS z FROM z WHERE z < 1.6448536269514722""")
+def redundant_clusters(spark, d):
+    """Pairs of classes whose members match the other's mean no worse than their own."""
+    from ..operators.records import array_mean, dot
+
+    e = table(spark, d, "embeddings")
+    means = array_mean(e, "label", "embedding", 64).select(F.col("label").alias("template"), "mean")
+    scores = e.join(F.broadcast(means), F.lit(True)).select(F.col("vec_id").alias("record"), F.col("label").alias("cluster"), "template", F.round(dot(F.col("embedding"), F.col("mean")), 9).alias("score"))
+    return P.redundant_clusters(scores).select("a", "b", "n", F.round("w", 3).alias("w"), F.round("z", 5).alias("z"))
+
+
+@_query(f"""WITH RECURSIVE {_MEANS}, s AS (SELECT a.label AS a, b.label AS b, round(sum(a.m * b.m), 6) AS score FROM m a JOIN m b ON a.p = b.p AND a.label < b.label GROUP BY ALL),
+ c AS (SELECT a, b, row_number() OVER (ORDER BY score DESC, a, b) AS i FROM s WHERE score > 0),
+ l AS (SELECT DISTINCT a AS x FROM c UNION SELECT b FROM c), start AS (SELECT map(list(x ORDER BY x), list(x ORDER BY x)) AS f FROM l),
+ w AS (SELECT 0::BIGINT AS i, f FROM start UNION ALL
+  SELECT c.i, map_from_entries(list_transform(map_entries(w.f), lambda e: struct_pack(k := e.key, v := CASE WHEN e.value = w.f[c.b] THEN w.f[c.a] ELSE e.value END))) FROM w JOIN c ON c.i = w.i + 1)
+ SELECT unnest(map_keys(f)) AS cluster, unnest(map_values(f)) AS leader FROM w WHERE i = (SELECT max(i) FROM c)""")
+def common_frames(spark, d):
+    """Frames of the classes that pairs of a positive score join, best first."""
+    from ..operators.records import array_mean, dot
+
+    means = array_mean(table(spark, d, "embeddings"), "label", "embedding", 64)
+    pairs = P.upper_pairs(means, "label", ["mean"]).select("a", "b", F.round(dot(F.col("mean_a"), F.col("mean_b")), 6).alias("score")).where("score > 0")
+    return spark.createDataFrame(P.common_frames(pairs, "a", "b", "score"), "cluster int, leader int")
+
+
+@_query("""WITH x AS (SELECT k, k / 10.0::DOUBLE - 1 AS x FROM range(21) t(k)) SELECT k, 0 AS degree, 1.0 AS p FROM x UNION ALL SELECT k, 1, round(x, 9) + 0.0 FROM x UNION ALL SELECT k, 2, round((3*x*x - 1) / 2, 9) + 0.0 FROM x
+ UNION ALL SELECT k, 3, round((5*x*x*x - 3*x) / 2, 9) + 0.0 FROM x UNION ALL SELECT k, 4, round((35*x*x*x*x - 30*x*x + 3) / 8, 9) + 0.0 FROM x""")
+def legendre_table(spark, d):
+    """Legendre polynomials up to the fourth degree on a grid."""
+    from ..functions.harmonics import legendre
+
+    x = [k / 10.0 - 1 for k in range(21)]
+    rows = [(k, n, round(float(v), 9) + 0.0) for n, row in enumerate(legendre(x, 4)) for k, v in enumerate(row)]
+    return spark.createDataFrame(rows, "k long, degree int, p double")
+
+
+@_query(f"""WITH {_GRID}, t AS (SELECT max(val) AS m FROM vol) SELECT x, y, z, m AS val FROM vol, t WHERE (y = {_NY // 2} AND z = {_NZ // 2} AND x >= {_NX // 2}) OR (x = {_NX // 2} AND z = {_NZ // 2} AND y >= {_NY // 2})
+ OR (x = {_NX // 2 + _NX // 4} AND z = {_NZ // 2} AND y >= {_NY // 2 - _NY // 4} AND y < {_NY // 2 + _NY // 4})""")
+def highlight_axes(spark, d):
+    """The voxels that mark the positive x and y axes, at the greatest value."""
+    t = _full(spark, d)
+    top = t.agg(F.max("val").alias("m"))
+    x, y, z = (F.col(a) for a in "xyz")
+    mid = z == _NZ // 2
+    marks = ((y == _NY // 2) & mid & (x >= _NX // 2)) | ((x == _NX // 2) & mid & (y >= _NY // 2))
+    bar = (x == _NX // 2 + _NX // 4) & mid & (y >= _NY // 2 - _NY // 4) & (y < _NY // 2 + _NY // 4)
+    return t.where(marks | bar).join(F.broadcast(top), F.lit(True)).select("x", "y", "z", F.col("m").alias("val"))

@@ -296,3 +296,37 @@ def test_spectral_snr_by_loops(spark, method):
             own = f[:, m].ravel()
             want = n * np.abs(own.mean()) ** 2 / ((np.abs(own - own.mean()) ** 2).sum() / (len(own) - 1))
         assert np.isclose(got[r], want)
+
+
+def test_harmonics():
+    from tessera.functions import harmonics as H
+
+    x = np.linspace(-1, 1, 7)
+    assert np.allclose(H.legendre(x, 3), [np.ones(7), x, (3 * x**2 - 1) / 2, (5 * x**3 - 3 * x) / 2])
+    r = np.random.default_rng(1)
+    a = {(n, m): complex(*r.standard_normal(2)) for n in range(5) for m in range(-n, n + 1)}
+    back = H.forward(H.reverse(a, 4), 4)
+    assert all(np.isclose(back[k], a[k]) for k in a)
+    for n in range(4):
+        d = H.wigner_d(n, 0.7)
+        assert np.allclose(d @ d.T, np.eye(2 * n + 1)) and np.allclose(d @ H.wigner_d(n, 0.4), H.wigner_d(n, 1.1))
+    assert np.allclose(H.wigner_d(1, 0.7)[1, 1], np.cos(0.7)) and np.allclose(H.wigner_d(2, 0), np.eye(5))
+
+
+def test_rotational_correlation_is_that_of_turned_functions():
+    from tessera.functions import harmonics as H
+
+    most = 3
+    theta, weights, phi = H.angles(most)
+    u = np.stack((np.sin(theta)[:, None] * np.cos(phi), np.sin(theta)[:, None] * np.sin(phi), np.cos(theta)[:, None] * np.ones(len(phi))), -1)
+    f = lambda p: p[..., 0] * p[..., 2] + 0.5 * p[..., 1] ** 3 - p[..., 0]
+    g = lambda p: p[..., 1] * p[..., 2] - 0.3 * p[..., 0] ** 2 + p[..., 2]
+    a, b = H.forward(f(u), most), H.forward(g(u), most)
+    turns = [(0.0, 0.0, 0.0), (0.4, 0.9, -0.3), (2.0, 1.1, 0.7)]
+    got = H.rotational_correlation([a, a], [b, b], np.array([1.0, 2.0]), most, turns)
+    for score, (al, be, ga) in zip(got, turns):
+        rz = lambda t: np.array([[np.cos(t), -np.sin(t), 0], [np.sin(t), np.cos(t), 0], [0, 0, 1]])
+        ry = np.array([[np.cos(be), 0, np.sin(be)], [0, 1, 0], [-np.sin(be), 0, np.cos(be)]])
+        turned = g(u @ (rz(al) @ ry @ rz(ga)))
+        want = (weights[:, None] * f(u) * turned).sum() * 2 * np.pi / len(phi) * (0.5 * 1 + 0.5 * 4)
+        assert np.isclose(score, want)
