@@ -390,12 +390,14 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, m
     segments = settle(_segments(held, length, gram))
     drop(shared)
     runs = _distinct(segments.select(F.col("anchor").alias("key"), "bytes", "doc"))
-    found = _resolved(runs, length, gram, most, finer)
+    # written before the join, so that the sort's shuffle and the runs are gone by then
+    found = settle(_resolved(runs, length, gram, most, finer))
+    drop(runs)
     names = [c.alias(n) for c, n in zip(_name(), "xy")]
     back = _back(segments.withColumnRenamed("anchor", "key").select("cls", "start", "doc", F.octet_length("bytes").alias("size"), *names), found, "start")
     spans = back.groupBy("cls").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     out = settle(classes.join(spans, "cls", "left"))
-    drop(segments, runs)
+    drop(segments, found)
     return out
 
 
