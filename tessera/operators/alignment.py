@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rotation as K
+from ..functions import turns
 from ..functions.spectra import Shape, radii, usable
 from ..plans.iterate import drop, settle
 
@@ -54,8 +55,9 @@ def align(v1: np.ndarray, m1: np.ndarray, v2: np.ndarray, m2: np.ndarray, angles
     return [(float(s), a, l, None) if np.isfinite(s) else (float("nan"), np.zeros(3), np.zeros(3), lost) for s, a, l in zip(score, angle, loc)]
 
 
-def candidate_angles(score: np.ndarray, width: int | None = None) -> list[tuple[float, float, float]]:
-    """Angles at the local maxima of a periodic cube of scores over (2L)^3 Euler angles, best first, each turn once."""
+def candidate_angles(score: np.ndarray, width: int | None = None, most: int | None = None) -> list[tuple[float, float, float]]:
+    """Angles at the local maxima of a periodic cube of scores over (2L)^3 Euler angles, best first, each turn once; of the
+    `most` best places, if given."""
     n = score.shape[0]
     width = max(3, n // 8) if width is None else width
     reach = (width + (width % 2 == 0)) // 2
@@ -63,11 +65,85 @@ def candidate_angles(score: np.ndarray, width: int | None = None) -> list[tuple[
     for axis in range(3):
         top = np.max([np.roll(top, s, axis) for s in range(-reach, reach + 1)], axis=0)
     at = np.argwhere(score == top)
-    order = np.argsort(-score[tuple(at.T)], kind="stable")
+    order = np.argsort(-score[tuple(at.T)], kind="stable")[:most]
     t = 2 * np.pi * at[order] / n
     return K.distinct([tuple(x) for x in t - [np.pi / 2, np.pi, np.pi / 2]])
 
 
+def _near(angle, step: float) -> list[np.ndarray]:
+    """The turns a step away from one, about each axis of the volume, both ways."""
+    own = K.matrix(angle)
+    return [K.angles_of(own @ K.matrix(a)) for s in (step, -step) for a in ((s, 0.0, 0.0), (0.0, s, 0.0), (np.pi / 2, s, -np.pi / 2))]
+
+
+def search(v1: np.ndarray, m1: np.ndarray, v2: np.ndarray, m2: np.ndarray, *, most: int = 8, peaks: int = 24, finalists: int = 4, refine: int = 6) -> tuple:
+    """(score, angle, loc, error) of one volume v2 onto v1 without a grid of turns: the spectra's absolute values are
+    correlated over all turns in one transform of harmonics up to degree `most`, and only the turns at its `peaks` highest
+    local maxima get a translation search. The best `finalists` are refined: `refine` times a neighbouring turn, or half the
+    step."""
+    cube = turns.constrained(v1[None], m1[None], v2[None], m2[None], most)[0]
+    coefficients = K.spline_coefficients(v2[None])
+
+    def tried(angles) -> list[tuple]:
+        return sorted((_one(v1, m1, v2, m2, a, coefficients) for a in angles), key=lambda f: -f[0])
+
+    ends = []
+    for best in tried(candidate_angles(np.round(cube, 9), most=4 * peaks)[:peaks] or [(0.0, 0.0, 0.0)])[:finalists]:
+        step = np.pi / (2 * most + 2)
+        for _ in range(refine):
+            other = tried(_near(best[1], step))[0]
+            if other[0] > best[0] + 1e-9:
+                best = other
+            else:
+                step /= 2
+        ends.append(best)
+    best = max(ends, key=lambda f: f[0])
+    return best if best[0] > -np.inf else (float("nan"), np.zeros(3), np.zeros(3), "no signal under the masks")
+
+
+def _one(v1: np.ndarray, m1: np.ndarray, v2: np.ndarray, m2: np.ndarray, angle, coefficients: np.ndarray) -> tuple:
+    score, loc = constrained_maxima(v1, m1, v2[None], m2[None], angle, coefficients)
+    return (float(score[0]) if np.isfinite(score[0]) else -np.inf), np.asarray(angle, float), loc[0], None
+
+
+def _onto_own(records: DataFrame, templates: DataFrame, key: str, shape: Shape, kernel) -> DataFrame:
+    """(key, template_id, score, angle, loc, err) of every record (key, template_id, v, m) by kernel(template's v and m,
+    volumes, masks), which sees the records of one template together. The pairs come from a join: a record meets its own
+    template only, and none is held on the driver."""
+    size = int(np.prod(shape))
+    kind, kind_t = (records.schema[c].dataType.simpleString() for c in (key, "template_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            names = whole.column("template_id").to_pylist()
+            for t in dict.fromkeys(names):
+                batch = whole.take(pa.array([i for i, n in enumerate(names) if n == t]))
+                tv, tm = (batch.column(c)[0].values.to_numpy().reshape(shape) for c in ("_v", "_m"))
+                v, m = (batch.column(c).flatten().to_numpy().reshape(-1, *shape) for c in ("v", "m"))
+                bad = ~(np.isfinite(v).all((1, 2, 3)) & np.isfinite(m).all((1, 2, 3))) | (not (np.isfinite(tv).all() and np.isfinite(tm).all()))
+                found = [(float("nan"), np.zeros(3), np.zeros(3), "values that are not finite")] * len(batch)
+                for i, f in zip(np.flatnonzero(~bad), kernel(tv, tm, v[~bad], m[~bad]) if not bad.all() else ()):
+                    found[i] = f
+                lists = [pa.array([list(f[k]) for f in found], pa.list_(pa.float64())) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found]), *lists, pa.array([f[3] for f in found], pa.string())], [key, "template_id", "score", "angle", "loc", "err"])
+
+    known = templates.select("template_id", F.col("v").cast("array<double>").alias("_v"), F.col("m").cast("array<double>").alias("_m")).where(usable("_v", size) & usable("_m", size))
+    rows = records.select(key, "template_id", F.col("v").cast("array<double>"), F.col("m").cast("array<double>")).where(usable("v", size) & usable("m", size))
+    # the search costs far more than the rows' way: they are dealt out, however few files they come from
+    dealt = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    return dealt.join(known, "template_id").select(key, "template_id", "v", "m", "_v", "_m").mapInArrow(run, f"{key} {kind}, template_id {kind_t}, score double, angle array<double>, loc array<double>, err string")
+
+
+def align_own(records: DataFrame, templates: DataFrame, key: str, shape: Shape, angles) -> DataFrame:
+    """Every record (key, template_id, v, m) onto the template that it names, over a grid of turns."""
+    return _onto_own(records, templates, key, shape, lambda tv, tm, v, m: align(tv, tm, v, m, angles))
+
+
+def search_own(records: DataFrame, templates: DataFrame, key: str, shape: Shape, **options) -> DataFrame:
+    """Every record (key, template_id, v, m) onto the template that it names, by search()."""
+    return _onto_own(records, templates, key, shape, lambda tv, tm, v, m: [search(tv, tm, a, b, **options) for a, b in zip(v, m)])
+
+
 def align_all(records: DataFrame, templates: DataFrame, key: str, shape: Shape, angles) -> DataFrame:
     """(key, template_id, score, angle, loc, err): every record (key, v, m) against every template (template_id, v, m)."""
     rows = templates.select("template_id", F.col("v").cast("array<double>"), F.col("m").cast("array<double>")).orderBy("template_id").limit(MOST_TEMPLATES + 1).collect()
@@ -95,7 +171,7 @@ def align_all(records: DataFrame, templates: DataFrame, key: str, shape: Shape,
 
     rows = records.select(key, F.col("v").cast("array<double>"), F.col("m").cast("array<double>")).where(usable("v", size) & usable("m", size))
     # a record costs turns x templates transforms: they are dealt out, however few files they come from
-    return rows.repartition(key).mapInArrow(run, f"{key} {kind}, template_id int, score double, angle array<double>, loc array<double>, err string")
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, f"{key} {kind}, template_id int, score double, angle array<double>, loc array<double>, err string")
 
 
 def best_of(alignments: DataFrame, key: str) -> DataFrame:

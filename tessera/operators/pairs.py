@@ -1,4 +1,4 @@
-"""Pairs of records: triangle and nearest-neighbour joins, greedy choices among close points, matching of boxes.
+"""Pairs of records: triangle and distance joins, greedy choices among close points, matching of boxes.
 
 Distance joins hash points to a grid, so that a point meets its neighbours only. Greedy choices run in rounds:
 a point with no better undecided one nearby is settled, which gives the sequential loop's result without one task
@@ -7,7 +7,7 @@ that sees all points.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from ..plans.iterate import settle
 
-#: Bytes of query vectors that are broadcast at once.
-QUERY_BYTES = 8 << 20
-
 
 def upper_pairs(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Pairs (a, b) of rows with key a < key b; the columns come as <c>_a and <c>_b. df is a checked few rows."""
@@ -100,52 +97,6 @@ def greedy(points: DataFrame, key: str, order: list[Column], axes: list[str], re
     return points.join(kept if kept is not None else left, [*group, key], "left_semi").select(points.columns)
 
 
-def nearest(points: DataFrame, key: str, column: str, k: int) -> DataFrame:
-    """(key, rank, other, distance2): each row's k nearest other rows by squared Euclidean distance, ties to the smaller key.
-
-    Blocks of queries of a bounded size are broadcast and meet all rows once; a task sends k rows a query at most.
-    """
-    spark = points.sparkSession
-    rows = points.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null and v is not null")
-    stats = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    blocks = max(1, -(-int(stats[0]) * 8 * int(stats[1] or 1) * 5 // (4 * QUERY_BYTES)))
-    out = None
-    for b in range(blocks):
-        own = sorted(rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect(), key=lambda r: r.id)
-        if not own:
-            continue
-        sent = spark.sparkContext.broadcast((np.array([r.id for r in own]), np.array([r.v for r in own])))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            q_ids, q = sent.value
-            far = np.full((len(q), k), np.inf)
-            names = np.full((len(q), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                for at in range(0, len(batch), 1024):
-                    part = batch.slice(at, 1024)
-                    ids, x = part.column("id").to_numpy(), part.column("v").flatten().to_numpy().reshape(len(part), -1)
-                    for a in range(0, len(q), 64):
-                        own = slice(a, min(a + 64, len(q)))
-                        d = ((q[own, None] - x) ** 2).sum(2)
-                        d[q_ids[own, None] == ids] = np.inf
-                        both = np.concatenate((far[own], d), 1)
-                        who = np.concatenate((names[own], np.broadcast_to(ids, d.shape)), 1)
-                        top = np.lexsort((who, both))[:, :k]
-                        far[own], names[own] = np.take_along_axis(both, top, 1), np.take_along_axis(who, top, 1)
-            real = np.isfinite(far)
-            row = np.nonzero(real)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(names[real]), pa.array(far[real])], ["id", "other", "distance2"])
-
-        found = rows.mapInArrow(run, "id long, other long, distance2 double")
-        w = Window.partitionBy("id").orderBy("distance2", "other")
-        found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("id").alias(key), "rank", "other", "distance2")
-        if blocks > 1:
-            found = settle(found)
-            sent.unpersist()
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], f"{key} long, rank int, other long, distance2 double")
-
-
 def assigned(rois: DataFrame, truths: DataFrame, cell: float, *, least: float = 0.1, most: float = 0.5) -> DataFrame:
     """(id, truth, iou, is_object): each region's best truth box by IoU; under `least` a region goes, from `most` it is an object.
 

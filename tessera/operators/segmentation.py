@@ -1,6 +1,6 @@
 """Segmentation kernels on one volume, and their use on array columns: flooding from seeds, level sets, surfaces, spheres.
 
-A volume here is a record's cut-out (an array column), one Arrow row; whole tomograms are cut into such first.
+A volume here is a record's cut-out (an array column), one Arrow row; flooding.py and levelset.py work on whole tomograms.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lines import implicit_step
 from ..functions.spectra import Shape, map_volumes
 
 _BOX = np.array([o for o in np.ndindex(3, 3, 3) if o != (1, 1, 1)]) - 1
@@ -76,11 +77,8 @@ def signed_distance(inside: np.ndarray) -> np.ndarray:
 def _implicit_smooth(u: np.ndarray, t: float) -> np.ndarray:
     """One additive-splitting step of the heat equation: the mean of implicit steps of 3 t along each axis, edges mirrored."""
     out = np.zeros_like(u)
-    for axis, n in enumerate(u.shape):
-        a = np.diag(np.full(n, 1 + 2 * u.ndim * t)) - u.ndim * t * (np.eye(n, k=1) + np.eye(n, k=-1))
-        a[0, 0] -= u.ndim * t
-        a[-1, -1] -= u.ndim * t
-        out += np.moveaxis(np.tensordot(np.linalg.inv(a), np.moveaxis(u, axis, 0), 1), 0, axis)
+    for axis in range(u.ndim):
+        out += np.moveaxis(implicit_step(np.moveaxis(u, axis, 0), u.ndim * t), 0, axis)
     return out / u.ndim
 
 

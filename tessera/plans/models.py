@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import rotation as K
+from ..functions.spectra import map_volumes
 from ..operators import alignment as A
 from ..operators import fitting as T
 from ..operators import records as R
@@ -51,13 +52,37 @@ def translation_best(spark, d):
 @_query()
 def alignment_best(spark, d):
     """Each record's best pose on its own class's mean: all turns of a cube and all translations."""
-    e = _images(spark, d)
-    found = A.align_all(e, _templates(spark, d), "vec_id", SHAPE, TURNS)
-    own = found.join(e.select("vec_id", F.col("label").alias("template_id")), ["vec_id", "template_id"])
+    own = A.align_own(_images(spark, d).withColumnRenamed("label", "template_id"), _templates(spark, d), "vec_id", SHAPE, TURNS)
     at = [F.round(F.col(c)[i], 6).alias(f"{c}{i}") for c in ("angle", "loc") for i in range(3)]
     return own.select("vec_id", "template_id", F.round("score", 6).alias("score"), *at, "err")
 
 
+def _grown(df, n: int):
+    """v, a cube of 4, as a cube of n by linear interpolation."""
+    at = np.indices((n, n, n)).reshape(3, -1).T * 3 / (n - 1)
+    return map_volumes(df, ["v"], SHAPE, lambda v: {"v": K.sample(v, at, order=1)}, ["v"])
+
+
+def _wedge(n: int, tilt: float = 60.0):
+    """A mask over centred frequencies of a cube of n: those that tilts about y up to `tilt` degrees measure."""
+
+    def measured(p):
+        kx, kz = F.floor(p / (n * n)) - n // 2, p % n - n // 2
+        return F.when(F.abs(kz) <= F.abs(kx) * float(np.tan(np.radians(tilt))), 1.0).otherwise(0.0)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n**3 - 1)), measured)
+
+
+@_query()
+def pose_search(spark, d):
+    """Each record's pose on its class's mean under its missing wedge: correlation over all turns, then translations."""
+    records = _grown(_images(spark, d).drop("m"), 8).withColumn("m", _wedge(8)).withColumnRenamed("label", "template_id")
+    templates = _grown(_templates(spark, d).drop("m"), 8).withColumn("m", F.array_repeat(F.lit(1.0), 512))
+    found = A.search_own(records, templates, "vec_id", (8, 8, 8), most=4, peaks=8, finalists=2, refine=3)
+    at = [F.round(F.col(c)[i], 4).alias(f"{c}{i}") for c in ("angle", "loc") for i in range(3)]
+    return found.select("vec_id", "template_id", F.round("score", 4).alias("score"), *at, "err")
+
+
 def _posed(spark, d):
     zero = F.array(*[F.lit(0.0)] * 3)
     return _images(spark, d).withColumns({"angle": zero, "loc": zero})

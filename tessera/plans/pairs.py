@@ -10,6 +10,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import knn as N
 from ..operators import pairs as P
 from ..operators import records as R
 from .base import POINTS, points, register, table, uniform, uniform_sql
@@ -70,7 +71,7 @@ def unlabelled_pool(spark, d):
  list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id)
  SELECT vec_id, rank::INT AS rank, other, round(d, 6) AS distance2 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS rank FROM p) WHERE rank <= 5""")
 def knn(spark, d):
-    return P.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 5).withColumn("distance2", F.round("distance2", 6))
+    return N.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", 5).withColumn("distance2", F.round("distance2", 6))
 
 
 @_query(f"""WITH {_CLASSES}, n AS (SELECT label, sqrt(sum(m * m)) AS n FROM cls GROUP BY label),

@@ -33,21 +33,6 @@ def test_greedy_choices(spark):
     assert {r.id for r in P.isolated(df, "id", AXES, 3.0).collect()} == alone
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
-    rows, df = points(spark, 60, 2)
-    vectors = df.selectExpr("id", "array(cast(x as double), y, z) as v")
-    want = {}
-    for a in rows:
-        d = sorted((sum((p - q) ** 2 for p, q in zip(a[1:4], b[1:4])), b[0]) for b in rows if b is not a)[:3]
-        want[a[0]] = [b for _, b in d]
-    for size in (P.QUERY_BYTES, 400):
-        monkeypatch.setattr(P, "QUERY_BYTES", size)
-        got = {}
-        for r in sorted(P.nearest(vectors, "id", "v", 3).collect(), key=lambda r: (r.id, r["rank"])):
-            got.setdefault(r.id, []).append(r.other)
-        assert got == want
-
-
 def test_set_distances(spark):
     rows, df = points(spark, 50, 3)
     sides = df.selectExpr("id % 2 as side", "x", "y")
@@ -73,7 +58,6 @@ def test_empty_tables(spark):
     none = df.limit(0)
     assert P.greedy(none, "id", [], AXES, 5.0, P.euclid(AXES, 5.0, strict=True)).count() == 0
     assert P.isolated(none, "id", AXES, 5.0).count() == 0
-    assert P.nearest(none.selectExpr("id", "array(val) as v"), "id", "v", 3).count() == 0
     assert P.set_distances(none.selectExpr("id as side", "x", "y"), "side", ["x", "y"]).count() == 0
     assert P.common_frames(spark.createDataFrame([], "a int, b int, s double"), "a", "b", "s") == []
     pairs = spark.createDataFrame([(0.5, True), (1.5, False)], "d double, same boolean")
