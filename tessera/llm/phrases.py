@@ -6,8 +6,10 @@ phrase grows by one word where the merged lists show an occurrence of a phrase o
 that one ends in the adjacent word, and is itself frequent, without which the longer one could not be. Lengths are summed
 over all shards, phrases below the least number go with their lists, and the next length follows.
 
-Words, and phrases as (phrase, next word), are counted by their own values, never by hashes. A list leaves its shard
-only to meet the table of frequent phrases, which Spark broadcasts where its file is small, and joins by key elsewhere.
+Words, and phrases as (phrase, next word), are told apart by their own values; hashes only deal them to buckets. What
+travels is packed: a row holds what one shard, or one task's shards together, have for one bucket. A bucket's first
+pass adds the lengths and keeps the frequent phrases, its second pass streams the lists by them back to their shards.
+The number of buckets follows the number of words, so that a bucket's phrases stay few; nothing is broadcast.
 
 Defined results: a null text is an empty one, a null lang is `und`; pieces and words never cross texts, rows or
 languages; every row counts, repeated ones and those without an id too; a text of any length is cut between its pieces,
@@ -16,10 +18,13 @@ so that only a single piece must fit a task; columns other than text and lang ar
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,13 +36,21 @@ LEAST = 30
 LONGEST = 4
 TOP = 2000
 WITHIN = 80
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Words (occurrences) a bucket, and phrases that a task adds up before it sends them.
+BUCKET_WORDS = 1 << 19
+HELD = 1 << 19
 
 _ENDS = np.zeros(256, bool)  # what ends a piece
 _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _WORD = ~_ENDS
 _WORD[[0x20, 0x09]] = False
+_SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _INDEX = "shard long, ids binary, lasts binary, sizes binary, gaps binary"
+_INDEX_TYPE = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("ids", "lasts", "sizes", "gaps"))])
+#: Counts by bucket, and lists by bucket after the bucket's frequent phrases (kind 0).
+_COUNTED = {True: "bucket int, words array<string>, n binary", False: "bucket int, a binary, b binary, n binary"}
+_LISTED = {True: "bucket int, kind int, shard long, words array<string>, sizes binary, gaps binary", False: "bucket int, kind int, shard long, a binary, b binary, sizes binary, gaps binary"}
 
 
 # shards and their words
@@ -75,13 +88,14 @@ def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.
         yield flush()
 
 
-def _lists(data: np.ndarray, offsets: np.ndarray, langs: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
-    """(languages, words, sizes of their lists, positions list by list) of a shard; positions skip one between pieces."""
+def _lists(data: np.ndarray, offsets: np.ndarray, langs: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words as language, line feed, word; sizes of their lists; positions list by list) of a shard; positions skip one
+    between pieces."""
     data = T.LOWER[data]
     starts, ends, at = T.word_spans(data, offsets, _WORD)
     n = len(starts)
     if not n:
-        return pa.array([], pa.string()), pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
+        return pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
     breaks = np.flatnonzero(_ENDS[data])
     apart = np.zeros(n, np.int64)
     apart[1:] = np.searchsorted(breaks, starts[1:]) > np.searchsorted(breaks, ends[:-1])
@@ -96,14 +110,7 @@ def _lists(data: np.ndarray, offsets: np.ndarray, langs: pa.Array) -> tuple[pa.A
     distinct, sizes = np.unique(key, return_counts=True)
     lang = names.dictionary.take(pa.array(distinct // len(words.dictionary)))
     word = words.dictionary.take(pa.array(distinct % len(words.dictionary))).cast(pa.string())
-    return lang, word, sizes, position[order]
-
-
-def _blobs(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """values as one binary value for each of the sizes."""
-    values = np.ascontiguousarray(values)
-    bounds = np.concatenate(([0], np.cumsum(sizes * values.dtype.itemsize))).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(values)]).cast(pa.binary())
+    return pc.binary_join_element_wise(lang, word, "\n"), sizes, position[order]
 
 
 def _to_gaps(positions: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -121,92 +128,290 @@ def _from_gaps(gaps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return sums - np.repeat(before, sizes)
 
 
-def _batches(names: list[str], arrays: list[pa.Array], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    whole = pa.RecordBatch.from_arrays(arrays, names)
-    for first in range(0, len(whole), most):
-        yield whole.slice(first, most)
+
+# buckets
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte, all of their lowest bytes first, so that like ones stand together, and compressed."""
+    x = np.ascontiguousarray(x)
+    return _SQUEEZE.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def _from_planes(raw: bytes, kind) -> np.ndarray:
+    plain = np.frombuffer(_EXPAND.decompress(raw), np.uint8)
+    return np.ascontiguousarray(plain.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _word_buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    data, offsets = T.buffers(words)
+    own = data[offsets[0] : offsets[-1]] if len(words) else data[:0]
+    ends = offsets - offsets[0] if len(words) else offsets
+    return (T.span_hashes(own, ends[:-1], ends[1:]) % np.uint64(buckets)).astype(np.int64)
+
+
+def _pair_buckets(a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
+    return (T.mix(T.mix(a.astype(np.uint64)) + b.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, rows of it in their order)."""
+    order = np.argsort(bucket, kind="stable")
+    names, firsts = np.unique(bucket[order], return_index=True)
+    for name, rows in zip(names.tolist(), np.split(order, firsts[1:])):
+        yield name, rows
+
+
+def _added(keys: tuple, n: np.ndarray) -> tuple[tuple, np.ndarray]:
+    """Distinct keys with their sums: (words,), or (a, b) in order."""
+    if len(keys) == 1:
+        found = pa.table([keys[0], pa.array(n)], ["w", "n"]).group_by("w").aggregate([("n", "sum")]).combine_chunks()
+        words = found.column("w")
+        return (words.chunk(0) if words.num_chunks else pa.array([], pa.string()),), found.column("n_sum").to_numpy()
+    a, b = keys
+    order = np.lexsort((b, a))
+    a, b, n = a[order], b[order], n[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.flatnonzero(new)
+    return (a[first], b[first]), np.add.reduceat(n, first) if len(first) else n
+
+
+def _joined(parts: list) -> object:
+    return pa.concat_arrays(parts) if isinstance(parts[0], pa.Array) else np.concatenate(parts)
 
 
-def _words(docs: DataFrame, shard_bytes: int, *, lists: bool) -> DataFrame:
-    """(shard, lang, word, n) of every shard, with the gaps of their lists where they are asked for."""
+class _Sums:
+    """Counts that are added up when they are many."""
+
+    def __init__(self):
+        self.keys: list[tuple] = []
+        self.n: list[np.ndarray] = []
+        self.size = self.least = 0
+
+    def add(self, keys: tuple, n: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.n.append(n)
+        self.size += len(n)
+        if self.size > 2 * max(self.least, HELD):
+            keys, n = self.whole()
+            self.keys, self.n, self.size, self.least = [keys], [n], len(n), len(n)
+
+    def whole(self) -> tuple[tuple, np.ndarray]:
+        return _added(tuple(_joined(list(k)) for k in zip(*self.keys)), np.concatenate(self.n))
+
+
+def _binaries(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(n, types[t]) for n, t in (c.split(" ") for c in schema.split(", "))])
+
+
+def _counts(source: DataFrame, entries, buckets: int, *, words: bool) -> DataFrame:
+    """Counts by bucket of what entries(batches) yields as (shard, keys, sizes, positions), added up over a task's shards."""
+    schema = _arrow(_COUNTED[words])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
-        for number, (data, offsets, langs) in enumerate(_shards(batches, shard_bytes)):
-            lang, word, sizes, positions = _lists(data, offsets, langs)
-            if lists:
-                yield from _batches(["shard", "lang", "word", "n", "gaps"], [pa.array(np.full(len(sizes), base + number)), lang, word, pa.array(sizes), _blobs(_to_gaps(positions, sizes), sizes)])
-            else:
-                yield from _batches(["lang", "word", "n"], [lang, word, pa.array(sizes)])
+        sums = _Sums()
 
-    texts = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).where("text is not null")
-    return texts.mapInArrow(run, "shard long, lang string, word string, n long, gaps binary" if lists else "lang string, word string, n long")
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not sums.size:
+                return
+            keys, n = sums.whole()
+            for bucket, rows in _split(_word_buckets(keys[0], buckets) if words else _pair_buckets(*keys, buckets)):
+                own = [keys[0].take(pa.array(rows)).to_pylist()] if words else [_planes(np.diff(keys[0][rows], prepend=0)), _planes(keys[1][rows])]
+                yield _binaries([(bucket, *own, _planes(n[rows]))], schema)
 
+        for _, keys, sizes, _ in entries(batches):
+            sums.add(keys, sizes)
+            if sums.least > HELD:
+                yield from flush()
+                sums = _Sums()
+        yield from flush()
 
-# one index a shard
+    return source.mapInArrow(run, _COUNTED[words])
 
 
-def _index(rows: DataFrame) -> DataFrame:
-    """The lists (shard, id, last, gaps) as one row a shard, phrase by phrase."""
+def _read_counts(batches: Iterator[pa.RecordBatch], words: bool) -> Iterator[tuple[int, tuple, np.ndarray]]:
+    for batch in batches:
+        for i in range(len(batch)):
+            n = _from_planes(batch.column("n")[i].as_buffer().to_pybytes(), np.int64)
+            if words:
+                keys = (batch.column("words")[i].values,)
+            else:
+                keys = tuple(_from_planes(batch.column(c)[i].as_buffer().to_pybytes(), np.int64) for c in ("a", "b"))
+                keys = (np.cumsum(keys[0]), keys[1])
+            yield batch.column("bucket")[i].as_py(), keys, n
 
-    def pack(found: pa.Table) -> pa.Table:
-        found = found.combine_chunks()
-        gaps = found.column("gaps")
-        sizes = np.array([len(g) // 4 for g in gaps.to_pylist()], np.int32)
-        whole = b"".join(gaps.to_pylist())
-        values = [found.column("shard").to_pylist()[:1], *([x.to_numpy().astype(np.int64).tobytes()] for x in (found.column("id"), found.column("last"))), [sizes.tobytes()], [whole]]
-        return pa.table(dict(zip(("shard", "ids", "lasts", "sizes", "gaps"), values)), schema=pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("lasts", pa.binary()), ("sizes", pa.binary()), ("gaps", pa.binary())]))
 
-    return settle(rows.groupBy("shard").applyInArrow(pack, _INDEX))
+def _frequent(counts: DataFrame, least: int, *, words: bool) -> DataFrame:
+    """The frequent words or pairs of each bucket as one row of it, in an order that gives them their ids: bucket << 32 and
+    their place. With words, also all occurrences by language."""
+    name = _COUNTED[words] + (", langs array<string>, totals binary" if words else "")
+    schema = _arrow(name)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in itertools.groupby(_read_counts(batches, words), lambda r: r[0]):
+            sums = _Sums()
+            for _, keys, n in rows:
+                sums.add(keys, n)
+            keys, n = sums.whole()
+            keep = np.flatnonzero(n >= least)
+            if words:
+                lang = pc.list_element(pc.split_pattern(keys[0], "\n", max_splits=1, reverse=True), 0)
+                total = pa.table([lang, pa.array(n)], ["l", "n"]).group_by("l").aggregate([("n", "sum")])
+                own = (keys[0].take(pa.array(keep)).to_pylist(), _planes(n[keep]), total.column("l").to_pylist(), _planes(total.column("n_sum").to_numpy()))
+            else:
+                own = (_planes(np.diff(keys[0][keep], prepend=0)), _planes(keys[1][keep]), _planes(n[keep]))
+            yield _binaries([(bucket, *own)], schema)
+
+    return settle(counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, name))
 
-def _longer(index: DataFrame, *, lists: bool) -> DataFrame:
-    """(a, b, n), or (shard, a, b, gaps): phrases a of the index with the adjacent word b."""
+
+def _rows(frequent: DataFrame, *, words: bool) -> DataFrame:
+    """Frequent words (id, lang, phrase, n), or pairs (id, a, b, n), a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, keys, n in _read_counts(batches, words):
+            if words:
+                parts = pc.split_pattern(keys[0], "\n", max_splits=1, reverse=True)
+                own = [pc.list_element(parts, 0), pc.list_element(parts, 1)] if len(n) else [keys[0], keys[0]]
+            else:
+                own = [pa.array(k) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) + np.arange(len(n))), *own, pa.array(n)], ["id", *(("lang", "phrase") if words else ("a", "b")), "n"])
+
+    columns = [c.split(" ")[0] for c in _COUNTED[words].split(", ")]
+    return frequent.select(*columns).mapInArrow(run, "id long, lang string, phrase string, n long" if words else "id long, a long, b long, n long")
+
+
+def _index(source: DataFrame, entries, frequent: DataFrame, buckets: int, *, words: bool) -> DataFrame:
+    """(shard, ids, lasts, sizes, gaps): a row a shard with the lists of its frequent words or pairs, end to end.
+
+    The lists go to their buckets, where they follow the bucket's frequent ones, and what is left goes back to the shards."""
+    schema = _arrow(_LISTED[words])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, keys, sizes, positions in entries(batches):
+            gaps = _to_gaps(positions, sizes)
+            firsts = np.cumsum(sizes) - sizes
+            for bucket, rows in _split(_word_buckets(keys[0], buckets) if words else _pair_buckets(*keys, buckets)):
+                own = [keys[0].take(pa.array(rows)).to_pylist()] if words else [_planes(np.diff(keys[0][rows], prepend=0)), _planes(keys[1][rows])]
+                yield _binaries([(bucket, 1, shard, *own, _planes(sizes[rows].astype(np.int32)), _planes(gaps[T.ranges(firsts[rows], sizes[rows])]))], schema)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple = ()
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, lasts = (np.frombuffer(row[c], np.int64) for c in ("ids", "lasts"))
-                sizes = np.frombuffer(row["sizes"], np.int32).astype(np.int64)
-                positions = _from_gaps(np.frombuffer(row["gaps"], np.int32), sizes)
-                owner = np.repeat(np.arange(len(ids)), sizes)
-                merged = np.argsort(positions, kind="stable")  # one phrase at most begins at a position
-                positions, owner = positions[merged], owner[merged]
-                meet = np.flatnonzero(np.diff(positions) == 1)
-                words, last = np.unique(lasts, return_inverse=True)
-                key = owner[meet] * len(words) + last[owner[meet + 1]]
-                distinct, n = np.unique(key, return_counts=True)
-                a, b = pa.array(ids[distinct // max(len(words), 1)]), pa.array(words[distinct % max(len(words), 1)])
-                if lists:
-                    order = np.argsort(key, kind="stable")
-                    yield from _batches(["shard", "a", "b", "gaps"], [pa.array(np.full(len(n), row["shard"])), a, b, _blobs(_to_gaps(positions[meet][order], n), n)])
+            for i in range(len(batch)):
+                bucket = batch.column("bucket")[i].as_py()
+                if words:
+                    keys: tuple = (batch.column("words")[i].values,)
                 else:
-                    yield from _batches(["a", "b", "n"], [a, b, pa.array(n)])
+                    keys = tuple(_from_planes(batch.column(c)[i].as_buffer().to_pybytes(), np.int64) for c in ("a", "b"))
+                    keys = (np.cumsum(keys[0]), keys[1])
+                if batch.column("kind")[i].as_py() == 0:
+                    known = (bucket, keys if words else _lookup(*keys))
+                    continue
+                if not known or known[0] != bucket:
+                    continue
+                place = pc.index_in(keys[0], value_set=known[1][0]).fill_null(-1).to_numpy() if words else _found(known[1], *keys)
+                has = place >= 0
+                if not has.any():
+                    continue
+                sizes = _from_planes(batch.column("sizes")[i].as_buffer().to_pybytes(), np.int32)
+                gaps = _from_planes(batch.column("gaps")[i].as_buffer().to_pybytes(), np.int32)
+                ids = (bucket << 32) + place[has].astype(np.int64)
+                yield _binaries([(batch.column("shard")[i].as_py(), ids.tobytes(), (ids if words else keys[1][has]).tobytes(), sizes[has].tobytes(), gaps[np.repeat(has, sizes)].tobytes())], _INDEX_TYPE)
+
+    def pack(found: pa.Table) -> pa.Table:
+        return pa.table({"shard": found.column("shard").slice(0, 1), **{c: pa.array([b"".join(found.column(c).to_pylist())]) for c in ("ids", "lasts", "sizes", "gaps")}}, schema=_INDEX_TYPE)
+
+    names = [c.split(" ")[0] for c in _LISTED[words].split(", ")]
+    marks = frequent.withColumns({"kind": F.lit(0), "shard": F.lit(None).cast("long"), "sizes": F.lit(None).cast("binary"), "gaps": F.lit(None).cast("binary")}).select(names)
+    both = marks.unionByName(source.mapInArrow(deal, _LISTED[words]))
+    left = both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(keep, _INDEX)
+    return settle(left.groupBy("shard").applyInArrow(pack, _INDEX))
+
+
+def _lookup(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct a, distinct b, sorted numbers of the pairs) of pairs in order."""
+    first, second = np.unique(a), np.unique(b)
+    return first, second, np.searchsorted(first, a) * len(second) + np.searchsorted(second, b)
+
 
-    return index.mapInArrow(run, "shard long, a long, b long, gaps binary" if lists else "a long, b long, n long")
+def _found(known: tuple[np.ndarray, np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The places of pairs among the known ones, -1 where they are not."""
+    first, second, numbers = known
+    if not len(numbers):
+        return np.full(len(a), -1)
+    i, j = np.searchsorted(first, a).clip(max=len(first) - 1), np.searchsorted(second, b).clip(max=len(second) - 1)
+    number = i * len(second) + j
+    place = np.searchsorted(numbers, number).clip(max=len(numbers) - 1)
+    return np.where((first[i] == a) & (second[j] == b) & (numbers[place] == number), place, -1)
+
+
+# words and their extension
+
+
+def _words(shard_bytes: int):
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        base = TaskContext.get().partitionId() << 32
+        for number, (data, offsets, langs) in enumerate(_shards(batches, shard_bytes)):
+            words, sizes, positions = _lists(data, offsets, langs)
+            if len(words):
+                yield base + number, (words,), sizes, positions
+
+    return entries
+
+
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Each shard's phrases with the adjacent word: the merged lists' neighbours one position apart."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids, lasts = (np.frombuffer(row[c], np.int64) for c in ("ids", "lasts"))
+            sizes = np.frombuffer(row["sizes"], np.int32).astype(np.int64)
+            positions = _from_gaps(np.frombuffer(row["gaps"], np.int32), sizes)
+            owner = np.repeat(np.arange(len(ids)), sizes)
+            merged = np.argsort(positions, kind="stable")  # one phrase at most begins at a position
+            positions, owner = positions[merged], owner[merged]
+            meet = np.flatnonzero(np.diff(positions) == 1)
+            if not len(meet):
+                continue
+            first, a = np.unique(ids, return_inverse=True)
+            words, last = np.unique(lasts, return_inverse=True)
+            key = a[owner[meet]] * len(words) + last[owner[meet + 1]]
+            order = np.argsort(key, kind="stable")
+            distinct, n = np.unique(key, return_counts=True)
+            yield row["shard"], (first[distinct // len(words)], words[distinct % len(words)]), n, positions[meet][order]
 
 
 def frequent_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, n) of all phrases of 1 to `longest` words that occur `least` times, and (lang, n) of all words."""
     narrow(docs.sparkSession)
-    counted = settle(_words(docs, shard_bytes, lists=False).groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    totals = settle(counted.groupBy("lang").agg(F.sum("n").alias("n")))
-    words = settle(counted.where(F.col("n") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), "n"))
-    drop(counted)
+    texts = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).where("text is not null")
+    bytes_ = texts.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = int(max(16, bytes_ // 6 // BUCKET_WORDS))
+    entries = _words(shard_bytes)
+    frequent = _frequent(_counts(texts, entries, buckets, words=True), least, words=True)
+    index = _index(texts, entries, frequent.select("bucket", "words"), buckets, words=True)
+    totals = settle(_totals(frequent))
+    words = settle(_rows(frequent, words=True))
+    drop(frequent)
     found = [words]
-    lists = _words(docs, shard_bytes, lists=True).join(words.select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"])
-    index = _index(lists.select("shard", "id", F.col("id").alias("last"), "gaps"))
     word_of = words.select(F.col("id").alias("b"), F.col("phrase").alias("word"))
     for size in range(2, longest + 1):
-        kept = _longer(index, lists=False).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        kept = settle(kept.select(F.monotonically_increasing_id().alias("id"), "a", "b", "n"))
+        frequent = _frequent(_counts(index, _longer, buckets, words=False), least, words=False)
         before = found[-1].select(F.col("id").alias("a"), "lang", "phrase")
-        found.append(settle(kept.join(before, "a").join(word_of, "b").select("id", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "n")))
+        named = _rows(frequent, words=False).join(before, "a").join(word_of, "b")
+        found.append(settle(named.select("id", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "n")))
         if size < longest:
-            lists = _longer(index, lists=True).join(kept.select("id", "a", "b"), ["a", "b"])
-            following = _index(lists.select("shard", "id", F.col("b").alias("last"), "gaps"))
+            following = _index(index, _longer, frequent.select("bucket", "a", "b"), buckets, words=False)
             drop(index)
             index = following
+        drop(frequent)
     drop(index)
     out = found[0].select("lang", F.lit(1).alias("size"), "phrase", "n")
     for size, table in enumerate(found[1:], 2):
@@ -214,6 +419,15 @@ def frequent_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONG
     return out, totals
 
 
+def _totals(frequent: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for langs, raw in zip(batch.column("langs"), batch.column("totals")):
+                yield pa.RecordBatch.from_arrays([langs.values, pa.array(_from_planes(raw.as_buffer().to_pybytes(), np.int64))], ["lang", "n"])
+
+    return frequent.select("langs", "totals").mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+
+
 # scores
 
 
