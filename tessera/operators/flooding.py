@@ -5,7 +5,8 @@ known: a voxel's arrival is the falling list of bottlenecks on its way from the
 earliest labelled neighbour, cut behind the last bottleneck that is darker than the voxel, and the voxel itself. Lists are
 compared element by element. A tile can therefore be flooded on its own from the arrivals and labels of the layer
 around it. Tiles exchange their borders, and those whose surroundings changed flood anew, until none does: each round
-settles at least the earliest arrivals that were still open, and what is settled stays.
+settles at least the earliest arrivals that were still open, and what is settled stays. A label that nothing but a
+neighbour's own label supports would wander between tiles for good; its way meets its darkest voxel twice, and ends there.
 """
 
 from __future__ import annotations
@@ -46,10 +47,12 @@ def flood_tile(val: np.ndarray, seeds: np.ndarray, numbers: np.ndarray, known: d
         for s in steps:
             p = place + s
             if waits[p]:
-                waits[p] = False
                 n = len(arrival)
                 while n and arrival[n - 1] < ranks[p]:
                     n -= 1
+                if n and arrival[n - 1] == ranks[p]:
+                    continue  # this way has been here before: two tiles that only have the label from each other
+                waits[p] = False
                 heapq.heappush(queue, ((*arrival[:n], ranks[p]), p, 0))
 
     for place in np.flatnonzero(labels).tolist():

@@ -314,9 +314,9 @@ _QUERIES = (pick_dog_peaks, smooth_gaussian, dog, local_maxima, local_minima, gr
 
 
 def _modules() -> tuple:
-    from . import models, sources, tiled, volumes  # they stand on this module
+    from . import models, sources, streams, tiled, volumes  # they stand on this module
 
-    return imaging, pairs, spectra, volumes, models, sources, tiled
+    return imaging, pairs, spectra, volumes, models, sources, tiled, streams
 
 
 def queries() -> dict:

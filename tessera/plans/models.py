@@ -60,7 +60,7 @@ def alignment_best(spark, d):
 def _grown(df, n: int):
     """v, a cube of 4, as a cube of n by linear interpolation."""
     at = np.indices((n, n, n)).reshape(3, -1).T * 3 / (n - 1)
-    return map_volumes(df, ["v"], SHAPE, lambda v: {"v": K.sample(v, at, order=1)}, ["v"])
+    return map_volumes(df, ["v"], SHAPE, lambda v: {"_grown": K.sample(v, at, order=1)}, ["_grown"]).drop("v").withColumnRenamed("_grown", "v")
 
 
 def _wedge(n: int, tilt: float = 60.0):

@@ -22,7 +22,7 @@ TURNS = K.angle_grid(np.pi / 2)
 def tiled_watershed(spark, d):
     """Labels of a smoothed tomogram's voxels, flooded tile by tile from its high local maxima."""
     smooth = settle(V.smooth(tomogram(spark, d), SHAPE, 1.0, rounded=6))
-    peaks = V.above_threshold(V.extrema(smooth, SHAPE), 8.0)
+    peaks = V.above_threshold(V.extrema(smooth, SHAPE), 3.0)
     seeds = peaks.select("vol_id", "x", "y", "z", (1 + F.col("z") + SHAPE[2] * (F.col("y") + SHAPE[1] * F.col("x"))).cast("long").alias("seed"))
     found = flooding.watershed(smooth.join(seeds, ["vol_id", "x", "y", "z"], "left"), SHAPE, tile=16)
     return found.drop("vol_id")

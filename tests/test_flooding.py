@@ -72,3 +72,16 @@ def test_missing_voxels_and_empty_tables(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert found(df, (6, 6, 6), tile=2) == {"v": {(0, 0, 0): 1, (0, 1, 1): 1}}
     assert found(df.limit(0), (6, 6, 6)) == {}
+
+
+def test_a_region_behind_conflicts_is_not_fed_by_its_own_label(spark):
+    """Noise with many seeds: conflicts wall regions in, whose tiles would pass a label back and forth."""
+    shape = (9, 9, 6)
+    r = np.random.default_rng(11)
+    v = r.random(shape)
+    seeds = np.zeros(shape, np.int64)
+    for k in range(1, 13):
+        seeds[tuple(r.integers(0, shape))] = k
+    want = whole(v, seeds)
+    assert min(want.values()) == -1
+    assert found(spark.createDataFrame(rows_of("n", v, seeds), SCHEMA), shape, tile=5) == {"n": want}
