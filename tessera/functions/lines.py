@@ -36,3 +36,22 @@ def implicit_step(d: np.ndarray, t: float) -> np.ndarray:
     for i in range(n - 2, -1, -1):
         out[i] -= upper[i] * out[i + 1]
     return out
+
+
+def local_polynomial(width: int, degree: int = 3, derivative: int = 0) -> np.ndarray:
+    """Weights of width // 2 neighbours to each side: their least-squares polynomial's value, or derivative, in the middle.
+
+    The derivative is that of the polynomial's coefficient: the first one is the slope, the second half of the curvature."""
+    half = width // 2
+    if not 0 <= derivative <= degree or 2 * half < degree:
+        raise ValueError(f"{2 * half + 1} places do not fix the derivative {derivative} of a polynomial of degree {degree}")
+    x = np.arange(-half, half + 1, dtype=float)[:, None] ** np.arange(degree + 1)
+    return np.linalg.pinv(x)[derivative]
+
+
+def smooth_rows(v: np.ndarray, width: int, degree: int = 3, derivative: int = 0) -> np.ndarray:
+    """Rows filtered by local polynomials; beyond a row's ends there is 0."""
+    c = local_polynomial(width, degree, derivative)
+    half = len(c) // 2
+    padded = np.pad(v, [(0, 0)] * (v.ndim - 1) + [(half, half)])
+    return sum(w * padded[..., i : i + v.shape[-1]] for i, w in enumerate(c))

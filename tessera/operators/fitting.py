@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lines import smooth_rows
 from .statistics import moments
 
 #: Most models that travel to every record at once.
@@ -95,8 +96,9 @@ def best_mixture(df: DataFrame, column: str, size: int, candidates: list[int], *
     return {"k": best, **fits[best], "all": {k: f["bic"] for k, f in fits.items()}}
 
 
-def weighted_components(df: DataFrame, column: str, weights: str, size: int, k: int, *, rounds: int = 25, seed: int = 1) -> np.ndarray:
-    """(k, size): axes of a weighted principal component analysis by expectation and maximisation.
+def weighted_components(df: DataFrame, column: str, weights: str, size: int, k: int, *, rounds: int = 25, seed: int = 1, smooth: int = 0) -> np.ndarray:
+    """(k, size): axes of a weighted principal component analysis by expectation and maximisation; with `smooth`, each pass
+    filters them by local cubic polynomials of that width.
 
     Rows solve for their coefficients under the current axes and weights; the axes solve element by element for the sums
     over rows of weight * coefficient products. A pass sends size * (k^2 + k) sums a task.
@@ -120,10 +122,41 @@ def weighted_components(df: DataFrame, column: str, weights: str, size: int, k:
 
         s = np.array([r.s for r in rows.mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()])
         left, right = s[: size * k * k].reshape(size, k, k), s[size * k * k :].reshape(size, k)
-        axes = np.linalg.qr(np.linalg.solve(left + 1e-12 * np.eye(k), right[:, :, None])[:, :, 0])[0].T
+        new = np.linalg.solve(left + 1e-12 * np.eye(k), right[:, :, None])[:, :, 0].T
+        axes = np.linalg.qr((smooth_rows(new, smooth) if smooth else new).T)[0].T
     return axes
 
 
+def component_fit(df: DataFrame, column: str, weights: str, axes: np.ndarray) -> dict[str, float]:
+    """How well axes (k, size) model rows under their weights: chi2, the weighted squared residuals; reduced, those by degree
+    of freedom; r2, the share of the variance of what has a weight that the model takes; rows and values, their numbers.
+
+    One pass with seven sums a batch. Rows of another size or with nulls take no part; without rows all is NaN."""
+    import pyarrow as pa
+
+    k, size = axes.shape
+
+    def run(batches):
+        for batch in batches:
+            x, w = (batch.column(i).flatten().to_numpy().reshape(-1, size) for i in (0, 1))
+            inner = np.einsum("nj,aj,bj->nab", w, axes, axes) + 1e-12 * np.eye(k)
+            c = np.linalg.solve(inner, np.einsum("nj,aj,nj->na", w, axes, x)[:, :, None])[:, :, 0]
+            d = x - c @ axes
+            seen = w > 0
+            sums = [float((w * d * d).sum()), float(seen.sum()), float(len(x)), *(float(p) for y in (d[seen], x[seen]) for p in (y.sum(), (y * y).sum()))]
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in sums], list("abcdefg"))
+
+    sized = (F.size(column) == size) & (F.size(weights) == size)
+    rows = df.select(F.col(column).cast("array<double>").alias("v"), F.col(weights).cast("array<double>").alias("w")).where(sized)
+    rows = rows.where(~F.exists("v", lambda e: e.isNull()) & ~F.exists("w", lambda e: e.isNull()))
+    s = rows.mapInArrow(run, ", ".join(f"{c} double" for c in "abcdefg")).agg(*(F.sum(c).alias(c) for c in "abcdefg")).first()
+    if s.a is None or not s.b:
+        return {n: float("nan") for n in ("chi2", "reduced", "r2", "rows", "values")}
+    spread = [(q - m * m / s.b) / s.b for m, q in ((s.d, s.e), (s.f, s.g))]
+    free = s.b - k * size - k * s.c
+    return {"chi2": s.a, "reduced": s.a / free if free > 0 else float("nan"), "r2": 1 - spread[0] / spread[1] if spread[1] > 0 else float("nan"), "rows": s.c, "values": s.b}
+
+
 def covariance_filtered_components(df: DataFrame, column: str, size: int, features: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, variances, axes): principal components of the elements whose mean covariance with all others exceeds the
     features-th largest one."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -101,3 +101,17 @@ def overlapping_spheres(points: DataFrame) -> DataFrame:
     wide = wide.select("cx", "cy", "cz", *(F.col(c).alias(f"{c}2") for c in ("id", "x", "y", "z", "r")))
     square = sum((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz")
     return at.join(wide, ["cx", "cy", "cz"]).where((F.col("id") < F.col("id2")) & (square < (F.col("r") + F.col("r2")) * (F.col("r") + F.col("r2")))).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+
+def local_polynomials(column: str, size: int, width: int, degree: int = 3, derivative: int = 0) -> Column:
+    """An array of `size` filtered by least-squares polynomials over `width` places; beyond its ends there is 0."""
+    from ..functions.lines import local_polynomial
+
+    weights = local_polynomial(width, degree, derivative)
+    half = len(weights) // 2
+
+    def at(i: Column) -> Column:
+        # get() gives null outside of the array, also before its start
+        return sum(F.lit(float(w)) * F.coalesce(F.get(F.col(column), (i + o - half).cast("int")).cast("double"), F.lit(0.0)) for o, w in enumerate(weights))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)

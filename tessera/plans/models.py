@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import rotation as K
+from ..functions.lines import local_polynomial
 from ..functions.spectra import map_volumes
 from ..operators import alignment as A
 from ..operators import fitting as T
@@ -126,6 +127,30 @@ def mixture_by_bic(spark, d):
     return spark.createDataFrame([(k, round(b, 4), k == fit["k"]) for k, b in fit["all"].items()], "k int, bic double, best boolean")
 
 
+_WINDOW = local_polynomial(7, 3)
+
+
+@_query(f"""WITH {_E}, c(o, w) AS (VALUES {", ".join(f"({i - 3}, {float(w)!r}::DOUBLE)" for i, w in enumerate(_WINDOW))})
+ SELECT a.vec_id, a.pos, round(sum(w * coalesce(b.v, 0)), 6) + 0.0 AS val FROM e a CROSS JOIN c LEFT JOIN e b ON b.vec_id = a.vec_id AND b.pos = a.pos + o GROUP BY ALL""")
+def local_polynomial_smoothing(spark, d):
+    """Every vector smoothed along its places by cubics over seven of them."""
+    e = table(spark, d, "embeddings")
+    out = e.select("vec_id", F.posexplode(R.local_polynomials("embedding", 64, 7)).alias("pos", "val"))
+    return out.withColumn("val", F.round("val", 6) + 0.0)
+
+
+@_query()
+def weighted_fit(spark, d):
+    """Three smoothed axes of the vectors under weights from 0 to 1.5, and the fit's chi squared and share of variance."""
+    weight = F.transform("embedding", lambda x, i: ((i + F.col("vec_id")) % 4) / 2.0)
+    e = table(spark, d, "embeddings").select(F.col("embedding").alias("v"), weight.alias("w"))
+    rows = []
+    for smooth in (0, 7):
+        fit = T.component_fit(e, "v", "w", T.weighted_components(e, "v", "w", 64, 3, rounds=10, smooth=smooth))
+        rows.append((smooth, int(fit["rows"]), int(fit["values"]), *(round(float(fit[c]), 3) for c in ("chi2", "reduced", "r2"))))
+    return spark.createDataFrame(rows, "width int, rows long, values long, chi2 double, reduced double, r2 double")
+
+
 @_query()
 def weighted_axes(spark, d):
     """Share of the variance that two axes of a weighted component analysis keep, and that of the axes themselves."""

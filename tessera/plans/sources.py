@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import records as R
-from ..sources import formats, mrc, particles
+from ..sources import formats, mrc, mrc_format, particles
 from ..streaming import windows
 from .base import POINTS, points, register, table
 from .iterate import shared_dir
@@ -57,6 +57,19 @@ def mrc_crop(spark, d):
     return v.select(_label("vol_id"), "x", "y", "z", (F.round(F.col("val").cast("double"), 5) + 0.0).alias("val"))
 
 
+@_query(f"WITH {_MEANS} SELECT label, (pos // 16)::INT AS x, (pos // 4 % 4)::INT AS y, (pos % 4)::INT AS z, round(v::DOUBLE, 5) + 0.0 AS val FROM m WHERE pos // 16 BETWEEN 1 AND 2 AND pos // 4 % 4 < 3 AND pos % 4 >= 2")
+def mrc_format_crop(spark, d):
+    """Maps written and read through the data source; the filter leaves partitions of its planes only."""
+    mrc_format.register(spark)
+    folder = _place(spark, "maps")
+    folder = folder if ":" in folder.split("/")[0] else f"file://{folder}"
+    means = R.array_mean(table(spark, d, "embeddings"), "label", "embedding", 64)
+    named = means.select(F.concat(F.lit("class"), "label").alias("name"), F.col("mean").cast("array<float>").alias("data"))
+    named.write.format("mrc").option("shape", "4,4,4").option("spacing", "1.5").mode("append").save(folder)
+    v = spark.read.format("mrc").option("pushFilters", "true").load(folder).where("x between 1 and 2 and y < 3 and z >= 2")
+    return v.select(_label("path"), "x", "y", "z", (F.round(F.col("val").cast("double"), 5) + 0.0).alias("val"))
+
+
 @_query(f"WITH {POINTS} SELECT 'tomo' AS tomogram_name, x AS x_coord, y AS y_coord, z AS z_coord, val AS score FROM pts")
 def csv_coordinates(spark, d):
     path = _place(spark, "csv")

@@ -55,7 +55,7 @@ def _cubes(spark, d):
 def likelihood_averages(spark, d):
     """Classes by maximum likelihood over half turns and all translations: shares, voxels, the fit's rounds and its scales."""
     model, history, _ = likelihood.averages(_cubes(spark, d), "vec_id", (4, 4, 4), TURNS[:4], 4, rounds=4)
-    rows = [(k, len(history), round(float(s), 5), round(model.sigma2, 5), round(model.xi, 4), [round(float(x), 4) for x in a.ravel()]) for k, (s, a) in enumerate(zip(model.alpha, model.a))]
+    rows = [(k, len(history), round(float(s), 5), round(float(model.sigma2), 5), round(float(model.xi), 4), [round(float(x), 4) for x in a.ravel()]) for k, (s, a) in enumerate(zip(model.alpha, model.a))]
     return spark.createDataFrame(rows, "k int, rounds int, alpha double, sigma2 double, xi double, v array<double>").select("k", "rounds", "alpha", "sigma2", "xi", F.posexplode("v").alias("pos", "val"))
 
 
