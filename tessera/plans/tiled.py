@@ -1,4 +1,4 @@
-"""Queries of whole volumes cut into tiles, and of averages under all poses. Loops that SQL cannot say: tests hold them
+"""Queries of whole volumes cut into tiles, of averages under all poses, and of subsets bred over the records. Loops that SQL cannot say: tests hold them
 against untiled and plain versions."""
 
 from __future__ import annotations
@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import rotation as K
-from ..operators import flooding, levelset, likelihood
+from ..operators import breeding, flooding, levelset, likelihood
 from ..operators import voxel as V
 from .base import register, table
 from .catalog import SHAPE, tomogram
@@ -65,3 +65,9 @@ def likelihood_poses(spark, d):
     _, _, found = likelihood.averages(_cubes(spark, d), "vec_id", (4, 4, 4), TURNS[:4], 3, rounds=2)
     at = [F.round(F.col(c)[i], 5).alias(f"{c}{i}") for c in ("angle", "loc") for i in range(3)]
     return found.select("vec_id", "k", *at, F.round("share", 4).alias("share"))
+
+
+@_query()
+def bred_selection(spark, d):
+    """Each class's best subset of all of its records after four generations, and its score."""
+    return breeding.evolve(table(spark, d, "embeddings"), "label", "vec_id", "embedding", (4, 4, 4), population=12, generations=4)
