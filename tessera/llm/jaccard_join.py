@@ -408,12 +408,15 @@ def link_groups(docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, ma
 
 
 def keep_one(docs: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id; rows without an id or without words stay."""
+    """docs with one row of each group: that of the smallest doc_id, once where it is repeated; rows without an id or without
+    words stay, however often they come."""
     lost = link_groups(docs, k=k, percent=percent, marked=True).where("component_id <> doc_id").select(F.col("doc_id").alias("_lost"), F.col("mark").alias("_mark")).distinct()
     # by the text too: another text under the same id may be the only one of its group
     kept = packed(docs, "doc_id", "text").join(lost, (F.col("doc_id") == F.col("_lost")) & (F.xxhash64("text") == F.col("_mark")), "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
-    kept = kept.withColumn("_same", F.xxhash64("text")).dropDuplicates(["doc_id", "_same"]) if again else kept
+    if again:
+        alone = F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+        kept = kept.withColumns({"_same": F.xxhash64("text"), "_alone": F.when(alone, F.monotonically_increasing_id()).otherwise(-1)}).dropDuplicates(["doc_id", "_same", "_alone"])
     return unpacked(kept, docs.columns, "doc_id", "text")
 
 

@@ -71,3 +71,64 @@ def test_run(spark, tmp_path):
     assert {11, 21} & want == set() and {31, 100, 103} <= want
     assert set(lengths) == want
     assert all(abs(n - len(inner.encode(left[d], add_special_tokens=False).ids) - 1) <= (d == 103) for d, n in lengths.items())
+
+
+# odd inputs of every stage
+
+FILTERS = [(name, stage) for name, stage in P.STAGES[:-1]]
+CLASHING = "_row _id _hash _cut _starts cls mark score predicted component_id n_shingles kind n id words items piece length".split()
+
+
+def tables(spark, folder, *, labels=(), benchmark=()):
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def clashing(spark, rows):
+    values = [f"kept {c}" for c in CLASHING]
+    return spark.createDataFrame([(d, t, None, None, None if t is None else len(t), *values) for d, t in rows], COLUMNS + "".join(f", {c} string" for c in CLASHING))
+
+
+def test_the_classifier_rejects_what_the_labels_call_bad(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    kept = P.quality(spark, docs, sf)
+    assert kept.columns == docs.columns
+    left = {r.doc_id for r in kept.select("doc_id").collect()}
+    marked = {r.doc_id: r.quality for r in labels.collect()}
+    good = [d in left for d, q in marked.items() if q == 1]
+    bad = [d not in left for d, q in marked.items() if q == 0]
+    assert sum(bad) >= 0.9 * len(bad) > 0 and sum(good) >= 0.95 * len(good)
+    assert left < {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    tables(spark, tmp_path)
+    empty = clashing(spark, [])
+    for _, stage in FILTERS:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.columns == empty.columns and out.count() == 0
+    assert P.best_fit_packing(spark, empty, str(tmp_path)).count() == 0
+    frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_of_clashing_names_nulls_and_repeats(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(40))
+    lines = "\n".join(f"line {i} of some words" for i in range(3000))
+    rows = [(1, text), (2, None), (3, ""), (None, "no id here"), (5, lines), (6, "a plain text of its own")]
+    tables(spark, tmp_path, benchmark=[(1, None), (None, "..."), (2, "a phrase that no document holds at all, to be sure")])
+    docs = clashing(spark, rows)
+    for name, stage in FILTERS:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all(r[c] == f"kept {c}" for r in got for c in CLASHING), name
+        # a text without words gives no piece of the benchmark and no shingle: it is nobody's copy
+        assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted((d or 0, t or "") for d, t in rows), name
+    twice = clashing(spark, [*rows, *rows])
+    once = P.near_duplicates(spark, twice, str(tmp_path))
+    assert once.where("doc_id = 1").count() == 1  # repeated rows are one group
+    assert once.where("doc_id in (2, 3) or doc_id is null").count() == 6  # without words or an id a row is in none
+    packed = P.best_fit_packing(spark, twice, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {1, 2, 3, None, 5, 6} and len([r for r in packed if r.doc_id == 2]) == 2
