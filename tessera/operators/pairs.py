@@ -100,18 +100,25 @@ def greedy(points: DataFrame, key: str, order: list[Column], axes: list[str], re
 def assigned(rois: DataFrame, truths: DataFrame, cell: float, *, least: float = 0.1, most: float = 0.5) -> DataFrame:
     """(id, truth, iou, is_object): each region's best truth box by IoU; under `least` a region goes, from `most` it is an object.
 
-    Boxes are (id, x1, y1, x2, y2); none is wider than cell.
+    Boxes are (id, x1, y1, x2, y2) of any size: a box stands in all cells of the grid that it touches, and two boxes count
+    in the cell alone where their overlap begins.
     """
-    left = rois.select("id", *(F.col(c) for c in ("x1", "y1", "x2", "y2")), F.floor(F.col("x1") / cell).alias("cx"), F.floor(F.col("y1") / cell).alias("cy"))
-    right = truths.select(F.col("id").alias("truth"), *(F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")))
-    for axis in "xy":
-        at = F.floor(F.col(f"t{axis}1") / cell)
-        right = right.withColumn(f"c{axis}", F.explode(F.sequence(at - 1, at + 1)))
+
+    def celled(boxes: DataFrame, prefix: str) -> DataFrame:
+        for axis in "xy":
+            first, last = (F.floor(F.col(f"{prefix}{axis}{i}") / cell) for i in (1, 2))
+            boxes = boxes.withColumn(f"c{axis}", F.explode(F.sequence(first, F.greatest(first, last))))
+        return boxes
+
+    left = celled(rois.select("id", "x1", "y1", "x2", "y2"), "")
+    right = celled(truths.select(F.col("id").alias("truth"), *(F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2"))), "t")
+    begins = [F.floor(F.greatest(f"{a}1", f"t{a}1") / cell) for a in "xy"]
     width = F.greatest(F.lit(0.0), F.least("x2", "tx2") - F.greatest("x1", "tx1"))
     height = F.greatest(F.lit(0.0), F.least("y2", "ty2") - F.greatest("y1", "ty1"))
     inner = width * height
     union = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) + (F.col("tx2") - F.col("tx1")) * (F.col("ty2") - F.col("ty1")) - inner
-    both = left.join(right, ["cx", "cy"]).select("id", "truth", (inner / union).alias("iou"))
+    met = left.join(right, ["cx", "cy"]).where((F.col("cx") == begins[0]) & (F.col("cy") == begins[1]) & (inner > 0))
+    both = met.select("id", "truth", (inner / union).alias("iou"))
     best = both.groupBy("id").agg(F.max(F.struct("iou", (-F.col("truth")).alias("t"))).alias("best"))
     return best.select("id", (-F.col("best.t")).alias("truth"), F.col("best.iou").alias("iou")).where(F.col("iou") >= least).withColumn("is_object", F.col("iou") >= most)
 

@@ -1,8 +1,8 @@
 """MRC files as a Spark data source: spark.read.format("mrc").load(folder) and df.write.format("mrc").save(folder).
 
-A read gives (path, x, y, z, val), a partition a slab of planes. With the option pushFilters, comparisons of x, y and z with
-constants are taken by the source: files and planes outside of them have no partition, and of the planes that are read only the rows in between.
-A write takes (name, data) with the option shape ("nx,ny,nz", and spacing if wanted). Tasks write to a folder of the job
+A read gives (path, x, y, z, val), a partition a slab of planes. With the option pushFilters, comparisons of x, y and z
+with constants are taken by the source: files and planes outside of them have no partition, and of the planes that are
+read only the rows in between. A write takes (name, data) with the option shape ("nx,ny,nz", and spacing if wanted). Tasks write to a folder of the job
 beside the files' places; the commit moves whole files there, and an abort, or a job that never commits, leaves none.
 """
 

@@ -53,6 +53,25 @@ def test_matching_takes_each_truth_once(spark):
     assert P.matched(found.limit(0), truth, "image").count() == 0
 
 
+def test_assignment_of_boxes_of_any_size(spark):
+    r = np.random.default_rng(6)
+    corner = r.integers(0, 60, (60, 2)).astype(float)
+    size = np.where(r.random((60, 1)) < 0.2, 200.0, r.integers(5, 20, (60, 2)))
+    rows = [(i, *map(float, (*c, *(c + s)))) for i, (c, s) in enumerate(zip(corner, size))]
+    schema = "id long, x1 double, y1 double, x2 double, y2 double"
+    rois, truths = rows[:30], rows[30:]
+    got = {x.id: (x.truth, x.iou) for x in P.assigned(spark.createDataFrame(rois, schema), spark.createDataFrame(truths, schema), 10.0).collect()}
+    want = {}
+    for i, x1, y1, x2, y2 in rois:
+        best = (0.0, 0)
+        for t, u1, v1, u2, v2 in truths:
+            inner = max(0.0, min(x2, u2) - max(x1, u1)) * max(0.0, min(y2, v2) - max(y1, v1))
+            best = max(best, (inner / ((x2 - x1) * (y2 - y1) + (u2 - u1) * (v2 - v1) - inner), -t))
+        if best[0] >= 0.1:
+            want[i] = -best[1], best[0]
+    assert got.keys() == want.keys() and all(got[i][0] == t and np.isclose(got[i][1], v) for i, (t, v) in want.items())
+
+
 def test_empty_tables(spark):
     _, df = points(spark, 3)
     none = df.limit(0)
