@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import rotation as K
-from ..operators import breeding, flooding, levelset, likelihood
+from ..operators import breeding, cells, flooding, levelset, likelihood
 from ..operators import voxel as V
 from .base import register, table
 from .catalog import SHAPE, tomogram
@@ -71,3 +71,12 @@ def likelihood_poses(spark, d):
 def bred_selection(spark, d):
     """Each class's best subset of all of its records after four generations, and its score."""
     return breeding.evolve(table(spark, d, "embeddings"), "label", "vec_id", "embedding", (4, 4, 4), population=12, generations=4)
+
+
+@_query()
+def voronoi_exact(spark, d):
+    """The exact share of the box of 97 x 89 x 83 that is nearest to each supplier's point."""
+    s = table(spark, d, "supplier")
+    at = s.select("s_suppkey", *((F.col("s_suppkey") * a % m).cast("double").alias(c) for c, a, m in (("x", 37, 97), ("y", 101, 89), ("z", 53, 83))))
+    found = cells.voronoi_cells(at, "s_suppkey", ["x", "y", "z"], [0.0, 0.0, 0.0], [97.0, 89.0, 83.0])
+    return found.withColumn("weight", F.round("weight", 8))
