@@ -79,7 +79,7 @@ def pose_search(spark, d):
     """Each record's pose on its class's mean under its missing wedge: correlation over all turns, then translations."""
     records = _grown(_images(spark, d).drop("m"), 8).withColumn("m", _wedge(8)).withColumnRenamed("label", "template_id")
     templates = _grown(_templates(spark, d).drop("m"), 8).withColumn("m", F.array_repeat(F.lit(1.0), 512))
-    found = A.search_own(records, templates, "vec_id", (8, 8, 8), most=4, peaks=8, finalists=2, refine=3)
+    found = A.search_own(records, templates, "vec_id", (8, 8, 8), most=3, peaks=4, finalists=1, refine=2)
     at = [F.round(F.col(c)[i], 4).alias(f"{c}{i}") for c in ("angle", "loc") for i in range(3)]
     return found.select("vec_id", "template_id", F.round("score", 4).alias("score"), *at, "err")
 
