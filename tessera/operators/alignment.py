@@ -129,9 +129,9 @@ def _onto_own(records: DataFrame, templates: DataFrame, key: str, shape: Shape,
 
     known = templates.select("template_id", F.col("v").cast("array<double>").alias("_v"), F.col("m").cast("array<double>").alias("_m")).where(usable("_v", size) & usable("_m", size))
     rows = records.select(key, "template_id", F.col("v").cast("array<double>"), F.col("m").cast("array<double>")).where(usable("v", size) & usable("m", size))
-    # the search costs far more than the rows' way: they are dealt out, however few files they come from
-    dealt = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
-    return dealt.join(known, "template_id").select(key, "template_id", "v", "m", "_v", "_m").mapInArrow(run, f"{key} {kind}, template_id {kind_t}, score double, angle array<double>, loc array<double>, err string")
+    # the search costs far more than the rows' way: pairs are dealt out, however few the templates or the files
+    dealt = rows.join(known, "template_id").select(key, "template_id", "v", "m", "_v", "_m").repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, f"{key} {kind}, template_id {kind_t}, score double, angle array<double>, loc array<double>, err string")
 
 
 def align_own(records: DataFrame, templates: DataFrame, key: str, shape: Shape, angles) -> DataFrame:
