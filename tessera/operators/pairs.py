@@ -2,7 +2,9 @@
 
 Distance joins hash points to a grid, so that a point meets its neighbours only. Greedy choices run in rounds:
 a point with no better undecided one nearby is settled, which gives the sequential loop's result without one task
-that sees all points.
+that sees all points. They never list all close pairs: only the best point of each small cell meets the others, so a
+point meets as many as there are cells around it, however many points these hold. Tables that explode into cells are
+joined by sorting, since Spark's estimates don't know how many rows they become.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import settle
+from ..plans.iterate import drop, settle
 
 
 def upper_pairs(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -68,33 +70,78 @@ def cuboid(axes: list[str], reach: int) -> Callable[[str, str], Column]:
     return close
 
 
-def isolated(points: DataFrame, key: str, axes: list[str], distance: float) -> DataFrame:
-    """Points that have no other within distance (inclusive): both of a close pair go."""
-    near = close_pairs(points, key, axes, distance, euclid(axes, distance, strict=False))
-    return points.join(near.select(key).distinct(), key, "left_anti").select(points.columns)
+def _small_cells(points: DataFrame, axes: list[str], reach: float) -> tuple[DataFrame, float]:
+    """The points whose coordinates are finite with their cells _c<axis>, so small that a cell's points lie within reach
+    of one another; and the cells' width."""
+    # less by a millionth: rounding must not set points of one cell further apart than reach
+    width = reach / len(axes) ** 0.5 * (1 - 1e-6)
+    return _celled(points.where(_finite(axes)), axes, width), width
 
 
-def greedy(points: DataFrame, key: str, order: list[Column], axes: list[str], reach: float, close: Callable[[str, str], Column], *, group: list[str] = []) -> DataFrame:  # noqa: B006
-    """Points kept by the loop over the order that drops a point close to one kept before; key is the row's id.
+def _finite(axes: list[str]) -> Column:
+    out = F.lit(True)
+    for a in axes:
+        out = out & F.coalesce(F.abs(F.col(a).cast("double")) < float("inf"), F.lit(False))
+    return out
+
 
-    The edges (point, earlier close point) are made once. Each round keeps the points whose earlier neighbours are
-    all dropped, and drops theirs.
+def _met(few: DataFrame, many: DataFrame, key: str, axes: list[str], reach: float, width: float, close: Column, group: list[str], extra: list[str]) -> DataFrame:
+    """few's rows (_o_ columns) with the close ones of many that have another key; many has its cells of that width."""
+    wide = few.select(*group, *(F.col(c).alias(f"_o_{c}") for c in (key, *axes, *extra)))
+    for a in axes:
+        ends = [F.floor((F.col(f"_o_{a}") + r) / width) for r in (-reach * (1 + 1e-9), reach * (1 + 1e-9))]
+        wide = wide.withColumn(f"_c{a}", F.explode(F.sequence(*ends)))
+    both = many.join(wide.hint("merge"), [*group, *(f"_c{a}" for a in axes)])
+    return both.where((F.col(key) != F.col(f"_o_{key}")) & close)
+
+
+def isolated(points: DataFrame, key: str, axes: list[str], distance: float) -> DataFrame:
+    """Points that have no other within distance (inclusive): both of a close pair go.
+
+    Points that share a small cell go at once; those alone in theirs, one a cell, are held against all around them.
     """
-    rank = F.struct(*order, F.col(key))
-    ranked = points.withColumn("_r", rank)
-    edges = close_pairs(points, key, axes, reach, close, group=group)
-    with_rank = ranked.select(*group, key, "_r")
-    edges = edges.join(with_rank, [*group, key]).join(with_rank.select(*group, F.col(key).alias("other"), F.col("_r").alias("_s")), [*group, "other"])
-    edges = settle(edges.where(F.col("_s") < F.col("_r")).select(*group, key, "other"))
-    left = settle(points.select(*group, key))
-    kept = None
-    while left.limit(1).count():
-        open_edges = edges.join(left, [*group, key], "left_semi").join(left.withColumnRenamed(key, "other"), [*group, "other"], "left_semi")
-        best = settle(left.join(open_edges.select(*group, key).distinct(), [*group, key], "left_anti"))
-        kept = best if kept is None else kept.unionByName(best)
-        ended = edges.join(best.withColumnRenamed(key, "other"), [*group, "other"], "left_semi").select(*group, key).distinct()
-        left = settle(left.join(best, [*group, key], "left_anti").join(ended, [*group, key], "left_anti"))
-    return points.join(kept if kept is not None else left, [*group, key], "left_semi").select(points.columns)
+    dealt, width = _small_cells(points.select(key, *axes), axes, distance)
+    cells = [f"_c{a}" for a in axes]
+    held = dealt.groupBy(*cells).agg(F.min(key).alias("_low"), F.max(key).alias("_high"), F.first(F.struct(*axes)).alias("_p"))
+    crowded = held.where("_low <> _high").select(*cells)
+    alone = settle(held.where("_low = _high").select(F.col("_low").alias(key), *(F.col(f"_p.{a}").alias(a) for a in axes)))
+    near = _met(alone, dealt, key, axes, distance, width, euclid(axes, distance, strict=False)("", "_o_"), [], []).select(F.col(f"_o_{key}").alias(key))
+    gone = dealt.join(crowded.hint("merge"), cells, "left_semi").select(key).unionByName(near)
+    return points.join(gone.distinct().hint("merge"), key, "left_anti").select(points.columns)
+
+
+def best_first(rows: DataFrame, ids: list[str], rank: str, cells: list[str], met: Callable[[DataFrame, DataFrame, bool], DataFrame]) -> DataFrame:
+    """(ids...): rows kept by the loop over rank that drops a row close to one kept before.
+
+    met(few, many, first) gives the pairs of few's rows with many's of which the second is close to the first, few's being
+    the first ones or the second: the columns of many, and few's ids and rank as _o_<c>.
+    Each round takes the best undecided row of every cell; those that no better undecided row is close to are kept, and
+    all rows close to them dropped. A cell should hold rows that are close to one another: then few of them are ever
+    compared, and the work grows with the rows, not with the pairs.
+    """
+    left, kept = settle(rows), None
+    while True:
+        best = settle(left.groupBy(*cells).agg(F.min_by(F.struct(*left.columns), rank).alias("_b")).select("_b.*"))
+        if not best.limit(1).count():
+            break
+        others = [F.col(f"_o_{c}").alias(c) for c in ids]
+        blocked = met(best, left, False).where(F.col(rank) < F.col(f"_o_{rank}")).select(*others).distinct()
+        won = settle(best.join(blocked.hint("merge"), ids, "left_anti"))
+        gone = met(won, left, True).where(F.col(rank) > F.col(f"_o_{rank}")).select(*ids).unionByName(won.select(*ids)).distinct()
+        after = settle(left.join(gone.hint("merge"), ids, "left_anti"))
+        drop(left, best)
+        left, kept = after, won.select(*ids) if kept is None else kept.unionByName(won.select(*ids))
+    return left.select(*ids) if kept is None else kept
+
+
+def greedy(points: DataFrame, key: str, order: list[Column], axes: list[str], reach: float, close: Callable[[str, str], Column], *, group: list[str] = []) -> DataFrame:  # noqa: B006
+    """Points kept by the loop over the order that drops a point close to one kept before; key is the row's id."""
+    ids = [*group, key]
+    dealt, width = _small_cells(points.withColumn("_r", F.struct(*order, F.col(key))).select(*ids, *axes, "_r"), axes, reach)
+    met = lambda few, many, first: _met(few, many, key, axes, reach, width, close("", "_o_") if first else close("_o_", ""), group, ["_r"]).withColumns({f"_o_{g}": F.col(g) for g in group})
+    kept = best_first(dealt, ids, "_r", [*group, *(f"_c{a}" for a in axes)], met)
+    kept = kept.unionByName(points.where(~_finite(axes)).select(*ids))  # close to nothing
+    return points.join(kept.hint("merge"), ids, "left_semi").select(points.columns)
 
 
 def assigned(rois: DataFrame, truths: DataFrame, cell: float, *, least: float = 0.1, most: float = 0.5) -> DataFrame:

@@ -82,3 +82,27 @@ def test_empty_tables(spark):
     pairs = spark.createDataFrame([(0.5, True), (1.5, False)], "d double, same boolean")
     rates = {r.threshold: (r.tpr, r.fpr, r.acc) for r in S.accuracy_by_threshold(pairs, "d", "same", [0.0, 1.0, 2.0]).collect()}
     assert rates == {0.0: (0.0, 0.0, 0.5), 1.0: (1.0, 0.0, 1.0), 2.0: (1.0, 1.0, 0.5)}
+
+
+def test_choices_among_many_close_points_list_no_pairs(spark, monkeypatch):
+    # 6000 points on 8 x 8 x 8 places: 18 million close pairs, of which none may be listed
+    r = np.random.default_rng(7)
+    rows = [(i, *map(int, p), float(v)) for i, (p, v) in enumerate(zip(r.integers(0, 8, (6000, 3)), r.integers(0, 9, 6000)))]
+    df = spark.createDataFrame(rows + [(9000, None, 1, 1, 5.0), (9001, 300, 1, 1, 5.0)], "id int, x int, y int, z int, val double")
+    monkeypatch.setattr(P, "close_pairs", None)
+    kept = []
+    for a in sorted(rows, key=lambda a: (-a[4], a[0])):
+        if not any(all(q - 3 <= p < q + 3 for p, q in zip(a[1:4], b[1:4])) for b in kept):
+            kept.append(a)
+    got = P.greedy(df, "id", [(-df.val).alias("v")], AXES, 3.0, P.cuboid(AXES, 3))
+    assert {x.id for x in got.collect()} == {a[0] for a in kept} | {9000, 9001}
+    assert {x.id for x in P.isolated(df, "id", AXES, 3.0).collect()} == {9000, 9001}
+    # a pair across the half-open side ends in one direction only
+    two = spark.createDataFrame([(1, 3, 0, 0), (2, 0, 0, 0), (3, 6, 0, 0)], "id int, x int, y int, z int")
+    assert {x.id for x in P.greedy(two, "id", [], AXES, 3.0, P.cuboid(AXES, 3)).collect()} == {1, 3}
+
+
+def test_exploded_cells_are_not_broadcast(spark):
+    _, df = points(spark, 200)
+    plan = P.isolated(df, "id", AXES, 3.0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
