@@ -3,6 +3,7 @@
 import numpy as np
 
 from tessera.operators import pairs as P
+from tessera.operators import records as R
 from tessera.operators import statistics as S
 
 AXES = ["x", "y", "z"]
@@ -106,3 +107,15 @@ def test_exploded_cells_are_not_broadcast(spark):
     _, df = points(spark, 200)
     plan = P.isolated(df, "id", AXES, 3.0)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_overlapping_spheres_of_many_sizes(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, *map(float, r.integers(-9, 30, 3)), float(v)) for i, v in enumerate(2.0 ** r.integers(-12, 4, 300))] + [(300, 1.0, 1.0, 1.0, 0.0), (301, 1.0, 1.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, z double, r double")
+    far = lambda a, b: sum((p - q) ** 2 for p, q in zip(a[1:4], b[1:4]))
+    out = R.overlapping_spheres(df)
+    got = sorted(map(tuple, out.collect()))
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and far(a, b) < (a[4] + b[4]) ** 2)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert R.overlapping_spheres(df.limit(0)).count() == 0
