@@ -99,3 +99,14 @@ def test_thirds_hold_every_row(spark):
     assert sorted(str(r.x) for p in parts for r in p.collect()) == sorted(str(r.x) for r in df.collect())
     assert [p.count() for p in streams._thirds(df.limit(0), "x")] == [0, 0, 0]
     assert np.all([p.count() > 0 for p in parts])
+
+
+def test_spans_need_no_python_for_each_key(spark):
+    # a gap a microsecond above the timeout parts two spans, and the plan keeps them in Spark's own state
+    near = at(0) + timedelta(minutes=30, microseconds=1)
+    frames = [spark.createDataFrame([("a", at(0), "x"), ("a", near, "x")], SCHEMA), spark.createDataFrame([("z", at(600), "x")], SCHEMA)]
+    with state.keyed_state(spark):
+        found = state.contact_spans(streams.replayed(spark, frames), "worker", "ts")
+        got = {(r.worker, r["first"], r["last"], r.n) for r in streams.drained(found).collect()}
+    assert got == {("a", at(0), at(0), 1), ("a", near, near, 1)}
+    assert "TransformWithState" not in found._jdf.queryExecution().analyzed().toString()
