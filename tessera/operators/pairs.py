@@ -144,30 +144,85 @@ def greedy(points: DataFrame, key: str, order: list[Column], axes: list[str], re
     return points.join(kept.hint("merge"), ids, "left_semi").select(points.columns)
 
 
-def assigned(rois: DataFrame, truths: DataFrame, cell: float, *, least: float = 0.1, most: float = 0.5) -> DataFrame:
-    """(id, truth, iou, is_object): each region's best truth box by IoU; under `least` a region goes, from `most` it is an object.
+#: Below this IoU boxes are dealt to all cells that they touch: sizes may differ too much for classes.
+_LEAST_IOU = 1 / 64
+_SIDES = ["x1", "y1", "x2", "y2"]
+
+
+def boxes_met(left: DataFrame, right: DataFrame, least: float, cell: float) -> DataFrame:
+    """Pairs of left's boxes (x1, y1, x2, y2, ...) with right's, whose columns come as _o_<c>: each at most once, and all
+    whose IoU reaches least (> 0).
 
-    Boxes are (id, x1, y1, x2, y2) of any size: a box stands in all cells of the grid that it touches, and two boxes count
-    in the cell alone where their overlap begins.
+    Such boxes' sides differ by 1 / least at most, and their centres lie near one another: the wider box (ties: left's)
+    looks for centres around its own in a grid that is as fine as its class of sizes, by halves and doubles of cell; the
+    narrower one stands in one cell of each class that it may meet.
     """
+    whole = lambda df: df.where("x2 > x1 and y2 > y1")
+    size = {"x": F.col("x2") - F.col("x1"), "y": F.col("y2") - F.col("y1")}
+    level = lambda a: F.ceil(F.log2(size[a] / cell)).cast("int")
+    steps = int(np.ceil(-np.log2(least) - 1e-9))
+    grid = lambda a: F.pow(F.lit(2.0), F.col(f"_k{a}")) * cell * (1 - least if least < 0.9 else 0.1)
+    renamed = lambda df: df.select(*([c for c in df.columns if c[:2] in ("_k", "_c")]), *(F.col(c).alias(f"_o_{c}") for c in df.columns if c[:2] not in ("_k", "_c")))
+    keys = ["_kx", "_ky", "_cx", "_cy"]
+
+    def looking(df: DataFrame) -> DataFrame:
+        out = whole(df).withColumns({"_kx": level("x"), "_ky": level("y")})
+        # along x the other box is no wider; along y it may be higher
+        for a, reach in (("x", 1 - least), ("y", max(1 - least, 0.5 / least - 0.5))):
+            middle = (F.col(f"{a}1") + F.col(f"{a}2")) / 2
+            ends = [F.floor((middle + k * (reach + 1e-6) * size[a]) / grid(a)) for k in (-1, 1)]
+            out = out.withColumn(f"_c{a}", F.explode(F.sequence(*ends)))
+        return out
+
+    def standing(df: DataFrame) -> DataFrame:
+        out = whole(df).withColumn("_kx", F.explode(F.sequence(level("x"), level("x") + steps)))
+        out = out.withColumn("_ky", F.explode(F.sequence(level("y") - steps, level("y") + steps)))
+        return out.withColumns({f"_c{a}": F.floor((F.col(f"{a}1") + F.col(f"{a}2")) / 2 / grid(a)) for a in "xy"})
+
+    wider = F.col("x2") - F.col("x1") >= F.col("_o_x2") - F.col("_o_x1")
+    one = looking(left).join(renamed(standing(right)).hint("merge"), keys).where(wider)
+    two = standing(left).join(renamed(looking(right)).hint("merge"), keys).where(~wider)
+    return one.drop(*keys).unionByName(two.drop(*keys))
+
 
-    def celled(boxes: DataFrame, prefix: str) -> DataFrame:
+def boxes_touching(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """As boxes_met, all pairs that overlap at all: boxes stand in every cell they touch, and two count where their overlap begins."""
+
+    def celled(boxes: DataFrame) -> DataFrame:
         for axis in "xy":
-            first, last = (F.floor(F.col(f"{prefix}{axis}{i}") / cell) for i in (1, 2))
-            boxes = boxes.withColumn(f"c{axis}", F.explode(F.sequence(first, F.greatest(first, last))))
+            first, last = (F.floor(F.col(f"{axis}{i}") / cell) for i in (1, 2))
+            boxes = boxes.withColumn(f"_c{axis}", F.explode(F.sequence(first, F.greatest(first, last))))
         return boxes
 
-    left = celled(rois.select("id", "x1", "y1", "x2", "y2"), "")
-    right = celled(truths.select(F.col("id").alias("truth"), *(F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2"))), "t")
-    begins = [F.floor(F.greatest(f"{a}1", f"t{a}1") / cell) for a in "xy"]
-    width = F.greatest(F.lit(0.0), F.least("x2", "tx2") - F.greatest("x1", "tx1"))
-    height = F.greatest(F.lit(0.0), F.least("y2", "ty2") - F.greatest("y1", "ty1"))
+    other = celled(right).select("_cx", "_cy", *(F.col(c).alias(f"_o_{c}") for c in right.columns))
+    both = celled(left).join(other.hint("merge"), ["_cx", "_cy"])
+    for a in "xy":
+        both = both.where(F.floor(F.greatest(f"{a}1", f"_o_{a}1") / cell) == F.col(f"_c{a}"))
+    return both.drop("_cx", "_cy")
+
+
+def assigned(rois: DataFrame, truths: DataFrame, cell: float, *, least: float = 0.1, most: float = 0.5) -> DataFrame:
+    """(id, truth, iou, is_object): each region's best truth box by IoU; under `least` a region goes, from `most` it is an object.
+
+    Boxes are (id, x1, y1, x2, y2) of any size. Regions look for truths of a great IoU first, which lie close by; only those
+    without one look further: what meets a smaller IoU can't be better.
+    """
+    left = settle(rois.select("id", *_SIDES))
+    right = truths.select("id", *_SIDES)
+    width = F.greatest(F.lit(0.0), F.least("x2", "_o_x2") - F.greatest("x1", "_o_x1"))
+    height = F.greatest(F.lit(0.0), F.least("y2", "_o_y2") - F.greatest("y1", "_o_y1"))
     inner = width * height
-    union = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) + (F.col("tx2") - F.col("tx1")) * (F.col("ty2") - F.col("ty1")) - inner
-    met = left.join(right, ["cx", "cy"]).where((F.col("cx") == begins[0]) & (F.col("cy") == begins[1]) & (inner > 0))
-    both = met.select("id", "truth", (inner / union).alias("iou"))
-    best = both.groupBy("id").agg(F.max(F.struct("iou", (-F.col("truth")).alias("t"))).alias("best"))
-    return best.select("id", (-F.col("best.t")).alias("truth"), F.col("best.iou").alias("iou")).where(F.col("iou") >= least).withColumn("is_object", F.col("iou") >= most)
+    union = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) + (F.col("_o_x2") - F.col("_o_x1")) * (F.col("_o_y2") - F.col("_o_y1")) - inner
+    out = None
+    for level in [*(v for v in (0.8, 0.6, 0.4, 0.2) if v > least), least]:
+        met = boxes_met(left, right, level, cell) if level >= _LEAST_IOU else boxes_touching(left, right, cell)
+        both = met.where(inner > 0).select("id", F.col("_o_id").alias("truth"), (inner / union).alias("iou")).where(F.col("iou") >= level)
+        best = both.groupBy("id").agg(F.max(F.struct("iou", (-F.col("truth")).alias("t"))).alias("best"))
+        best = settle(best.select("id", (-F.col("best.t")).alias("truth"), F.col("best.iou").alias("iou")))
+        out = best if out is None else out.unionByName(best)
+        if level > least:
+            left = settle(left.join(best.select("id").hint("merge"), "id", "left_anti"))
+    return out.withColumn("is_object", F.col("iou") >= most)
 
 
 def matched(predictions: DataFrame, truths: DataFrame, group: str, *, least: float = 0.5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.iterate import settle
+from .pairs import _LEAST_IOU, best_first, boxes_met, boxes_touching
 from .voxel import AXES, Shape, stencil
 
 
@@ -110,17 +111,36 @@ def iou(x1: Column, y1: Column, x2: Column, y2: Column, u1: Column, v1: Column,
     return F.try_divide(both, (x2 - x1) * (y2 - y1) + (u2 - u1) * (v2 - v1) - both)
 
 
+def _overlaps(left: DataFrame, right: DataFrame, least: float, cell: float) -> DataFrame:
+    """Pairs of boxes (x1, y1, x2, y2, ...) of left and right (as _o_<c>) with their iou, which exceeds least."""
+    met = boxes_met(left, right, least, cell) if least >= _LEAST_IOU else boxes_touching(left, right, cell)
+    sides = ("x1", "y1", "x2", "y2")
+    return met.withColumn("iou", iou(*(F.col(c) for c in sides), *(F.col(f"_o_{c}") for c in sides))).where(F.col("iou") > least)
+
+
 def box_pairs(boxes: DataFrame, least: float, cell: float) -> DataFrame:
     """(a, b, iou), a < b: boxes (id, x1, y1, x2, y2) whose overlap over union exceeds least.
 
-    Boxes are dealt to the grid cells they cover; a pair is told in the cell of its overlap's low corner only.
+    cell is the boxes' usual size; see pairs.boxes_met for how boxes of any size meet.
     """
     at = boxes.select("id", "x1", "y1", "x2", "y2")
-    for c in "xy":
-        at = at.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"{c}1") / cell), F.floor(F.col(f"{c}2") / cell))))
-    other = at.select("cx", "cy", *(F.col(c).alias(f"o{c}") for c in ("id", "x1", "y1", "x2", "y2")))
-    pairs = at.join(other, ["cx", "cy"]).where((F.col("id") < F.col("oid")) & (F.floor(F.greatest("x1", "ox1") / cell) == F.col("cx")) & (F.floor(F.greatest("y1", "oy1") / cell) == F.col("cy")))
-    return pairs.select(F.col("id").alias("a"), F.col("oid").alias("b"), iou(*(F.col(c) for c in ("x1", "y1", "x2", "y2", "ox1", "oy1", "ox2", "oy2"))).alias("iou")).where(F.col("iou") > least)
+    # of a pair met in both orders one is taken
+    return _overlaps(at, at, least, cell).where(F.col("id") < F.col("_o_id")).select(F.col("id").alias("a"), F.col("_o_id").alias("b"), "iou")
+
+
+def suppressed(boxes: DataFrame, least: float, cell: float) -> DataFrame:
+    """(id): what the loop over boxes (id, x1, y1, x2, y2, score), best first, ties to the smaller id, keeps when a box goes
+    whose overlap over union with one kept before exceeds least. The pairs are never listed; see pairs.best_first."""
+    sides = ("x1", "y1", "x2", "y2")
+    real = F.coalesce((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))
+    rows = boxes.where(real).select("id", *sides, F.struct((-F.col("score")).alias("s"), "id").alias("_r"))
+    # boxes of a cell have sides within this ratio and corners as near: two of them overlap by more than least
+    ratio = max((2 * least / (1 + least)) ** -0.2, 1 + 1e-3) if least > 0 else 2.0
+    for a in "xy":
+        level = F.floor(F.log(F.col(f"{a}2") - F.col(f"{a}1")) / float(np.log(ratio)))
+        rows = rows.withColumn(f"_l{a}", level).withColumn(f"_b{a}", F.floor(F.col(f"{a}1") / (F.pow(F.lit(ratio), level) * (1 - 1 / ratio))))
+    kept = best_first(rows, ["id"], "_r", ["_lx", "_ly", "_bx", "_by"], lambda few, many, _: _overlaps(many, few.select("id", *sides, "_r"), least, cell).where(F.col("id") != F.col("_o_id")).select(*many.columns, "_o_id", "_o__r"))
+    return kept.unionByName(boxes.where(~real).select("id"))
 
 
 def keep_greedily(items: DataFrame, pairs: DataFrame) -> DataFrame:

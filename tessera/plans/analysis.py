@@ -286,8 +286,7 @@ def _greedy_boxes() -> str:
 
 @_query(_greedy_boxes())
 def box_suppression(spark, d):
-    b = _boxes(spark, d)
-    return G.keep_greedily(b, G.box_pairs(b, 0.3, 55.0))
+    return G.suppressed(_boxes(spark, d), 0.3, 55.0)
 
 
 def _lloyd_sql(rounds: int) -> str:

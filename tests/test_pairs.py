@@ -4,6 +4,7 @@ import numpy as np
 
 from tessera.operators import pairs as P
 from tessera.operators import records as R
+from tessera.operators import regions as G
 from tessera.operators import statistics as S
 
 AXES = ["x", "y", "z"]
@@ -119,3 +120,27 @@ def test_overlapping_spheres_of_many_sizes(spark):
     assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and far(a, b) < (a[4] + b[4]) ** 2)
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert R.overlapping_spheres(df.limit(0)).count() == 0
+
+
+def test_boxes_of_all_shapes_meet_once(spark):
+    r = np.random.default_rng(9)
+    corner = r.integers(-30, 60, (160, 2)).astype(float)
+    size = 2.0 ** r.integers(-2, 7, (160, 2)) * r.uniform(0.7, 1.4, (160, 2))
+    rows = [(i, *map(float, (*c, *(c + s))), float(i % 7)) for i, (c, s) in enumerate(zip(corner, size))]
+    rows += [(200 + i, *row[1:]) for i, row in enumerate(rows[:9])] + [(300, 5.0, 5.0, 5.0, 9.0, 3.0)]
+    df = spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double, score double")
+
+    def iou(a, b):
+        both = max(min(a[3], b[3]) - max(a[1], b[1]), 0) * max(min(a[4], b[4]) - max(a[2], b[2]), 0)
+        return both / ((a[3] - a[1]) * (a[4] - a[2]) + (b[3] - b[1]) * (b[4] - b[2]) - both)
+
+    for least in (0.0, 0.1, 0.5):
+        got = sorted((x.a, x.b) for x in G.box_pairs(df, least, 8.0).collect())
+        assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and iou(a, b) > least)
+        kept = []
+        for b in sorted(rows, key=lambda b: (-b[5], b[0])):
+            if all(iou(b, k) <= least for k in kept):
+                kept.append(b)
+        assert sorted(x.id for x in G.suppressed(df, least, 8.0).collect()) == sorted(k[0] for k in kept)
+    assert "BroadcastHashJoin" not in G.box_pairs(df, 0.5, 8.0)._jdf.queryExecution().executedPlan().toString()
+    assert G.suppressed(df.limit(0), 0.5, 8.0).count() == 0
