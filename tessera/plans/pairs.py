@@ -362,9 +362,8 @@ _TILTS = "t AS (SELECT lo::INT AS lo, hi::INT AS hi FROM range(-90, 1, 15) a(lo)
 def best_tilt(spark, d):
     """The tilt range that holds most of a volume's energy and least of the rest: every range against every angle."""
     o = table(spark, d, "orders").select("o_custkey", (F.col("o_orderkey") % 180 - 90).alias("angle"), F.col("o_totalprice").alias("v"))
-    low, high = F.sequence(F.lit(-90), F.lit(0), F.lit(15)), F.sequence(F.lit(0), F.lit(90), F.lit(15))
-    # sums by angle first: the ranges meet one row an angle
-    by = o.groupBy("o_custkey", "angle").agg(F.sum("v").alias("v")).withColumn("lo", F.explode(low)).withColumn("hi", F.explode(high)).where("lo < hi")
-    s = by.groupBy("o_custkey", "lo", "hi").agg(F.round(F.sum(F.when(F.col("angle").between(F.col("lo"), F.col("hi")), F.col("v")).otherwise(-F.col("v"))), 4).alias("score"))
-    best = s.groupBy("o_custkey").agg(F.max(F.struct("score", "lo", "hi")).alias("b"))
+    # a sum for each range, in one pass: no row is multiplied
+    ranges = [(lo, hi) for lo in range(-90, 1, 15) for hi in range(0, 91, 15) if lo < hi]
+    sums = o.groupBy("o_custkey").agg(*(F.sum(F.when(F.col("angle").between(lo, hi), F.col("v")).otherwise(-F.col("v"))).alias(f"s{i}") for i, (lo, hi) in enumerate(ranges)))
+    best = sums.select("o_custkey", F.array_max(F.array(*(F.struct(F.round(f"s{i}", 4).alias("score"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for i, (lo, hi) in enumerate(ranges)))).alias("b"))
     return best.select("o_custkey", "b.lo", "b.hi", "b.score")

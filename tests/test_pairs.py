@@ -144,3 +144,12 @@ def test_boxes_of_all_shapes_meet_once(spark):
         assert sorted(x.id for x in G.suppressed(df, least, 8.0).collect()) == sorted(k[0] for k in kept)
     assert "BroadcastHashJoin" not in G.box_pairs(df, 0.5, 8.0)._jdf.queryExecution().executedPlan().toString()
     assert G.suppressed(df.limit(0), 0.5, 8.0).count() == 0
+
+
+def test_tilt_ranges_multiply_no_rows(spark):
+    from conftest import SF
+    from tessera.plans import pairs as Q
+
+    out = Q.best_tilt(spark, SF)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().count()
