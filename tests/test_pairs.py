@@ -153,3 +153,13 @@ def test_tilt_ranges_multiply_no_rows(spark):
     out = Q.best_tilt(spark, SF)
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().count()
+
+
+def test_filament_links_score_pairs_where_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(P, "close_pairs", None)
+    rows = [(1, 0.0, 0.0, 0.0, 0.5), (2, 3.0, 0.0, 0.0, 0.9), (3, 3.0, 0.0, 0.0, 0.8), (4, 30.0, 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, z double, corr double").selectExpr("*", "1.0d as ux", "0.0d as uy", "0.0d as uz")
+    got = {r.id: (r.next, r.similarity) for r in P.filament_links(df, reach=16.0, cone=1.0, sigmas=(1.0, 2.0, 20.0), least=0.01).collect()}
+    # 2 and 3 stand at one place: no step, angle 0
+    assert got.keys() == {1, 2, 3} and got[2] == (3, 0.8) and got[3] == (2, 0.9)
+    assert got[1][0] == 2 and np.isclose(got[1][1], 0.9 * np.exp(-9 / 400))
