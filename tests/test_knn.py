@@ -71,3 +71,23 @@ def test_a_query_meets_few_cells(spark, monkeypatch):
     found(spark.createDataFrame(rows, SCHEMA), 3)
     held, own, sent = copies
     assert held == own == 800 and sent < 800 * 28 / 4
+
+
+@pytest.mark.parametrize("shard_bytes", [32 << 20, 1 << 15])
+def test_a_query_goes_once_to_a_shard(spark, monkeypatch, shard_bytes):
+    """Vectors without structure, whose bounds exclude no cell: copies are as many as shards, not as cells."""
+    monkeypatch.setattr(knn, "SHARD_BYTES", shard_bytes)
+    copies = []
+    tiles = knn._tiles
+
+    def counted(*a):
+        left, right = tiles(*a)
+        copies.append(left.selectExpr("sum(length(ids) / 8)").first()[0])
+        return left, right
+
+    monkeypatch.setattr(knn, "_tiles", counted)
+    v = np.random.default_rng(4).standard_normal((500, 24))
+    rows = [(i, [float(np.float32(e)) if i % 2 else float(e) for e in x]) for i, x in enumerate(v / np.linalg.norm(v, axis=1)[:, None])]
+    got = found(spark.createDataFrame(rows, "id long, v array<double>"), 5)
+    same(got, plain(rows, 5))
+    assert copies[0] <= 500 * -(-500 * 24 * 8 // shard_bytes)
