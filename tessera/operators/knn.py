@@ -254,8 +254,10 @@ def _further(left: DataFrame, right: DataFrame, pivots: np.ndarray, k: int, size
         out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         for row in left.to_pylist() if blocks else ():
             ids, bound = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["bound"], float)
-            who, names, d = _nearer(_unpacked(row["v"], len(ids), size), bound * _SLACK + 1e-12, row["cell"], blocks, pivots, k)
-            out.append((ids[who], names, d))
+            v, step = _unpacked(row["v"], len(ids), size), max(1, _AT_ONCE // (4 * k))
+            for some in (slice(at, at + step) for at in range(0, len(ids), step)):
+                who, names, d = _nearer(v[some], bound[some] * _SLACK + 1e-12, row["cell"], blocks, pivots, k)
+                out.append((ids[some][who], names, d))
         return pa.table(dict(zip(("id", "other", "distance2"), (np.concatenate(x) for x in zip(*out)))))
 
     return left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(meet, "id long, other long, distance2 double")
@@ -266,11 +268,12 @@ def _least(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest(points: DataFrame, key: str, column: str, k: int) -> DataFrame:
+def nearest(points: DataFrame, key: str, column: str, k: int, *, of: DataFrame | None = None) -> DataFrame:
     """(key, rank, other, distance2): each row's k nearest other rows by squared Euclidean distance, ties to the smaller key.
 
     Rows whose key or vector is null, whose vector has an element that is null or not finite, or another length than the
-    longest take no part. Keys are distinct; with fewer than k others, a row has all of them.
+    longest take no part. Keys are distinct; with fewer than k others, a row has all of them. With `of`, only the rows whose
+    key it holds are asked for, among all.
     """
     spark = points.sparkSession
     rows = points.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
@@ -288,6 +291,9 @@ def nearest(points: DataFrame, key: str, column: str, k: int) -> DataFrame:
     shape = settle(cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("least"), F.max("near").alias("most")))
     candidates = settle(_blocks(cells.withColumn("bound", F.lit(0.0)), shape.select("cell", "n"), size))
     queries = cells.where("_n = 1").drop("_n")
+    asking = rows if of is None else rows.join(of.select(F.col(key).cast("long").alias("id")), "id", "left_semi")
+    if of is not None:
+        queries = queries.join(asking.select("v").distinct(), "v", "left_semi").select(*queries.columns)
     parts = shape.select("cell", "n")
     own = settle(_least(_met(_blocks(queries.withColumn("bound", F.lit(float("inf"))), parts, size), candidates, k + 1, size), k + 1))
     bound = own.where(F.col("rank") == k + 1).select("id", F.sqrt("distance2").alias("bound"))
@@ -297,8 +303,8 @@ def nearest(points: DataFrame, key: str, column: str, k: int) -> DataFrame:
     lists = _least(own.drop("rank").unionByName(further), k + 1).select("id", "other", "distance2")
     lists = settle(lists.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("distance2", "other"))).alias("_all")))  # k + 1 each
     # every row takes its vector's list without itself
-    of = rows.join(held.where("_n = 1").select("v", F.col("id").alias("_q")), "v").select(F.col("id").alias(key), "_q")
-    mine = of.join(lists.withColumnRenamed("id", "_q"), "_q")
+    named = asking.join(held.where("_n = 1").select("v", F.col("id").alias("_q")), "v").select(F.col("id").alias(key), "_q")
+    mine = named.join(lists.withColumnRenamed("id", "_q"), "_q")
     others = F.slice(F.filter("_all", lambda e: e["other"] != F.col(key)), 1, k)
     out = settle(mine.select(key, F.posexplode(others).alias("_at", "_e")).select(key, (F.col("_at") + 1).alias("rank"), F.col("_e.other").alias("other"), F.col("_e.distance2").alias("distance2")))
     drop(rows, held, cells, shape, candidates, own, asked, lists)

@@ -51,3 +51,18 @@ def test_small_tables(spark):
     assert np.isclose(got[1], 0.3) and np.isclose(got[2], 0.7) and got[3] == 0
     with pytest.raises(ValueError):
         C.voronoi_cells(spark.createDataFrame([], schema), "id", ["x"] * 5, [0.0] * 5, [1.0] * 5)
+
+
+def test_many_neighbours_take_little_memory():
+    """A cell among 150 others is that of the few that cut it, and takes no table of all triples of planes."""
+    import tracemalloc
+
+    at = np.random.default_rng(5).random((151, 3))
+    tracemalloc.start()
+    size, far = C.cell(at[0], at[1:], np.zeros(3), np.ones(3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    draws = np.random.default_rng(6).random((200000, 3))
+    mine = ((draws - at[0]) ** 2).sum(1) <= np.min([((draws - o) ** 2).sum(1) for o in at[1:]], axis=0)
+    assert abs(mine.mean() - size) < 4 * np.sqrt(size / len(draws)) and np.linalg.norm(draws[mine] - at[0], axis=1).max() <= far
