@@ -330,3 +330,39 @@ def test_rotational_correlation_is_that_of_turned_functions():
         turned = g(u @ (rz(al) @ ry @ rz(ga)))
         want = (weights[:, None] * f(u) * turned).sum() * 2 * np.pi / len(phi) * (0.5 * 1 + 0.5 * 4)
         assert np.isclose(score, want)
+
+
+def _noise(n, seed=8):
+    r = np.random.default_rng(seed)
+    return r.random((n, *SHAPE)), (r.random((n, *SHAPE)) > 0.2).astype(float)
+
+
+def test_searches_are_made_together(monkeypatch):
+    """Many volumes take as many rounds of transforms as one, and find what each finds alone."""
+    v, m = _noise(7)
+    options = {"most": 3, "peaks": 4, "finalists": 2, "refine": 2}
+    alone = [A.search(v[0], m[0], x, y, **options) for x, y in zip(v, m)]
+    rounds, maxima = [], A._maxima
+    monkeypatch.setattr(A, "_maxima", lambda *a: rounds.append(1) or maxima(*a))
+    for one, other in zip(A.search_each(v[0], m[0], v, m, **options), alone):
+        assert np.isclose(one[0], other[0]) and np.allclose(one[1], other[1]) and (one[2] == other[2]).all()
+        s, l = A.constrained_maxima(v[0], m[0], v[:1], m[:1], alone[0][1])
+    assert len(rounds) <= 3 + len(alone) and np.isclose(s[0], alone[0][0]) and (l[0] == alone[0][2]).all()
+
+
+def test_a_turn_serves_all_templates(monkeypatch):
+    v, m = _noise(5)
+    known = list(zip(v[:3], m[:3]))
+    alone = [A.align(*k, v, m, TURNS[:4]) for k in known]
+    turned, rotate = [], K.rotate_many
+    monkeypatch.setattr(K, "rotate_many", lambda *a, **b: turned.append(1) or rotate(*a, **b))
+    for one, other in zip(A.align_each(known, v, m, TURNS[:4]), alone):
+        assert all(a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(one, other))
+    assert len(turned) == 4
+
+
+def test_rows_of_one_pose_are_turned_together():
+    angle, loc = np.array([TURNS[i % 2] for i in range(50)], float), np.array([[i % 3, 0, 0] for i in range(50)], float)
+    found = list(A._alike(angle, loc, 64))
+    assert len(found) == 6 and sorted(np.concatenate([rows for rows, _, _ in found])) == list(range(50))
+    assert all((angle[rows] == a).all() and (loc[rows] == l).all() for rows, a, l in found)
