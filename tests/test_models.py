@@ -366,3 +366,29 @@ def test_rows_of_one_pose_are_turned_together():
     found = list(A._alike(angle, loc, 64))
     assert len(found) == 6 and sorted(np.concatenate([rows for rows, _, _ in found])) == list(range(50))
     assert all((angle[rows] == a).all() and (loc[rows] == l).all() for rows, a, l in found)
+
+
+def _asked(monkeypatch, name, query, spark, answer):
+    """What a query hands to an operator of alignment, defaults included."""
+    import inspect
+
+    from tessera.plans import models as Q
+
+    operator, seen = getattr(A, name), {}
+
+    def spy(*given, **options):
+        bound = inspect.signature(operator).bind(*given, **options)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        return answer
+
+    monkeypatch.setattr(A, name, spy)
+    getattr(Q, query)(spark, "/root/testdata/sf0.001")
+    return seen
+
+
+def test_classification_tries_all_turns_in_several_passes(spark, monkeypatch):
+    poses = spark.createDataFrame([(0, 1.0)], "cluster int, score double")
+    seen = _asked(monkeypatch, "iterate_classify", "iterative_classify", spark, (poses, None))
+    assert len(seen["angles"]) == 24 and seen["passes"] >= 3
+    assert seen["records"].count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
