@@ -392,3 +392,10 @@ def test_classification_tries_all_turns_in_several_passes(spark, monkeypatch):
     seen = _asked(monkeypatch, "iterate_classify", "iterative_classify", spark, (poses, None))
     assert len(seen["angles"]) == 24 and seen["passes"] >= 3
     assert seen["records"].count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+
+
+def test_pursuit_tries_all_turns_until_passes_add_nothing(spark, monkeypatch):
+    found = spark.createDataFrame([(0, 0, 1, 1.0)], "pass int, cluster int, n long, fsc double")
+    seen = _asked(monkeypatch, "pursue", "pattern_pursuit", spark, found)
+    assert len(seen["angles"]) == 24 and seen["most"] >= 10
+    assert seen["records"].count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
