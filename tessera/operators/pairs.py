@@ -316,24 +316,9 @@ def filament_links(points: DataFrame, *, reach: float, cone: float, sigmas: tupl
     from the point's direction. With beta and gamma the angles of the step with both directions, the similarity is the
     other's corr times Gaussians of beta - gamma, beta + gamma and the step's length, of the three sigmas.
     """
-    axes = ["x", "y", "z"]
-    dealt, width = _small_cells(points.select("id", *axes, *(f"u{a}" for a in axes), "corr"), axes, reach)
-    # each pair is scored where it is found and meets its point's best there: pairs are never shuffled
-    both = _met(dealt, dealt, "id", axes, reach, width, euclid(axes, reach, strict=False)("", "_o_"), [], [*(f"u{a}" for a in axes), "corr"])
-    step = [F.col(f"_o_{a}") - F.col(a) for a in axes]
-    length = F.sqrt(sum(s * s for s in step))
-
-    def angle(prefix: str) -> Column:
-        size = F.sqrt(sum(F.col(f"{prefix}{a}") * F.col(f"{prefix}{a}") for a in axes))
-        # points at one place have no step: its angle is 0
-        cosine = F.try_divide(sum(s * F.col(f"{prefix}{a}") for s, a in zip(step, axes)), length * size)
-        return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
-
-    both = both.select("id", F.col("_o_id").alias("other"), F.col("_o_corr").alias("_c"), length.alias("_d"), angle("u").alias("_b"), angle("_o_u").alias("_g")).where(F.col("_b") <= cone)
-    bell = lambda v, s: F.exp(-(v * v) / (s * s))
-    value = F.col("_c") * bell(F.col("_b") - F.col("_g"), sigmas[0]) * bell(F.col("_b") + F.col("_g"), sigmas[1]) * bell(F.col("_d"), sigmas[2])
-    best = both.groupBy("id").agg(F.max(F.struct(F.round(value, 9).alias("s"), (-F.col("other")).alias("o"))).alias("b"))
-    return best.select("id", (-F.col("b.o")).alias("next"), F.col("b.s").alias("similarity")).where(F.col("similarity") > least)
+    from . import links
+
+    return links.filament_links(points, reach=reach, cone=cone, sigmas=sigmas, least=least)
 
 
 def common_frames(alignments: DataFrame, first: str, second: str, score: str, *, most: int = 10_000) -> list[tuple]:

@@ -163,3 +163,30 @@ def test_filament_links_score_pairs_where_they_meet(spark, monkeypatch):
     # 2 and 3 stand at one place: no step, angle 0
     assert got.keys() == {1, 2, 3} and got[2] == (3, 0.8) and got[3] == (2, 0.9)
     assert got[1][0] == 2 and np.isclose(got[1][1], 0.9 * np.exp(-9 / 400))
+
+
+def test_filament_links_copy_packs_not_points(spark, monkeypatch):
+    monkeypatch.setattr(P, "_met", None)  # it copied each point to all small cells around
+    r = np.random.default_rng(3)
+    n = 5500  # more than a window holds in one cell, and some in cells around; many at one place
+    at = np.where(r.random((n, 1)) < 0.85, r.integers(1, 15, (n, 3)), r.integers(-20, 36, (n, 3))).astype(float)
+    u = r.standard_normal((n, 3))
+    u[:20], corr = 0, r.integers(1, 40, n) / 40
+    rows = [(i, *at[i].tolist(), float(corr[i]) if i % 50 else None, *u[i].tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, corr double, ux double, uy double, uz double")
+    sigmas = (1.0, 2.0, 20.0)
+    got = {x.id: (x.next, x.similarity) for x in P.filament_links(df, reach=16.0, cone=1.0, sigmas=sigmas, least=0.01).collect()}
+    known = np.where(np.arange(n) % 50 == 0, -np.inf, corr)
+    size, want = np.linalg.norm(u, axis=1), {}
+    for i in range(n):
+        with np.errstate(all="ignore"):
+            step = at - at[i]
+            d = np.sqrt((step**2).sum(1))
+            b, g = (np.arccos(np.nan_to_num(np.clip(c, -1, 1), nan=1.0)) for c in ((step @ u[i]) / (d * size[i]), (step * u).sum(1) / (d * size)))
+            s = np.round(known * np.exp(-((b - g) ** 2)) * np.exp(-((b + g) ** 2) / 4) * np.exp(-d * d / 400), 9)
+        s[(d > 16) | (b > 1.0) | (np.arange(n) == i)] = -1
+        if s.max() > 0.01:
+            want[i] = (int(s.argmax()), s.max())
+    assert got.keys() == want.keys()
+    assert all(np.isclose(got[i][1], want[i][1], atol=2e-9, rtol=0) for i in want)
+    assert sum(got[i][0] != want[i][0] for i in want) <= 2  # the last digit of a tie
