@@ -118,14 +118,20 @@ def _overlaps(left: DataFrame, right: DataFrame, least: float, cell: float) -> D
     return met.withColumn("iou", iou(*(F.col(c) for c in sides), *(F.col(f"_o_{c}") for c in sides))).where(F.col("iou") > least)
 
 
-def box_pairs(boxes: DataFrame, least: float, cell: float) -> DataFrame:
-    """(a, b, iou), a < b: boxes (id, x1, y1, x2, y2) whose overlap over union exceeds least.
+def box_pairs(boxes: DataFrame, least: float, cell: float, places: int | None = None) -> DataFrame:
+    """(a, b, iou), a < b: boxes (id, x1, y1, x2, y2) whose overlap over union exceeds least; iou to places, if given.
 
-    cell is the boxes' usual size; see pairs.boxes_met for how boxes of any size meet.
+    cell is the boxes' usual size; see overlaps.box_pairs, and pairs.boxes_met for the smallest least.
     """
+    from . import overlaps
+    from .pairs import _LEAST_IOU
+
+    if least >= _LEAST_IOU:
+        return overlaps.box_pairs(boxes, least, cell, places)
     at = boxes.select("id", "x1", "y1", "x2", "y2")
     # of a pair met in both orders one is taken
-    return _overlaps(at, at, least, cell).where(F.col("id") < F.col("_o_id")).select(F.col("id").alias("a"), F.col("_o_id").alias("b"), "iou")
+    iou = F.col("iou") if places is None else F.round("iou", places)
+    return _overlaps(at, at, least, cell).where(F.col("id") < F.col("_o_id")).select(F.col("id").alias("a"), F.col("_o_id").alias("b"), iou.alias("iou"))
 
 
 def suppressed(boxes: DataFrame, least: float, cell: float) -> DataFrame:

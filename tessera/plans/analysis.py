@@ -272,7 +272,7 @@ def wedge_mask(spark, d):
 
 @_query(f"WITH {_BOXES}, p AS (SELECT a.id AS a, c.id AS b, greatest(least(a.x2, c.x2) - greatest(a.x1, c.x1), 0) * greatest(least(a.y2, c.y2) - greatest(a.y1, c.y1), 0) AS i, (a.x2-a.x1)*(a.y2-a.y1) + (c.x2-c.x1)*(c.y2-c.y1) AS s FROM b a JOIN b c ON a.id < c.id AND a.x1 < c.x2 AND c.x1 < a.x2 AND a.y1 < c.y2 AND c.y1 < a.y2) SELECT a, b, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) > 0.3")
 def box_iou(spark, d):
-    return G.box_pairs(_boxes(spark, d), 0.3, 55.0).select("a", "b", F.round("iou", 6).alias("iou"))
+    return G.box_pairs(_boxes(spark, d), 0.3, 55.0, 6)
 
 
 def _greedy_boxes() -> str:

@@ -190,3 +190,19 @@ def test_filament_links_copy_packs_not_points(spark, monkeypatch):
     assert got.keys() == want.keys()
     assert all(np.isclose(got[i][1], want[i][1], atol=2e-9, rtol=0) for i in want)
     assert sum(got[i][0] != want[i][0] for i in want) <= 2  # the last digit of a tie
+
+
+def test_box_pairs_copy_packs_not_boxes(spark, monkeypatch):
+    monkeypatch.setattr(G, "boxes_met", None)  # it copied each box to all cells around
+    r = np.random.default_rng(4)
+    n = 2500  # several packs in a cell, classes of sizes that differ along both axes, places below 0
+    low, size = r.integers(-40, 60, (n, 2)), 2 ** r.integers(0, 5, (n, 2)) + r.integers(0, 9, (n, 2))
+    low[:1200], size[:1200] = low[:1200] // 20, 8
+    v = np.concatenate((low, low + size), 1).astype(float)
+    df = spark.createDataFrame([(i, *b) for i, b in enumerate(v.tolist())], "id long, x1 double, y1 double, x2 double, y2 double")
+    got = {(x.a, x.b): x.iou for x in G.box_pairs(df, 0.3, 8.0, 6).collect()}
+    inner = np.prod([np.maximum(np.minimum.outer(v[:, k + 2], v[:, k + 2]) - np.maximum.outer(v[:, k], v[:, k]), 0) for k in (0, 1)], axis=0)
+    area = np.prod(size, axis=1).astype(float)
+    share = inner / (np.add.outer(area, area) - inner)
+    a, b = np.nonzero(np.triu(share > 0.3, 1))
+    assert got == {(i, j): np.floor(share[i, j] * 1e6 + 0.5) / 1e6 for i, j in zip(a.tolist(), b.tolist())}
